@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from tesserae.plans import pooling, scoring, selecting  # noqa: F401  they register their queries
+from tesserae.plans.registry import ORACLES, QUERIES, Query
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Tiles to predictions: pooled, adjusted by the class prior, and chosen by a threshold."""
+    return QUERIES["k02_threshold"](spark, sf_dir)
