@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import curating, pooling, scoring, selecting  # noqa: F401  they register their queries
+from tesserae.plans import curating, pooling, priors, scoring, selecting  # noqa: F401  they register their queries
 from tesserae.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -1,0 +1,13 @@
+"""Where iterative queries cut their lineage."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import SparkSession
+
+
+def checkpoints(spark: SparkSession) -> None:
+    """Sets the folder in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
