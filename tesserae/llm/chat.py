@@ -218,6 +218,7 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_kind = to_arrow_type(placed.schema["id"].dataType)
+    own_kinds = [to_arrow_type(placed.schema[c].dataType) for c in ("id", "turn", "role")]
     summaries = cut(placed.select("id", "role", "at").mapInArrow(tables, f"at bigint, id {dict(placed.dtypes)['id']}, costs array<bigint>"))
 
     def meet(pdf):
@@ -262,7 +263,7 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
             if count_only:
                 kinds, names = [id_kind, pa.int64(), pa.int64()], ["id", "stretch", "n"]
             else:
-                kinds = [*[to_arrow_type(placed.schema[c].dataType) for c in ("id", "turn", "role")], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                kinds = [*own_kinds, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 names = ["id", "turn", "role", "at", "stretch", "message", "new_role", "action", "piece"]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 

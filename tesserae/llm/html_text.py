@@ -25,24 +25,33 @@ ARTICLE = {"article", "main"}
 ARTICLE_WORDS = {"article", "articlebody", "post-content", "entry-content", "main-content", "article-body", "post-body", "story-body"}
 _HOLDS = {"div", "section", "article", "main", "nav", "footer", "aside", "form", "header", "menu", "ul", "ol", "table", "dialog", "fieldset", "button", "blockquote", "figure", "details", "p", "td", "li"}
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "around", "inside", "has_article")
+#: Where a block stands: in what surrounds articles, outside the article of a page that marks
+#: one, on a page that marks none, or in a marked article.
+AROUND_IT, OUTSIDE, UNMARKED, INSIDE = range(4)
+FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after")
 #: A small labelled table of blocks, made by hand: FEATURES, then 1 for main text.
 LABELLED = [
-    # Pages that mark their article: what is in it, long or short, and what is not.
-    (120, 0.0, 80, 0.0, 60, 0.0, 0, 1, 1, 1), (45, 0.0, 8, 0.0, 90, 0.0, 0, 1, 1, 1), (8, 0.0, 0, 0.0, 70, 0.0, 0, 1, 1, 1), (1, 0.0, 30, 0.0, 25, 0.0, 0, 1, 1, 1),
-    (2, 0.0, 1, 0.0, 3, 0.0, 0, 1, 1, 1), (60, 0.2, 40, 0.1, 50, 0.0, 0, 1, 1, 1), (6, 1.0, 50, 0.0, 40, 0.0, 0, 1, 1, 1), (15, 0.5, 0, 0.0, 0, 0.0, 0, 1, 1, 1),
-    (200, 0.02, 3, 1.0, 10, 0.0, 0, 1, 1, 1), (30, 0.0, 14, 0.0, 5, 1.0, 0, 1, 1, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 0), (4, 1.0, 2, 1.0, 3, 1.0, 1, 0, 1, 0), (12, 0.0, 1, 1.0, 8, 0.0, 1, 0, 1, 0), (60, 0.0, 30, 0.0, 0, 0.0, 1, 0, 1, 0),
-    (7, 0.0, 60, 0.0, 0, 0.0, 1, 0, 1, 0), (25, 0.0, 1, 1.0, 40, 0.0, 0, 0, 1, 0), (3, 0.0, 2, 0.0, 90, 0.0, 0, 0, 1, 0), (90, 0.0, 70, 0.0, 2, 1.0, 0, 0, 1, 0),
-    (5, 1.0, 30, 0.0, 5, 1.0, 0, 0, 1, 0), (35, 0.1, 5, 1.0, 6, 0.0, 1, 1, 1, 0), (80, 0.0, 90, 0.0, 60, 0.0, 1, 1, 1, 0), (2, 1.0, 70, 0.0, 2, 1.0, 1, 1, 1, 0),
-    (14, 0.0, 20, 0.0, 14, 0.0, 1, 1, 1, 0), (50, 0.0, 2, 0.0, 50, 0.0, 1, 1, 1, 0),
-    # Pages that do not: long blocks with few links, and short ones between them.
-    (80, 0.0, 60, 0.0, 70, 0.0, 0, 0, 0, 1), (40, 0.05, 1, 1.0, 90, 0.0, 0, 0, 0, 1), (25, 0.0, 50, 0.0, 0, 0.0, 0, 0, 0, 1), (150, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
-    (6, 0.0, 40, 0.0, 60, 0.0, 0, 0, 0, 1), (2, 0.0, 30, 0.0, 45, 0.0, 0, 0, 0, 1), (9, 0.0, 2, 1.0, 80, 0.0, 0, 0, 0, 1), (12, 0.0, 35, 0.0, 12, 0.0, 0, 0, 0, 1),
-    (18, 0.0, 4, 0.0, 40, 0.0, 0, 0, 0, 1), (30, 0.25, 45, 0.0, 30, 0.1, 0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 4, 1.0, 60, 0.0, 0, 0, 0, 0), (10, 0.9, 40, 0.0, 8, 1.0, 0, 0, 0, 0), (30, 0.8, 5, 1.0, 6, 1.0, 0, 0, 0, 0),
-    (4, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (5, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 0), (7, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (20, 0.6, 60, 0.0, 0, 0.0, 0, 0, 0, 0),
-    (50, 0.0, 40, 0.0, 30, 0.0, 1, 0, 0, 0), (12, 0.0, 60, 0.0, 3, 0.0, 1, 0, 0, 0), (2, 1.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0), (90, 0.0, 2, 1.0, 90, 0.0, 1, 0, 0, 0),
+    # Pages that mark their article: blocks in it, long or short, then blocks outside it.
+    (3, 120, 0.0, 80, 0.0, 60, 0.0, 1), (3, 45, 0.0, 8, 0.0, 90, 0.0, 1), (3, 8, 0.0, 0, 0.0, 70, 0.0, 1), (3, 1, 0.0, 30, 0.0, 25, 0.0, 1),
+    (3, 2, 0.0, 1, 0.0, 3, 0.0, 1), (3, 60, 0.2, 40, 0.1, 50, 0.0, 1), (3, 6, 1.0, 50, 0.0, 40, 0.0, 1), (3, 15, 0.5, 0, 0.0, 0, 0.0, 1),
+    (3, 200, 0.02, 3, 1.0, 10, 0.0, 1), (3, 30, 0.0, 14, 0.0, 5, 1.0, 1),
+    (1, 25, 0.0, 1, 1.0, 40, 0.0, 0), (1, 3, 0.0, 2, 0.0, 90, 0.0, 0), (1, 90, 0.0, 70, 0.0, 2, 1.0, 0), (1, 5, 1.0, 30, 0.0, 5, 1.0, 0),
+    (3, 2, 0.0, 2, 0.0, 11, 0.0, 1), (3, 1, 0.0, 1, 0.0, 1, 0.0, 1), (3, 5, 0.0, 90, 0.0, 0, 0.0, 1), (3, 3, 1.0, 2, 1.0, 1, 1.0, 1),
+    (3, 12, 0.9, 1, 1.0, 0, 0.0, 1), (3, 4, 0.0, 2, 1.0, 2, 0.0, 1), (3, 10, 0.0, 0, 0.0, 1, 0.0, 1), (3, 7, 0.6, 60, 0.0, 2, 1.0, 1),
+    (3, 20, 1.0, 20, 0.0, 3, 0.0, 1), (3, 6, 0.0, 5, 0.0, 4, 1.0, 1), (3, 2, 0.5, 1, 0.0, 2, 0.0, 1), (3, 40, 0.7, 2, 0.0, 1, 0.0, 1),
+    (2, 60, 0.0, 3, 1.0, 2, 1.0, 1), (2, 35, 0.0, 40, 0.0, 1, 1.0, 1), (2, 22, 0.1, 0, 0.0, 2, 1.0, 1), (2, 14, 0.0, 60, 0.0, 70, 0.0, 1),
+    (2, 3, 0.0, 2, 1.0, 3, 1.0, 0), (2, 2, 0.0, 1, 1.0, 0, 0.0, 0), (2, 9, 1.0, 70, 0.0, 60, 0.0, 0), (2, 6, 0.7, 3, 1.0, 3, 1.0, 0),
+    # Menus, footers, asides, forms, notices and comments, on any page.
+    (0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 4, 1.0, 2, 1.0, 3, 1.0, 0), (0, 12, 0.0, 1, 1.0, 8, 0.0, 0), (0, 60, 0.0, 30, 0.0, 0, 0.0, 0),
+    (0, 7, 0.0, 60, 0.0, 0, 0.0, 0), (0, 35, 0.1, 5, 1.0, 6, 0.0, 0), (0, 80, 0.0, 90, 0.0, 60, 0.0, 0), (0, 2, 1.0, 70, 0.0, 2, 1.0, 0),
+    (0, 14, 0.0, 20, 0.0, 14, 0.0, 0), (0, 50, 0.0, 2, 0.0, 50, 0.0, 0), (0, 50, 0.0, 40, 0.0, 30, 0.0, 0), (0, 12, 0.0, 60, 0.0, 3, 0.0, 0),
+    (0, 2, 1.0, 2, 1.0, 40, 0.0, 0), (0, 90, 0.0, 2, 1.0, 90, 0.0, 0),
+    # Pages that mark no article: long blocks with few links and short ones between them, or not.
+    (2, 80, 0.0, 60, 0.0, 70, 0.0, 1), (2, 40, 0.05, 1, 1.0, 90, 0.0, 1), (2, 25, 0.0, 50, 0.0, 0, 0.0, 1), (2, 150, 0.1, 0, 0.0, 0, 0.0, 1),
+    (2, 6, 0.0, 40, 0.0, 60, 0.0, 1), (2, 2, 0.0, 30, 0.0, 45, 0.0, 1), (2, 9, 0.0, 2, 1.0, 80, 0.0, 1), (2, 12, 0.0, 35, 0.0, 12, 0.0, 1),
+    (2, 18, 0.0, 4, 0.0, 40, 0.0, 1), (2, 30, 0.25, 45, 0.0, 30, 0.1, 1), (2, 1, 1.0, 1, 1.0, 1, 1.0, 0), (2, 3, 1.0, 4, 1.0, 60, 0.0, 0),
+    (2, 10, 0.9, 40, 0.0, 8, 1.0, 0), (2, 30, 0.8, 5, 1.0, 6, 1.0, 0), (2, 4, 0.0, 1, 1.0, 1, 1.0, 0), (2, 5, 0.0, 2, 0.0, 0, 0.0, 0),
+    (2, 7, 0.0, 0, 0.0, 2, 1.0, 0), (2, 20, 0.6, 60, 0.0, 0, 0.0, 0),
 ]
 
 
@@ -174,7 +183,8 @@ def main_text(page: str | None, tree) -> str:
     for i, (text, words, links, around, inside) in enumerate(found):
         _, wb, lb, *_ = found[i - 1] if i else ("", 0, 0.0)
         _, wa, la, *_ = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
-        if decide(tree, (words, links, wb, lb, wa, la, around, inside, has)):
+        place = AROUND_IT if around else INSIDE if inside else OUTSIDE if has else UNMARKED
+        if decide(tree, (place, words, links, wb, lb, wa, la)):
             kept.append(text)
     return " ".join(kept)
 

@@ -96,7 +96,7 @@ def test_rendered_chats_are_legal_and_whole(spark):
                 at = chat.ROLES.index(role)
             assert at == chat.ASSISTANT
             texts = [t for c, n, _, t in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]) if t]
-            assert "".join(texts) == "".join(t.replace("\n\n", "") for _, t in chatted)
+            assert "".join(texts) == "".join(t.replace("\n", "") for _, t in chatted)
 
 
 def test_stretches_give_what_whole_conversations_give(spark):
