@@ -1,13 +1,22 @@
-"""Where iterative queries cut their lineage."""
+"""The shared folder in which queries cut lineage and write tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Sets the folder in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tesserae-"))
+def checkpoints(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tesserae-"))
+    return configured or sc.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder of its own for a query's tables."""
+    return f"{checkpoints(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
