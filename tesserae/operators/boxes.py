@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-W, H = F.col("width"), F.col("height")
+
+def _size() -> tuple[Column, Column]:
+    return F.col("width"), F.col("height")
 
 
 def _even(c: Column) -> Column:
@@ -19,6 +21,7 @@ def _even(c: Column) -> Column:
 
 def _boxes(images: DataFrame, boxes: Column, mode: str, clip: bool = True) -> DataFrame:
     """boxes: an array of (x0, y0, x1, y1) structs in order."""
+    W, H = _size()  # noqa: N806
     t = images.select("image_id", "width", "height", F.posexplode(boxes).alias("tile_id", "b"))
     x0, y0, x1, y1 = (_even(F.col(f"b.{c}")) for c in ("x0", "y0", "x1", "y1"))
     if clip:
@@ -35,23 +38,27 @@ def _cells(n: int) -> list[tuple[int, int]]:
 
 
 def whole(images: DataFrame) -> DataFrame:
+    W, H = _size()  # noqa: N806
     return _boxes(images, F.array(_box(0, 0, W, H)), "whole")
 
 
 def grid(images: DataFrame, n: int, overlap: float = 0.0) -> DataFrame:
     """n x n cells, each widened on all sides by a share of itself."""
+    W, H = _size()  # noqa: N806
     cw, ch = W / n, H / n
     return _boxes(images, F.array(*[_box(c * cw - cw * overlap, r * ch - ch * overlap, (c + 1) * cw + cw * overlap, (r + 1) * ch + ch * overlap) for r, c in _cells(n)]), f"grid_{n}x{n}")
 
 
 def integer_grid(images: DataFrame, n: int) -> DataFrame:
     """Cells of whole pixels; the last of a row or column takes the remainder."""
+    W, H = _size()  # noqa: N806
     cw, ch = F.floor(W / n), F.floor(H / n)
     return _boxes(images, F.array(*[_box(c * cw, r * ch, W if c == n - 1 else (c + 1) * cw, H if r == n - 1 else (r + 1) * ch) for r, c in _cells(n)]), f"cells_{n}x{n}", clip=False)
 
 
 def centred_grid(images: DataFrame, scale: float, n: int = 4) -> DataFrame:
     """n x n cells of the central part of an image at a scale, one pixel wide at least."""
+    W, H = _size()  # noqa: N806
     sw, sh = _even(W * scale), _even(H * scale)
     ox, oy = F.floor((W - sw) / 2), F.floor((H - sh) / 2)
     cw, ch = sw / n, sh / n
@@ -62,12 +69,14 @@ def centred_grid(images: DataFrame, scale: float, n: int = 4) -> DataFrame:
 
 
 def centre_crop(images: DataFrame, size: int) -> DataFrame:
+    W, H = _size()  # noqa: N806
     s = F.least(W, H, F.lit(size))
     x, y = F.floor(W / 2) - F.floor(s / 2), F.floor(H / 2) - F.floor(s / 2)
     return _boxes(images, F.array(_box(x, y, x + s, y + s)), "centre")
 
 
 def five_crop(images: DataFrame, size: int) -> DataFrame:
+    W, H = _size()  # noqa: N806
     s = F.least(W, H, F.lit(size))
     x, y = F.floor(W / 2) - F.floor(s / 2), F.floor(H / 2) - F.floor(s / 2)
     return _boxes(images, F.array(_box(x, y, x + s, y + s), _box(0, 0, s, s), _box(W - s, 0, W, s), _box(0, H - s, s, H), _box(W - s, H - s, W, H)), "five_crop")
@@ -75,6 +84,7 @@ def five_crop(images: DataFrame, size: int) -> DataFrame:
 
 def strips(images: DataFrame, n: int, across: bool, overlap: float = 0.0) -> DataFrame:
     """n strips: across the image's width, or down its height."""
+    W, H = _size()  # noqa: N806
     size = (H if across else W) / n
     edge = size * overlap
     cut = [(i * size - edge, (i + 1) * size + edge) for i in range(n)]
@@ -90,6 +100,7 @@ def _starts(dim: Column, size: int, stride: int) -> Column:
 
 def sliding(images: DataFrame, size: int, stride: int) -> DataFrame:
     """Tiles of one size at steps of a stride; images that are no larger are taken whole."""
+    W, H = _size()  # noqa: N806
     small = (W <= size) & (H <= size)
     ys, xs = _starts(H, size, stride), _starts(W, size, stride)
     boxes = F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: _box(x, y, F.least(x + size, W), F.least(y + size, H)))))
@@ -98,6 +109,7 @@ def sliding(images: DataFrame, size: int, stride: int) -> DataFrame:
 
 def tile_count(images: DataFrame, size: int, stride: int, scales: list[float]) -> DataFrame:
     """(image_id, n): how many tiles the image has at all scales."""
+    W, H = _size()  # noqa: N806
     total = F.lit(0)
     for s in scales:
         w, h = F.greatest(F.lit(1), _even(W * s)), F.greatest(F.lit(1), _even(H * s))

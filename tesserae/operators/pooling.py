@@ -10,14 +10,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tesserae.functions.columns import TINY, clip, entropy, log_floor, ranked, safe_weighted_mean, sigmoid, softmax
 
-TILE = Window.partitionBy("image_id", "tile_id")
 KEYS = ["image_id", "species_id"]
 
 
+def _tile() -> WindowSpec:
+    return Window.partitionBy("image_id", "tile_id")
+
+
 def _grouped(t: DataFrame, score: Column) -> DataFrame:
     return t.groupBy(*KEYS).agg(score.alias("score"))
 
@@ -49,7 +52,7 @@ def _top_tiles(t: DataFrame, measure: Column, k: int) -> DataFrame:
 
 def pool_topk_tiles(t: DataFrame, k: int = 3) -> DataFrame:
     """Mean over the k tiles of largest best logit."""
-    return _grouped(_top_tiles(t, F.max("logit").over(TILE), k), F.avg("logit"))
+    return _grouped(_top_tiles(t, F.max("logit").over(_tile()), k), F.avg("logit"))
 
 
 def _lse(value: Column, t: DataFrame) -> DataFrame:
@@ -68,17 +71,17 @@ def pool_lse_logit(t: DataFrame) -> DataFrame:
 
 def pool_confidence_prob(t: DataFrame) -> DataFrame:
     """Weights are the tiles' largest probabilities."""
-    return _grouped(t.withColumn("w", F.max("prob").over(TILE)), safe_weighted_mean(F.col("prob"), F.col("w")))
+    return _grouped(t.withColumn("w", F.max("prob").over(_tile())), safe_weighted_mean(F.col("prob"), F.col("w")))
 
 
 def pool_confidence_logit(t: DataFrame) -> DataFrame:
-    w = t.withColumn("w", F.max("prob").over(TILE))
+    w = t.withColumn("w", F.max("prob").over(_tile()))
     return _grouped(w, F.sum(F.col("logit") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-8)))
 
 
 def _certainty(t: DataFrame, prob: str = "prob") -> DataFrame:
     """Adds each tile's exp(-entropy)."""
-    return t.withColumn("w", F.exp(-F.sum(entropy(F.col(prob))).over(TILE)))
+    return t.withColumn("w", F.exp(-F.sum(entropy(F.col(prob))).over(_tile())))
 
 
 def pool_entropy(t: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def pool_veg(t: DataFrame) -> DataFrame:
 
 def pool_veg_topk(t: DataFrame, k: int = 3) -> DataFrame:
     """The k tiles of largest vegetation times best logit, and their weighted mean."""
-    top = _top_tiles(t, F.col("veg_weight") * F.max("logit").over(TILE), k)
+    top = _top_tiles(t, F.col("veg_weight") * F.max("logit").over(_tile()), k)
     return _grouped(top, F.sum(F.col("logit") * F.col("veg_weight")) / F.greatest(F.sum("veg_weight"), F.lit(1e-8)))
 
 
@@ -134,9 +137,9 @@ POOLS = {
 
 def top_p_tiles(t: DataFrame, percent: float = 80.0) -> DataFrame:
     """Tiles whose largest probability reaches the (100 - percent)th percentile of their image."""
-    m = t.withColumn("__m", F.max("prob").over(TILE))
+    m = t.withColumn("__m", F.max("prob").over(_tile()))
     # Each tile has as many rows as any other, so one row a tile gives its percentile.
-    first = F.when(F.col("species_id") == F.min("species_id").over(TILE), F.col("__m"))
+    first = F.when(F.col("species_id") == F.min("species_id").over(_tile()), F.col("__m"))
     m = m.withColumn("__f", first).withColumn("__q", F.percentile("__f", F.lit(1 - percent / 100)).over(Window.partitionBy("image_id")))
     return m.where(F.col("__m") >= F.col("__q")).drop("__m", "__f", "__q")
 
@@ -166,7 +169,7 @@ def veg_filter(meta: DataFrame, least: float) -> DataFrame:
 def dominant_claim(t: DataFrame, confidence: float = 0.85, decay: float = 0.5) -> DataFrame:
     """Damps the other species' logits in tiles that one species claims."""
     p = sigmoid(F.col("logit"))
-    m = t.withColumn("__p", F.max(p).over(TILE)).withColumn("__d", F.first("species_id").over(TILE.orderBy(F.desc("logit"), "species_id")))
+    m = t.withColumn("__p", F.max(p).over(_tile())).withColumn("__d", F.first("species_id").over(_tile().orderBy(F.desc("logit"), "species_id")))
     factor = 1.0 - decay * (F.col("__p") - confidence) / (1.0 - confidence)
     claimed = (F.col("__p") > confidence) & (F.col("species_id") != F.col("__d"))
     return m.withColumn("logit", F.when(claimed, F.col("logit") * factor).otherwise(F.col("logit"))).drop("__p", "__d")

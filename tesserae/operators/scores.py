@@ -6,11 +6,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tesserae.functions.columns import TINY, log_floor, ranked, softmax
 
-IMAGE = Window.partitionBy("image_id")
+
+def _image() -> WindowSpec:
+    return Window.partitionBy("image_id")
 
 
 def class_counts(classes: DataFrame, counts: DataFrame, default: int = 0) -> DataFrame:
@@ -105,7 +107,7 @@ def mean_field(scores: DataFrame, edges: DataFrame, weight: str = "w") -> DataFr
     s = scores.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
     push = s.join(edges.withColumnRenamed("b", "species_id"), "species_id").groupBy("image_id", F.col("a").alias("species_id")).agg(F.sum(F.col(weight) * F.col("p")).alias("f"))
     t = s.join(push, ["image_id", "species_id"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
-    return t.select("image_id", "species_id", (F.col("logit") + F.col("f") - F.avg("f").over(IMAGE)).alias("score"))
+    return t.select("image_id", "species_id", (F.col("logit") + F.col("f") - F.avg("f").over(_image())).alias("score"))
 
 
 def repulsion(taxonomy: DataFrame, inside: DataFrame, value: float = -0.1) -> DataFrame:
@@ -183,7 +185,7 @@ def weighted_ranks(scores: DataFrame, weights: dict[str, float], k: int = 60) ->
 
 def energy(scores: DataFrame, least: float) -> DataFrame:
     """(image_id, energy, low): minus the log-sum-exp of an image's logits, and whether its best probability is low."""
-    m = scores.withColumn("m", F.max("logit").over(IMAGE))
+    m = scores.withColumn("m", F.max("logit").over(_image()))
     return m.groupBy("image_id").agg((-(F.max("m") + F.log(F.sum(F.exp(F.col("logit") - F.col("m")))))).alias("energy"), (F.max("prob") < least).alias("low"))
 
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from tesserae.functions.columns import ranked
 
-IMAGE = Window.partitionBy("image_id")
-SO_FAR = IMAGE.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def _image() -> WindowSpec:
+    return Window.partitionBy("image_id")
+
+
+def _so_far() -> WindowSpec:
+    """From the best species down to the row's own rank."""
+    return _image().orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def _ranked(scores: DataFrame) -> DataFrame:
@@ -27,43 +33,43 @@ def fixed_topk(scores: DataFrame, k: int) -> DataFrame:
 
 def threshold(scores: DataFrame, least: float, min_k: int = 1, max_k: int = 10) -> DataFrame:
     """As many of the best as reach the threshold, min_k to max_k."""
-    n = F.least(F.greatest(F.sum((F.col("score") >= least).cast("int")).over(IMAGE), F.lit(min_k)), F.lit(max_k))
+    n = F.least(F.greatest(F.sum((F.col("score") >= least).cast("int")).over(_image()), F.lit(min_k)), F.lit(max_k))
     return _ranked(scores).withColumn("n", n).where("rank <= n").select("image_id", "rank", "species_id", "score")
 
 
 def relative(scores: DataFrame, share: float, min_k: int = 1, max_k: int = 10) -> DataFrame:
     """As many as reach the best score less a share of it."""
-    n = F.sum((F.col("score") >= F.col("top") * (1 - share)).cast("int")).over(IMAGE)
-    top = _ranked(scores).withColumn("top", F.max("score").over(IMAGE))
+    n = F.sum((F.col("score") >= F.col("top") * (1 - share)).cast("int")).over(_image())
+    top = _ranked(scores).withColumn("top", F.max("score").over(_image()))
     return top.withColumn("n", F.least(F.greatest(n, F.lit(min_k)), F.lit(max_k))).where("rank <= n").select("image_id", "rank", "species_id", "score")
 
 
 def gap(scores: DataFrame, drop: float, min_k: int = 1, max_k: int = 10) -> DataFrame:
     """The best up to the first relative drop of `drop` or more within max_k, else max_k."""
-    r = _ranked(scores).where(F.col("rank") <= max_k + 1).withColumn("next", F.lead("score").over(IMAGE.orderBy("rank")))
+    r = _ranked(scores).where(F.col("rank") <= max_k + 1).withColumn("next", F.lead("score").over(_image().orderBy("rank")))
     falls = (F.col("rank") >= min_k) & (F.col("rank") < max_k) & (F.col("score") > 0) & ((F.col("score") - F.col("next")) / F.col("score") >= drop)
-    cut_at = F.coalesce(F.min(F.when(falls, F.col("rank"))).over(IMAGE), F.lit(max_k))
+    cut_at = F.coalesce(F.min(F.when(falls, F.col("rank"))).over(_image()), F.lit(max_k))
     return r.withColumn("n", cut_at).where("rank <= n").select("image_id", "rank", "species_id", "score")
 
 
 def per_class(scores: DataFrame, thresholds: DataFrame, default: float, top_k: int, min_k: int = 1) -> DataFrame:
     """Scores that reach their class's threshold, top_k at most, filled up to min_k by the best others."""
     t = _ranked(scores.join(thresholds, "species_id", "left").withColumn("ok", F.col("score") >= F.coalesce("threshold", F.lit(default))))
-    t = t.withColumn("kept", F.row_number().over(IMAGE.orderBy(F.desc("ok"), "rank"))).withColumn("n", F.greatest(F.least(F.sum(F.col("ok").cast("int")).over(IMAGE), F.lit(top_k)), F.lit(min_k)))
+    t = t.withColumn("kept", F.row_number().over(_image().orderBy(F.desc("ok"), "rank"))).withColumn("n", F.greatest(F.least(F.sum(F.col("ok").cast("int")).over(_image()), F.lit(top_k)), F.lit(min_k)))
     return _out(t.where("kept <= n"))
 
 
 def stop_at_failure(scores: DataFrame, thresholds: DataFrame, default: float, top_n: int) -> DataFrame:
     """The best top_n up to the first that misses its class's threshold."""
     t = _ranked(scores).where(F.col("rank") <= top_n).join(thresholds, "species_id", "left")
-    missed = F.max((F.col("score") < F.coalesce("threshold", F.lit(default))).cast("int")).over(SO_FAR)
+    missed = F.max((F.col("score") < F.coalesce("threshold", F.lit(default))).cast("int")).over(_so_far())
     return t.withColumn("missed", missed).where("missed = 0").select("image_id", "rank", "species_id", "score")
 
 
 def scan_all(scores: DataFrame, thresholds: DataFrame, default: float, top_n: int, min_preds: int) -> DataFrame:
     """All that reach their class's threshold, then the best top_n; the best min_preds if fewer do."""
     t = _ranked(scores.join(thresholds, "species_id", "left").withColumn("ok", F.col("score") >= F.coalesce("threshold", F.lit(default))))
-    t = t.withColumn("oks", F.sum(F.col("ok").cast("int")).over(IMAGE)).withColumn("okrank", F.sum(F.col("ok").cast("int")).over(SO_FAR))
+    t = t.withColumn("oks", F.sum(F.col("ok").cast("int")).over(_image())).withColumn("okrank", F.sum(F.col("ok").cast("int")).over(_so_far()))
     return _out(t.where(F.when(F.col("oks") >= min_preds, F.col("ok") & (F.col("okrank") <= top_n)).otherwise(F.col("rank") <= min_preds)))
 
 
@@ -87,7 +93,7 @@ def safety_net(selected: DataFrame, raw: DataFrame, net: int, cap: int) -> DataF
 
 def pseudo_labels(scores: DataFrame, tau: float, cap: int, least: int) -> DataFrame:
     """Scores from tau, cap an image at most, for images with `least` species or more."""
-    t = _ranked(scores.where(F.col("score") >= tau)).where(F.col("rank") <= cap).withColumn("n", F.count("*").over(IMAGE))
+    t = _ranked(scores.where(F.col("score") >= tau)).where(F.col("rank") <= cap).withColumn("n", F.count("*").over(_image()))
     return t.where(F.col("n") >= least).select("image_id", "rank", "species_id", "score")
 
 
@@ -97,7 +103,7 @@ def conformal_calibrate(scores: DataFrame, truth: DataFrame, alpha: float) -> Da
     The order statistic at ceil((n - 1) min(1, (1 - alpha)(n + 1) / n)), from zero, is
     found from counts of distinct values, so only the sum over values runs in one order.
     """
-    cum = _ranked(scores).withColumn("cum", F.sum("score").over(SO_FAR)).join(truth, ["image_id", "species_id"])
+    cum = _ranked(scores).withColumn("cum", F.sum("score").over(_so_far())).join(truth, ["image_id", "species_id"])
     n = F.col("n")
     stats = cum.agg(F.count("*").alias("n"))
     at = F.ceil((n - 1) * F.least(F.lit(1.0), (1 - alpha) * (n + 1) / n) - 1e-12)
@@ -110,7 +116,7 @@ def conformal_calibrate(scores: DataFrame, truth: DataFrame, alpha: float) -> Da
 
 def conformal_set(scores: DataFrame, q: float) -> DataFrame:
     """The best up to the first whose cumulative score passes q, it included."""
-    t = _ranked(scores).withColumn("cum", F.sum("score").over(SO_FAR))
+    t = _ranked(scores).withColumn("cum", F.sum("score").over(_so_far()))
     return t.where((F.col("cum") - F.col("score")) <= q).select("image_id", "rank", "species_id", "score")
 
 
@@ -123,9 +129,9 @@ def conformal_rollup(chosen: DataFrame, taxonomy: DataFrame, max_size: int) -> D
 
 def conformal_clamped(scores: DataFrame, q: float, min_k: int, top_k: int) -> DataFrame:
     """A conformal set of scores that are normalised first, min_k to top_k species."""
-    s = scores.withColumn("share", F.col("score") / F.sum("score").over(IMAGE))
-    t = _ranked(s).withColumn("cum", F.sum("share").over(SO_FAR))
-    n = F.least(F.greatest(F.sum(((F.col("cum") - F.col("share")) <= q).cast("int")).over(IMAGE), F.lit(min_k)), F.lit(top_k))
+    s = scores.withColumn("share", F.col("score") / F.sum("score").over(_image()))
+    t = _ranked(s).withColumn("cum", F.sum("share").over(_so_far()))
+    n = F.least(F.greatest(F.sum(((F.col("cum") - F.col("share")) <= q).cast("int")).over(_image()), F.lit(min_k)), F.lit(top_k))
     return t.withColumn("n", n).where("rank <= n").select("image_id", "rank", "species_id", "score")
 
 

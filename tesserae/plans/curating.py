@@ -140,17 +140,19 @@ def p18(spark, sf):
     return table(spark, sf, "lineitem").select("l_returnflag", F.when(d >= 0.05, d).otherwise(0.0).alias("d")).groupBy("l_returnflag").agg(F.sum("d").alias("s"))
 
 
-QUADRAT = F.concat(F.lit("plot-"), F.col("o_custkey"), F.lit("-"), F.date_format("o_orderdate", "yyyyMMdd"))
+def quadrat():
+    return F.concat(F.lit("plot-"), F.col("o_custkey"), F.lit("-"), F.date_format("o_orderdate", "yyyyMMdd"))
+
 
 
 @query("p19_plot_and_date", "SELECT o_orderkey, 'plot-' || o_custkey AS plot, CAST(o_orderdate AS DATE) AS day FROM orders")
 def p19(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", C.plot_of(QUADRAT).alias("plot"), C.date_of(QUADRAT).alias("day"))
+    return table(spark, sf, "orders").select("o_orderkey", C.plot_of(quadrat()).alias("plot"), C.date_of(quadrat()).alias("day"))
 
 
 @query("p20_day_of_year", "SELECT o_orderkey, CAST(least(dayofyear(o_orderdate), 365) AS INT) AS d FROM orders")
 def p20(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", C.day_of_year(F.concat(F.lit("x99999999-"), QUADRAT)).cast("int").alias("d"))
+    return table(spark, sf, "orders").select("o_orderkey", C.day_of_year(F.concat(F.lit("x99999999-"), quadrat())).cast("int").alias("d"))
 
 
 @query("p21_local_path", "SELECT p_partkey, '/mnt/d/img/' || p_partkey || '.jpg' AS p FROM part")
