@@ -9,7 +9,7 @@ from tesserae.plans.lineage import scratch
 from tesserae.plans.priors import HIST, histogram
 from tesserae.plans.registry import query, r
 from tesserae.plans.scoring import images
-from tesserae.plans.selecting import BEST, base, scored
+from tesserae.plans.selecting import BEST, T, base, scored
 from tesserae.plans.views import MANIFEST, manifest, table
 from tesserae.sources import readers as R
 from tesserae.sources import sinks as K2
@@ -57,18 +57,18 @@ def s09(spark, sf):
     return R.species_list(spark, out)
 
 
-SUBMITTED = f"{BEST}, q AS (SELECT * FROM k WHERE rank <= 5 AND score >= 0.02)"
+SUBMITTED = f"{BEST}, q AS (SELECT * FROM k WHERE rank <= 5 AND score >= {T})"
 
 
 @query("s11_submission_rows", f"{SUBMITTED}, l AS (SELECT image_id, '[' || string_agg(CAST(species_id AS VARCHAR), ', ' ORDER BY rank) || ']' AS s FROM q GROUP BY 1) SELECT CAST(i.image_id AS VARCHAR) AS quadrat_id, coalesce(s, '[]') AS species_ids FROM (SELECT DISTINCT image_id FROM img) i LEFT JOIN l USING (image_id)")
 def s11(spark, sf):
-    return K2.submission_rows(K.cap_first(scored(spark, sf), 0.02, 5, 0), base(spark, sf))
+    return K2.submission_rows(K.cap_first(scored(spark, sf), T, 5, 0), base(spark, sf))
 
 
 @query("s10_submission_round_trip", f"{SUBMITTED} SELECT CAST(image_id AS VARCHAR) AS image_id, CAST(rank AS INT) AS rank, CAST(species_id AS BIGINT) AS species_id FROM q")
 def s10(spark, sf):
     out = scratch(spark, "submission")
-    K2.write_submission(K2.submission_rows(K.cap_first(scored(spark, sf), 0.02, 5, 0), base(spark, sf)), out)
+    K2.write_submission(K2.submission_rows(K.cap_first(scored(spark, sf), T, 5, 0), base(spark, sf)), out)
     return R.submission(spark, out)
 
 

@@ -14,10 +14,10 @@ from tesserae.plans.views import COUNTS, TRUTH, counts, taxonomy, tile_arrays, t
 
 BEST = IMG + ", k AS (SELECT image_id, species_id, prob AS score, row_number() OVER (PARTITION BY image_id ORDER BY prob DESC, species_id) AS rank FROM img)"
 #: Thresholds by class: three quarters of the classes have one.
-THR = "thr AS (SELECT DISTINCT species_id, 0.01 + (species_id % 7) * 0.004 AS threshold FROM tile WHERE species_id % 4 <> 0), kt AS (SELECT k.*, coalesce(threshold, 0.02) AS t FROM k LEFT JOIN thr USING (species_id))"
+THR = "thr AS (SELECT DISTINCT species_id, 0.0155 + (species_id % 7) * 0.0004 AS threshold FROM tile WHERE species_id % 4 <> 0), kt AS (SELECT k.*, coalesce(threshold, 0.0168) AS t FROM k LEFT JOIN thr USING (species_id))"
 OUT = f"SELECT image_id, CAST(rank AS INT) AS rank, species_id, {r('score', 'score')}"
 RERANK = f"SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC, species_id) AS INT) AS rank, species_id, {r('score', 'score')}"
-T = 0.024
+T = 0.0172
 
 
 def scored(spark, sf):
@@ -26,7 +26,7 @@ def scored(spark, sf):
 
 def thresholds(spark, sf):
     s = F.col("species_id")
-    return F.broadcast(taxonomy(spark, sf).where(s % 4 != 0).select("species_id", (0.01 + (s % 7) * 0.004).alias("threshold")))
+    return F.broadcast(taxonomy(spark, sf).where(s % 4 != 0).select("species_id", (0.0155 + (s % 7) * 0.0004).alias("threshold")))
 
 
 def base(spark, sf):
@@ -36,15 +36,15 @@ def base(spark, sf):
 _SELECT = {
     "k01_fixed_topk": (lambda s, f: K.fixed_topk(scored(s, f), 4), f"{BEST} {OUT} FROM k WHERE rank <= 4"),
     "k02_threshold": (lambda s, f: K.threshold(scored(s, f), T, 1, 8), f"{BEST}, n AS (SELECT image_id, least(greatest(sum(CASE WHEN score >= {T} THEN 1 ELSE 0 END), 1), 8) AS n FROM k GROUP BY 1) {OUT} FROM k JOIN n USING (image_id) WHERE rank <= n"),
-    "k03_relative": (lambda s, f: K.relative(scored(s, f), 0.2, 1, 8), f"{BEST}, m AS (SELECT image_id, max(score) AS m FROM k GROUP BY 1), n AS (SELECT image_id, least(greatest(sum(CASE WHEN score >= m * 0.8 THEN 1 ELSE 0 END), 1), 8) AS n FROM k JOIN m USING (image_id) GROUP BY 1) {OUT} FROM k JOIN n USING (image_id) WHERE rank <= n"),
-    "k04_gap": (lambda s, f: K.gap(scored(s, f), 0.05, 1, 8), f"{BEST}, g AS (SELECT *, lead(score) OVER (PARTITION BY image_id ORDER BY rank) AS nx FROM k), c AS (SELECT image_id, coalesce(min(CASE WHEN rank < 8 AND (score - nx) / score >= 0.05 THEN rank END), 8) AS n FROM g GROUP BY 1) {OUT} FROM k JOIN c USING (image_id) WHERE rank <= n"),
-    "k05_per_class": (lambda s, f: K.per_class(scored(s, f), thresholds(s, f), 0.02, 6, 2), f"{BEST}, {THR}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score >= t DESC, rank) AS kept, greatest(least(sum(CASE WHEN score >= t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id), 6), 2) AS n FROM kt) {RERANK} FROM o WHERE kept <= n"),
-    "k06_stop_at_failure": (lambda s, f: K.stop_at_failure(scored(s, f), thresholds(s, f), 0.02, 6), f"{BEST}, {THR}, m AS (SELECT *, max(CASE WHEN score < t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS miss FROM kt WHERE rank <= 6) {OUT} FROM m WHERE miss = 0"),
-    "k07_scan_all": (lambda s, f: K.scan_all(scored(s, f), thresholds(s, f), 0.02, 5, 2), f"{BEST}, {THR}, o AS (SELECT *, sum(CASE WHEN score >= t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id) AS oks, sum(CASE WHEN score >= t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS okr FROM kt) {RERANK} FROM o WHERE CASE WHEN oks >= 2 THEN score >= t AND okr <= 5 ELSE rank <= 2 END"),
+    "k03_relative": (lambda s, f: K.relative(scored(s, f), 0.04, 1, 8), f"{BEST}, m AS (SELECT image_id, max(score) AS m FROM k GROUP BY 1), n AS (SELECT image_id, least(greatest(sum(CASE WHEN score >= m * 0.96 THEN 1 ELSE 0 END), 1), 8) AS n FROM k JOIN m USING (image_id) GROUP BY 1) {OUT} FROM k JOIN n USING (image_id) WHERE rank <= n"),
+    "k04_gap": (lambda s, f: K.gap(scored(s, f), 0.015, 1, 8), f"{BEST}, g AS (SELECT *, lead(score) OVER (PARTITION BY image_id ORDER BY rank) AS nx FROM k), c AS (SELECT image_id, coalesce(min(CASE WHEN rank < 8 AND (score - nx) / score >= 0.015 THEN rank END), 8) AS n FROM g GROUP BY 1) {OUT} FROM k JOIN c USING (image_id) WHERE rank <= n"),
+    "k05_per_class": (lambda s, f: K.per_class(scored(s, f), thresholds(s, f), 0.0168, 6, 2), f"{BEST}, {THR}, o AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY score >= t DESC, rank) AS kept, greatest(least(sum(CASE WHEN score >= t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id), 6), 2) AS n FROM kt) {RERANK} FROM o WHERE kept <= n"),
+    "k06_stop_at_failure": (lambda s, f: K.stop_at_failure(scored(s, f), thresholds(s, f), 0.0168, 6), f"{BEST}, {THR}, m AS (SELECT *, max(CASE WHEN score < t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS miss FROM kt WHERE rank <= 6) {OUT} FROM m WHERE miss = 0"),
+    "k07_scan_all": (lambda s, f: K.scan_all(scored(s, f), thresholds(s, f), 0.0168, 5, 2), f"{BEST}, {THR}, o AS (SELECT *, sum(CASE WHEN score >= t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id) AS oks, sum(CASE WHEN score >= t THEN 1 ELSE 0 END) OVER (PARTITION BY image_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS okr FROM kt) {RERANK} FROM o WHERE CASE WHEN oks >= 2 THEN score >= t AND okr <= 5 ELSE rank <= 2 END"),
     "k08_cap_first": (lambda s, f: K.cap_first(scored(s, f), T, 5, 2), f"{BEST} {OUT} FROM k WHERE rank <= 5 AND (score >= {T} OR rank <= 2)"),
-    "k09_top1_and_candidates": (lambda s, f: K.top1_and_candidates(scored(s, f), thresholds(s, f), 0.02, 8), f"{BEST}, {THR} {RERANK} FROM kt WHERE rank = 1 OR (rank <= 8 AND score > t)"),
+    "k09_top1_and_candidates": (lambda s, f: K.top1_and_candidates(scored(s, f), thresholds(s, f), 0.0168, 8), f"{BEST}, {THR} {RERANK} FROM kt WHERE rank = 1 OR (rank <= 8 AND score > t)"),
     "k10_safety_net": (lambda s, f: K.safety_net(K.cap_first(scored(s, f), T, 9, 0), scored(s, f), 2, 4), f"{BEST} {RERANK} FROM k WHERE rank <= 4 AND (score >= {T} OR rank <= 2)"),
-    "k11_pseudo_labels": (lambda s, f: K.pseudo_labels(scored(s, f), 0.02, 5, 2), f"{BEST}, n AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM k WHERE score >= 0.02 AND rank <= 5) {OUT} FROM n WHERE n >= 2"),
+    "k11_pseudo_labels": (lambda s, f: K.pseudo_labels(scored(s, f), T, 5, 2), f"{BEST}, n AS (SELECT *, count(*) OVER (PARTITION BY image_id) AS n FROM k WHERE score >= {T} AND rank <= 5) {OUT} FROM n WHERE n >= 2"),
     "k13_conformal_set": (lambda s, f: K.conformal_set(scored(s, f), 0.3), f"{BEST}, c AS (SELECT *, sum(score) OVER (PARTITION BY image_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS cum FROM k) {OUT} FROM c WHERE cum - score <= 0.3"),
     "k15_conformal_clamped": (lambda s, f: K.conformal_clamped(scored(s, f), 0.3, 2, 12), f"{BEST}, c AS (SELECT *, sum(score) OVER (PARTITION BY image_id ORDER BY rank ROWS UNBOUNDED PRECEDING) - score AS cum, sum(score) OVER (PARTITION BY image_id) AS tot FROM k), n AS (SELECT image_id, least(greatest(sum(CASE WHEN cum / tot <= 0.3 THEN 1 ELSE 0 END), 2), 12) AS n FROM c GROUP BY 1) {OUT} FROM k JOIN n USING (image_id) WHERE rank <= n"),
 }
@@ -62,9 +62,9 @@ def k14(spark, sf):
     return K.conformal_rollup(K.conformal_set(scored(spark, sf), 0.3), taxonomy(spark, sf), 11)
 
 
-@query("k16_sweep", f"{BEST}, s AS (SELECT threshold, image_id, species_id FROM k, (VALUES (0.02), (0.024), (0.03)) g(threshold) WHERE rank <= 8 AND (score >= threshold OR rank <= 1)) SELECT CAST(threshold AS DOUBLE) AS threshold, {r('count(*) / count(DISTINCT image_id)', 'mean_k')}, count(DISTINCT species_id) AS n_species FROM s GROUP BY 1")
+@query("k16_sweep", f"{BEST}, s AS (SELECT threshold, image_id, species_id FROM k, (VALUES (0.0165), (0.017), (0.0175)) g(threshold) WHERE rank <= 8 AND (score >= threshold OR rank <= 1)) SELECT CAST(threshold AS DOUBLE) AS threshold, {r('count(*) / count(DISTINCT image_id)', 'mean_k')}, count(DISTINCT species_id) AS n_species FROM s GROUP BY 1")
 def k16(spark, sf):
-    return K.sweep(scored(spark, sf), [0.02, 0.024, 0.03], 1, 8)
+    return K.sweep(scored(spark, sf), [0.0165, 0.017, 0.0175], 1, 8)
 
 
 @query("k17_target_threshold", f"{BEST}, o AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS i FROM k) SELECT {r('max(score)', 'threshold')} FROM o WHERE i >= (SELECT CAST(floor(count(DISTINCT image_id) * 3.5) AS BIGINT) FROM k)")
@@ -77,9 +77,9 @@ def _best_sql(strict: bool, steps: int, unit: str, unseen: str, few: str = "1",
     return f"{BEST}, {TRUTH}, g AS (SELECT i, {unit} AS t FROM range({steps}) r(i)), y AS (SELECT k.*, CASE WHEN t.image_id IS NULL THEN 0 ELSE 1 END AS y FROM k LEFT JOIN truth t USING (image_id, species_id)), c AS (SELECT species_id, i, t, sum(CASE WHEN score {op} t THEN y ELSE 0 END) AS tp, sum(CASE WHEN score {op} t THEN 1 ELSE 0 END) AS p, sum(y) AS pos FROM y, g GROUP BY ALL), f AS (SELECT *, CASE WHEN tp > 0 THEN 2.0 * tp / (p + pos) ELSE 0 END AS f1 FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY species_id ORDER BY round(f1, 12) DESC, i) AS o FROM f) SELECT species_id, {r(f'CASE WHEN pos = 0 THEN {unseen} WHEN pos < {few} THEN {fallback or unseen} ELSE t END', 'threshold')}, {r(f'CASE WHEN pos < {few} THEN 0 ELSE f1 END', 'f1')} FROM b WHERE o = 1"
 
 
-@query("k18_best_thresholds_50", _best_sql(True, 50, "0.01 + 0.0008 * i", "0.1"))
+@query("k18_best_thresholds_50", _best_sql(True, 50, "0.014 + 0.0001 * i", "0.1"))
 def k18(spark, sf):
-    return K.best_thresholds(scored(spark, sf), truth(spark, sf), [0.01 + 0.0008 * i for i in range(50)], True, 0.1)
+    return K.best_thresholds(scored(spark, sf), truth(spark, sf), [0.014 + 0.0001 * i for i in range(50)], True, 0.1)
 
 
 @query("k19_best_thresholds_99", _best_sql(True, 99, "(i + 1) / 200.0", "0.005"))
@@ -87,14 +87,14 @@ def k19(spark, sf):
     return K.best_thresholds(scored(spark, sf), truth(spark, sf), [(i + 1) / 200 for i in range(99)], True, 0.005)
 
 
-@query("k20_best_thresholds_fallback", _best_sql(False, 40, "0.01 + 0.001 * i", "0.07", "25", "0.05"))
+@query("k20_best_thresholds_fallback", _best_sql(False, 40, "0.014 + 0.0001 * i", "0.07", "25", "0.05"))
 def k20(spark, sf):
-    return K.best_thresholds(scored(spark, sf), truth(spark, sf), [0.01 + 0.001 * i for i in range(40)], False, 0.07, 25, 0.05)
+    return K.best_thresholds(scored(spark, sf), truth(spark, sf), [0.014 + 0.0001 * i for i in range(40)], False, 0.07, 25, 0.05)
 
 
-@query("k21_ambiguous", f"{BEST} SELECT image_id, {r('max(score) - min(score)', 'margin')}, max(score) - min(score) < 0.005 AS ambiguous FROM k WHERE rank <= 2 GROUP BY 1")
+@query("k21_ambiguous", f"{BEST} SELECT image_id, {r('max(score) - min(score)', 'margin')}, max(score) - min(score) < 0.0003 AS ambiguous FROM k WHERE rank <= 2 GROUP BY 1")
 def k21(spark, sf):
-    return K.ambiguous(scored(spark, sf), 0.005)
+    return K.ambiguous(scored(spark, sf), 0.0003)
 
 
 @query("e25_greedy_compatible")
