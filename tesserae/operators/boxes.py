@@ -124,4 +124,15 @@ def multiscale(images: DataFrame, overlap: float = 0.0, most: int | None = None)
     return t.where(F.col("tile_id") < most) if most else t
 
 
-TILINGS = {"whole": whole, "grid": grid, "integer_grid": integer_grid, "centred_grid": centred_grid, "centre_crop": centre_crop, "five_crop": five_crop, "strips": strips, "sliding": sliding, "multiscale": multiscale}
+def dense(images: DataFrame, scales: tuple[int, ...], size: int = 224, stride: int = 0, with_sliding: bool = False, overlap: float = 0.0) -> DataFrame:
+    """The whole image, n x n cells for each n of the scales above one, and sliding tiles if asked for, numbered through."""
+    parts = [whole(images), *[grid(images, n, overlap) for n in scales if n > 1]]
+    if with_sliding:
+        parts.append(sliding(images, size, stride or max(1, size // 2)))
+    out = parts[0].withColumn("o", F.lit(0))
+    for i, p in enumerate(parts[1:], 1):
+        out = out.union(p.withColumn("o", F.lit(i)))
+    return out.withColumn("tile_id", F.row_number().over(Window.partitionBy("image_id").orderBy("o", "tile_id")) - 1).drop("o")
+
+
+TILINGS = {"dense": dense, "whole": whole, "grid": grid, "integer_grid": integer_grid, "centred_grid": centred_grid, "centre_crop": centre_crop, "five_crop": five_crop, "strips": strips, "sliding": sliding, "multiscale": multiscale}

@@ -159,6 +159,20 @@ def split_train(df: DataFrame, group: str, share: float, key: str, seed: int = 4
     return df.withColumn("split", F.when(r <= val, "val").otherwise("train"))
 
 
+def split_plain(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
+    """Adds split: the max(1, round(share * n)) rows of the smallest hashes are val, all others train.
+
+    The row that ends val is found by counts of hash prefixes and an order inside one
+    prefix alone, so no task ever sorts all rows.
+    """
+    t = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__p", F.substring("__h", 1, 4))
+    want = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("long")).alias("want"))
+    per = t.groupBy("__p").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("__p")))
+    bounds = per.crossJoin(F.broadcast(want)).select("__p", (F.col("want") - (F.col("upto") - F.col("c"))).alias("take"))
+    r = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key))
+    return t.join(F.broadcast(bounds), "__p").withColumn("split", F.when(r <= F.col("take"), "val").otherwise("train")).drop("__h", "__p", "take")
+
+
 def support_and_query(df: DataFrame, group: str, order: list[Column], k: int, most_query: int, least: int) -> DataFrame:
     """Adds part: the first k rows of groups with `least` or more are support, the next are query, up to most_query."""
     w = Window.partitionBy(group)

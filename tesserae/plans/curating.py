@@ -386,6 +386,11 @@ def w03(spark, sf):
     return C.split_train(lines(spark, sf), "l_suppkey", 0.1, "key").select("key", "split")
 
 
+@query("w04_plain_split", f"WITH {LI}, o AS (SELECT key, row_number() OVER (ORDER BY md5('42:' || key), key) AS i, count(*) OVER () AS n FROM li) SELECT key, CASE WHEN i <= greatest(1, round_even(n * 0.1, 0)) THEN 'val' ELSE 'train' END AS split FROM o")
+def w04(spark, sf):
+    return C.split_plain(lines(spark, sf), 0.1, "key").select("key", "split")
+
+
 @query("w05_ratio_split", f"{CAPPED} SELECT l_suppkey, CASE WHEN i <= greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM o GROUP BY 1, 2")
 def w05(spark, sf):
     return C.split_train(lines(spark, sf), "l_suppkey", 0.2, "key", least=1).groupBy("l_suppkey", "split").agg(F.count("*").alias("n"))

@@ -80,6 +80,13 @@ def s12(spark, sf):
     return K2.write_by_configuration(rows, scratch(spark, "configurations"))
 
 
+@query("s13_scored_predictions", f"{BEST} SELECT CAST(image_id AS VARCHAR) AS quadrat_id, CAST(rank AS INT) AS rank, species_id, {r('score', 'score')} FROM k WHERE rank <= 3")
+def s13(spark, sf):
+    out = scratch(spark, "scored")
+    K2.write_columnar(K.fixed_topk(scored(spark, sf), 3).select(F.col("image_id").cast("string").alias("quadrat_id"), "rank", "species_id", "score"), out)
+    return spark.read.parquet(out)
+
+
 @query("s14_to_columnar", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def s14(spark, sf):
     a, b = scratch(spark, "csv"), scratch(spark, "columnar")

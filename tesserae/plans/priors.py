@@ -225,6 +225,7 @@ _BOXES = {
     "i04_centre_crop": (lambda s, f: B.centre_crop(sizes(s, f), 224), f"WITH {IM}, q AS (SELECT *, least(width, height, 224) AS s FROM im) SELECT image_id, 'centre' AS mode, CAST(0 AS INT) AS tile_id, CAST(width // 2 - s // 2 AS INT) AS x0, CAST(height // 2 - s // 2 AS INT) AS y0, CAST(width // 2 - s // 2 + s AS INT) AS x1, CAST(height // 2 - s // 2 + s AS INT) AS y1 FROM q"),
     "i01_multiscale": (lambda s, f: B.multiscale(sizes(s, f), 0.0, 6).groupBy("image_id").agg(F.count("*").alias("n"), F.sum((F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))).alias("area")), f"WITH {IM}, q AS (SELECT image_id, width, height, CAST(round_even(width / 4, 0) AS BIGINT) AS w4, CAST(round_even(height / 4, 0) AS BIGINT) AS h4 FROM im) SELECT image_id, CAST(6 AS BIGINT) AS n, CAST(2 * width * height + w4 * h4 AS BIGINT) AS area FROM q"),
     "i01_sliding": (lambda s, f: B.sliding(sizes(s, f), 448, 224).groupBy("image_id").agg(F.count("*").alias("n"), F.max("x1").alias("right"), F.max("y1").alias("bottom")), f"WITH {IM}, d AS (SELECT *, CASE WHEN width <= 448 THEN 1 ELSE ceil((width - 448) / 224) + 1 END AS nx, CASE WHEN height <= 448 THEN 1 ELSE ceil((height - 448) / 224) + 1 END AS ny FROM im) SELECT image_id, CAST(nx * ny AS BIGINT) AS n, width AS right, height AS bottom FROM d"),
+    "i04_dense": (lambda s, f: B.dense(sizes(s, f), (1, 2, 3)).groupBy("image_id").agg(F.count("*").alias("n"), F.max("tile_id").alias("last"), F.sum("x1").alias("right")), f"WITH {IM}, b AS (SELECT image_id, width AS x1 FROM im UNION ALL SELECT image_id, CAST(least(width, round_even((c + 1) * width / 2, 0)) AS INT) FROM im, range(2) a(r), range(2) b(c) UNION ALL SELECT image_id, CAST(least(width, round_even((c + 1) * width / 3, 0)) AS INT) FROM im, range(3) a(r), range(3) b(c)) SELECT image_id, count(*) AS n, CAST(13 AS INT) AS last, CAST(sum(x1) AS BIGINT) AS right FROM b GROUP BY 1"),
     "i03_centred_grid": (lambda s, f: B.centred_grid(sizes(s, f), 0.8).groupBy("image_id").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")), f"WITH {IM}, q AS (SELECT *, CAST(round_even(width * 0.8, 0) AS INT) AS sw FROM im) SELECT image_id, CAST((width - sw) // 2 AS INT) AS x0, CAST((width - sw) // 2 + sw AS INT) AS x1 FROM q"),
 }
 for _name, (_f, _sql) in _BOXES.items():

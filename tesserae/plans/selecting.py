@@ -8,6 +8,7 @@ from tesserae.functions.columns import ranked
 from tesserae.operators import metrics as M
 from tesserae.operators import selection as K
 from tesserae.operators import scores as S
+from tesserae.plans.pooling import soft
 from tesserae.plans.registry import query, r
 from tesserae.plans.scoring import EDGES, IMG, TAX, images
 from tesserae.plans.views import COUNTS, TRUTH, counts, taxonomy, tile_arrays, truth
@@ -105,6 +106,22 @@ def e25(spark, sf):
     return K.greedy_compatible(scored(spark, sf), every.join(far, ["a", "b"], "left_anti"), 5)
 
 
+@query("w12_topk_arrays", f"{BEST} SELECT image_id, string_agg(CAST(species_id AS VARCHAR), ',' ORDER BY rank) AS ids FROM k WHERE rank <= 5 GROUP BY 1")
+def w12(spark, sf):
+    t = K.fixed_topk(scored(spark, sf), 5).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("rank", "species_id"))).alias("x"))
+    return t.select("image_id", F.array_join(F.transform("x", lambda x: x["species_id"].cast("string")), ",").alias("ids"))
+
+
+@query("w13_ranks", f"{BEST} SELECT image_id, species_id, CAST(rank - 1 AS INT) AS rank FROM k")
+def w13(spark, sf):
+    return ranked(scored(spark, sf), ["image_id"]).select("image_id", "species_id", (F.col("rank") - 1).alias("rank"))
+
+
+@query("w14_tile_topk", f"{IMG}, t AS (SELECT image_id, tile_id, species_id, prob, row_number() OVER (PARTITION BY image_id, tile_id ORDER BY prob DESC, species_id) AS rank FROM p) SELECT image_id, tile_id, CAST(rank AS INT) AS rank, species_id, {r('prob', 'prob')} FROM t WHERE rank <= 3")
+def w14(spark, sf):
+    return ranked(soft(spark, sf), ["image_id", "tile_id"], "prob").where("rank <= 3").select("image_id", "tile_id", "rank", "species_id", "prob")
+
+
 PRED = f"pred AS (SELECT * FROM k WHERE rank <= 5 AND (score >= {T} OR rank <= 2))"
 TOP1 = "top1 AS (SELECT image_id, species_id FROM k WHERE rank = 1)"
 PER = "ims AS (SELECT DISTINCT image_id FROM img), pi AS (SELECT i.image_id, (SELECT count(*) FROM pred p JOIN truth t USING (image_id, species_id) WHERE p.image_id = i.image_id) AS tp, (SELECT count(*) FROM pred p WHERE p.image_id = i.image_id) AS np, (SELECT count(*) FROM truth t WHERE t.image_id = i.image_id) AS nt FROM ims i)"
