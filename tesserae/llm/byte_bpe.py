@@ -11,23 +11,24 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import DataFrame
 
-from tesserae.llm.common import map_texts
+from tesserae.llm.common import held, map_texts
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Texts of more characters are cut before a space that stands between letters: there a
 #: match of the pattern always ends and the next one begins, whatever stands around it.
 PART_CHARS = 50_000
 _SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
-_ENCODINGS: dict[str, tiktoken.Encoding] = {}
 
 
 def encoding(path: str, pattern: str = public_tokenizers.PATTERN) -> tiktoken.Encoding:
     """The rank file's encoding, read once in a worker process."""
-    if path not in _ENCODINGS:
+
+    def read() -> tiktoken.Encoding:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
-        _ENCODINGS[path] = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+        return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return held(f"ranks {path} {pattern}", read)
 
 
 def parts(text: str, most: int = PART_CHARS) -> list[str]:

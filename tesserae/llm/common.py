@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -42,30 +42,53 @@ def partitions(spark: SparkSession) -> int:
 
 
 def reachable(spark: SparkSession) -> None:
-    """Lets Python workers on a shared file system import this package."""
+    """Lets Python workers on a shared file system import this package, and keeps Arrow batches small.
+
+    Batches are cut by bytes on the JVM's side already, so neither side ever holds more
+    than a few of them for a task, however long texts are.
+    """
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in parts:
         env["PYTHONPATH"] = os.pathsep.join([root, *parts])
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SLICE_BYTES))
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """A worker process's one large helper (vocabulary, automaton); another one takes its place."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
-def ascii_lower(c: Column) -> Column:
-    """Lower-cases A-Z and nothing else."""
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def slices(batches: Iterable[pa.RecordBatch], text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches, in order, in runs whose texts hold about `most` bytes, one row at least."""
+    parts: list[pa.RecordBatch] = []
+    size = 0
 
+    def joined() -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
-def slices(batch: pa.RecordBatch, text: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about `most` bytes, one row at least."""
-    sizes = [n or 0 for n in pc.binary_length(batch.column(text)).to_pylist()]
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if start < len(sizes):
-        yield batch.slice(start)
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+        start, upto = 0, size
+        for i, n in enumerate(sizes):
+            if upto and upto + n > most:
+                if i > start:
+                    parts.append(batch.slice(start, i - start))
+                yield joined()
+                parts, start, upto = [], i, 0
+            upto += n
+        if start < len(sizes):
+            parts.append(batch.slice(start))
+        size = upto
+    if parts:
+        yield joined()
 
 
 def map_texts(docs: DataFrame, make: Callable[[], Callable], schema: str, id_col: str, text_col: str, extra: dict[str, str | Column] | None = None, most: int = SLICE_BYTES, arrays: bool = False) -> DataFrame:
@@ -85,14 +108,14 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], schema: str, id_col
 
     def run(batches):
         apply = make()
-        for batch in batches:
-            for part in slices(batch, 1, most):
-                rows = apply(part.column(1) if arrays else part.column(1).to_pylist())
-                kept = [part.column(0), *part.columns[2:]]
-                own = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow.names[len(kept):]]
-                made = [x.cast(t) for x, t in zip(kept, arrow.types, strict=False)]
-                made += [pa.array(list(v), type=t) for v, t in zip(own, arrow.types[len(kept):], strict=True)]
-                yield pa.RecordBatch.from_arrays(made, schema=arrow)
+        for part in slices(batches, 1, most):
+            rows = apply(part.column(1) if arrays else part.column(1).to_pylist())
+            kept = [part.column(0), *part.columns[2:]]
+            own = list(zip(*rows, strict=True)) if rows else [[] for _ in arrow.names[len(kept):]]
+            made = [x.cast(t) for x, t in zip(kept, arrow.types, strict=False)]
+            made += [pa.array(list(v), type=t) for v, t in zip(own, arrow.types[len(kept):], strict=True)]
+            yield pa.RecordBatch.from_arrays(made, schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

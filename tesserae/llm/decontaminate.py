@@ -9,7 +9,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, map_texts
+from tesserae.llm.common import cut, held, map_texts
 
 WINDOW = 13
 #: Benchmark words in one automaton; more items are scanned for in further blocks.
@@ -87,15 +87,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out]
 
 
-_MATCHERS: dict[str, Matcher] = {}
-
-
 def matcher(key: str, items: list[tuple[str, list[bytes]]], size: int) -> Matcher:
-    """One automaton a worker process and block."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, size)
-    return _MATCHERS[key]
+    """One automaton a worker process."""
+    return held(f"matcher {key}", lambda: Matcher(items, size))
 
 
 def benchmark_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:

@@ -22,6 +22,8 @@ import tiktoken
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
+from tesserae.llm.common import held  # noqa: E402
+
 #: Bytes of text whose pieces are numbered together.
 SLICE_BYTES = 12 << 20
 _LETTERS = "a-z\xdf-\xf6\xf8-\xff"
@@ -137,11 +139,6 @@ class Pieces:
         return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-_PIECES: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
     """The file's encoder, made once in a worker process."""
-    if path not in _PIECES:
-        _PIECES[path] = Pieces(path)
-    return _PIECES[path]
+    return held(f"pieces {path}", lambda: Pieces(path))
