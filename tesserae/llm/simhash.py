@@ -26,6 +26,8 @@ from tesserae.llm.components import components
 BITS, BLOCK = 64, 4
 #: Members of a bucket that one task compares; larger buckets go by midpoints.
 BUCKET_LIMIT = 20_000
+#: Components that are few enough to send to every task.
+BROADCAST_ROWS = 100_000
 #: Relative costs of sending one probe and of comparing one pair.
 PROBE_COST, PAIR_COST = 1.0, 0.01
 
@@ -268,10 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = cut(fingerprints(docs, id_col, text_col, shingle))
     fps = cut(base.groupBy("fp").agg(F.min(id_col).alias("first")))
     roots = components(links(fps.select("fp"), distance, bucket_limit))
-    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = cut(known)
-    # Only linked fingerprints need another id than their own first one.
-    linked = known.join(known.where("root <> fp").select("root").distinct(), "root", "left_semi")
-    least = linked.groupBy("root").agg(F.min("first").alias("least"))
-    of = known.join(least, "root", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # A component's least id: over its members, added up before they meet, and its root's own.
+    least = roots.join(fps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("least"))
+    heads = cut(fps.join(least, F.col("fp") == F.col("root")).select("root", F.least("least", "first").alias("component_id")))
+    sent = F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads
+    named = roots.join(sent, "root").select(F.col("node").alias("fp"), "component_id").union(heads.select(F.col("root").alias("fp"), "component_id"))
+    # Cut before the last join, so that a fingerprint of very many rows can be split there.
+    of = cut(fps.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")))
     return base.join(of, "fp").select(F.col(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component_id"))
