@@ -3,9 +3,9 @@
 Lines are normalised (lower case, single spaces, trimmed) and hashed. A line that more
 than max_host_documents distinct documents of a host have is boilerplate there; a
 document with more than max_removed of its words in such lines is depleted. Copies
-say nothing about boilerplate, so documents count as distinct for a line if what else
-they hold differs, by the smallest hash among their other lines: a notice below
-different articles counts once for each article, while a thousand copies of one
+say nothing about boilerplate, so documents count as distinct if their sets of lines
+differ, by a digest of all their line hashes: a notice below different articles counts
+once for each article, however many lines these share, while a thousand copies of one
 article count once for each of its lines.
 """
 
@@ -54,18 +54,17 @@ def base_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.transform("lines", lambda x: F.size(_words(x))).alias("ns"),
     )
     twice = F.filter("k", lambda x, j: (x["h"] == F.get("k", j - 1)["h"]) | (x["h"] == F.get("k", j + 1)["h"]))
-    d = d.select("*", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"), F.array_min("hs").alias("m1")).drop("k")
+    d = d.select("*", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"), F.xxhash64(F.sort_array(F.array_distinct("hs"))).alias("digest")).drop("k")
     # Each repeated window adds up to three words, less what the one before has covered.
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
     covered = F.aggregate("at", start, lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).cast("bigint").alias("n"), p.alias("last")), lambda a: a["n"])
-    d = d.select("*", covered.alias("n_repeat_words"), F.array_min(F.filter("hs", lambda h: h != F.col("m1"))).alias("m2")).drop("at")
+    d = d.select("*", covered.alias("n_repeat_words")).drop("at")
     return d.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def _lines(base: DataFrame) -> DataFrame:
-    """(row, host, h, n, rest) for each line with a word; rest stands for the document's other lines."""
-    each = base.select("row", "host", "m1", "m2", F.inline(F.arrays_zip("hs", "ns")))
-    return each.select("row", "host", F.col("hs").alias("h"), F.col("ns").alias("n"), F.coalesce(F.when(F.col("hs") == F.col("m1"), F.col("m2")).otherwise(F.col("m1")), F.lit(0)).alias("rest"))
+    """(row, host, h, n, digest) for each line with a word; digest stands for the whole document."""
+    return base.select("row", "host", "digest", F.inline(F.arrays_zip("hs", "ns"))).select("row", "host", F.col("hs").alias("h"), F.col("ns").alias("n"), "digest")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -78,8 +77,8 @@ def boilerplate(lines: DataFrame, max_host_documents: int) -> tuple[DataFrame, D
     """The lines that may be above the limit, and (host, h) of those that are."""
     often = _small(lines.groupBy("host", "h").agg(F.count("*").alias("c")).where(F.col("c") > max_host_documents).select("host", "h"))
     near = lines.join(often, ["host", "h"])
-    rests = near.groupBy("host", "h", "rest").agg(F.count("*").alias("c"))
-    return near, _small(rests.groupBy("host", "h").agg(F.count("*").alias("c")).where(F.col("c") > max_host_documents).select("host", "h"))
+    own = near.groupBy("host", "h", "digest").agg(F.count("*").alias("c"))
+    return near, _small(own.groupBy("host", "h").agg(F.count("*").alias("c")).where(F.col("c") > max_host_documents).select("host", "h"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_documents: int = MAX_HOST_DOCUMENTS, max_removed: float = MAX_REMOVED) -> DataFrame:
@@ -93,7 +92,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     base = cut(base_rules(docs, id_col, text_col, host_col))
     near, over = boilerplate(_lines(base), max_host_documents)
     removed = near.join(over, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_removed"))
-    out = base.drop("host", "hs", "ns", "m1", "m2").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+    out = base.drop("host", "hs", "ns", "digest").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed") <= max_removed * F.col("n_words")))
     return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept")
 

@@ -59,3 +59,16 @@ def test_plan_is_native(spark, sf):
 
 def test_empty(spark):
     assert quality.quality(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_pages_with_many_shared_lines(spark):
+    """All lines that different pages share are boilerplate, not only those beside a least line."""
+    shared = [long_text(12, 7000 + i) for i in range(8)]
+    docs = [(i, "\n".join([*shared, long_text(20, 8000 + i)]), "a") for i in range(40)]
+    docs += [(100 + i, "\n".join([long_text(40, 9000), long_text(41, 9001)]), "a") for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in quality.quality(df, max_host_documents=30).collect()}
+    assert all(got[i].n_removed == 96 and not got[i].kept for i in range(40))
+    assert all(got[100 + i].n_removed == 0 and got[100 + i].kept for i in range(40))
+    texts = {r.doc_id: r.text for r in quality.without_boilerplate(df, max_host_documents=30).collect()}
+    assert texts[3] == long_text(20, 8003) and texts[100] == docs[40][1]
