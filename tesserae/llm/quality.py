@@ -82,27 +82,23 @@ def boilerplate(lines: DataFrame, max_host_documents: int) -> tuple[DataFrame, D
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_documents: int = MAX_HOST_DOCUMENTS, max_removed: float = MAX_REMOVED) -> DataFrame:
-    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed, kept).
+    """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed, kept, removed).
 
-    n_removed: words in lines above the host's limit. kept is false if base_failed or
-    if those words are more than max_removed of all. Null texts have no words and fail;
-    rows without a host share one; repeated rows each get a row; an empty table gives
-    an empty result; other columns of docs are ignored.
+    n_removed: words in lines above the host's limit; removed: these lines' hashes, for
+    stripped(). kept is false if base_failed or if those words are more than max_removed
+    of all. Null texts have no words and fail; rows without a host share one; repeated
+    rows each get a row; an empty table gives an empty result; other columns of docs are
+    ignored.
     """
     base = cut(base_rules(docs, id_col, text_col, host_col))
     near, over = boilerplate(_lines(base), max_host_documents)
-    removed = near.join(over, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_removed"))
-    out = base.drop("host", "hs", "ns", "digest").join(removed, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+    found = near.join(over, ["host", "h"], "left_semi").groupBy("row").agg(F.sum("n").alias("n_removed"), F.collect_set("h").alias("removed"))
+    out = base.drop("host", "hs", "ns", "digest").join(found, "row", "left").withColumn("n_removed", F.coalesce("n_removed", F.lit(0)))
+    out = out.withColumn("removed", F.coalesce("removed", F.array().cast("array<bigint>")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_removed") <= max_removed * F.col("n_words")))
-    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept")
-
-
-def without_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_documents: int = MAX_HOST_DOCUMENTS) -> DataFrame:
-    """(id, text): the texts without the lines that are above their host's limit."""
-    lines = _lines(base_rules(docs, id_col, text_col, host_col))
-    _, over = boilerplate(lines, max_host_documents)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{host_col}`").cast("string")).alias("host"), F.col(f"`{text_col}`").alias("text"))
-    each = rows.select("row", "id", "host", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    kept = each.withColumn("h", F.xxhash64(_normal(F.col("line")))).join(over, ["host", "h"], "left_anti")
-    joined = kept.groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return rows.select("row", "id").join(joined, "row", "left").select(F.col("id").alias(id_col), F.col("text").alias(text_col))
+    return out.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed", "kept", "removed")
+
+
+def stripped(text: Column, removed: Column) -> Column:
+    """The text without the lines whose hashes are among removed; a null text stays null."""
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(removed, F.xxhash64(_normal(x)))), "\n")
