@@ -1,107 +1,162 @@
 """Secrets in texts: fixed patterns, and formats learned from what they find.
 
-The fixed patterns label credentials of three kinds. From a bounded, hash-ordered
-sample of each kind's format strings (runs of character classes) a prefix tree is
-built and its statistically compatible states are merged into a probabilistic
-automaton. Every other long token of the corpus is then scored by how much likelier
-an automaton makes its format than the corpus's own mix of character classes does.
+The fixed patterns label credentials of three kinds. A token's format names, for each of its
+characters, what its stretch between signs is made of (digits, lower-case hexadecimals,
+letters and digits, ...), so tokens that are drawn alike share a format. From the formats of
+each kind, with their counts, a prefix tree is built and its statistically compatible states
+are merged into a probabilistic automaton, which knows where moves and endings fall. Every
+token of the corpus is then scored by how much likelier an automaton makes its format than
+the corpus's other tokens do. One pass over the texts counts, another one scores.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict, deque
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, map_texts
+from tesserae.llm.common import cut, map_texts, reachable, slices
 
 #: Fixed patterns, in the order in which kinds are listed.
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
-ASSIGN_KEY = re.compile(r"""(?:passw(?:or)?d|secret|token|api_?key)["']?\x20*[:=]""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Other tokens that are scored; shorter ones say too little.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{20,}")
-#: Character classes: digits, a-f, g-z, A-F, G-Z, then the signs themselves.
-CLASSES = "dhlHU+/_.=-"
-_TABLE = str.maketrans(dict.fromkeys("0123456789", "d") | dict.fromkeys("abcdef", "h") | dict.fromkeys("ghijklmnopqrstuvwxyz", "l") | dict.fromkeys("ABCDEF", "H") | dict.fromkeys("GHIJKLMNOPQRSTUVWXYZ", "U"))
-#: Labelled formats of each kind that an automaton is learned from.
-MAX_LABELLED = 1500
-
-
-def classes(token: str) -> str:
-    return token.translate(_TABLE)
-
-
-def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
+#: What a text must hold, in lower case, for ASSIGN to match, and the same for HEX with its signs as x.
+ASSIGN_NEEDS, HEX_NEEDS = (b"passw", b"secret", b"token", b"api"), b"x" * 24
+_HEX = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
+#: Tokens, and what their characters are: digits, a-f, g-z, A-Z, signs; all else parts tokens.
+TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+_CLASS = bytes(100 if 48 <= c <= 57 else 104 if 97 <= c <= 102 else 108 if 103 <= c <= 122 else 85 if 65 <= c <= 90 else c if chr(c) in "+/_.=-" else 32 for c in range(256))
+_PART, _STRETCH, _EDGES = re.compile(rb"[^=]+(?:=+$)?"), re.compile(rb"[dhlU]+"), b".-"
+#: Symbols of formats: digits, lower and upper case alone, digits with a-f, with lower case, with
+#: upper case, both cases, all three, then the signs themselves; the last one stands for an ending.
+SYMBOLS, END = "dlUxmNCA+/_.=-", "$"
+#: Distinct labelled formats of each kind that an automaton is learned from, and their longest length.
+MAX_LABELLED, MAX_FORMAT = 1500, 256
+#: A state needs this many labelled tokens to stand for itself; with fewer it joins the state that fits best.
+MIN_SUPPORT = 20
+#: log2 share of moves and endings that an automaton has not seen.
+UNSEEN = -14.0
+#: A token is taken for a secret if an automaton makes it 2 ** LEAST_BITS times likelier than the other tokens do.
+LEAST_BITS = 5.0
+#: Verdicts on tokens' classes that a task remembers.
+REMEMBERED = 1 << 18
+
+
+def _symbol(m: re.Match) -> bytes:
+    found = set(m.group())
+    digit, low, plain, up = 100 in found, 104 in found or 108 in found, 108 in found, 85 in found
+    if digit and low and up:
+        return b"A" * len(m.group())
+    if digit and low:
+        return (b"m" if plain else b"x") * len(m.group())
+    one = b"N" if digit and up else b"C" if low and up else b"d" if digit else b"l" if low else b"U"
+    return one * len(m.group())
+
+
+def parts(classes: bytes) -> list[tuple[int, int, str]]:
+    """(start, end, format) of a token's parts: an equals sign parts it, unless it pads the end; full stops and dashes at the edges go."""
+    out = []
+    for m in _PART.finditer(classes):
+        part = m.group().rstrip(_EDGES)
+        start = m.start() + len(part) - len(part.lstrip(_EDGES))
+        if part := part.lstrip(_EDGES):
+            out.append((start, start + len(part), _STRETCH.sub(_symbol, part).decode()))
+    return out
+
+
+def classes_of(token: str) -> bytes:
+    return token.encode().translate(_CLASS)
+
+
+def format_of(token: str) -> str:
+    """The whole token's format."""
+    return _STRETCH.sub(_symbol, classes_of(token)).decode()
+
+
+def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, int, int, int]]:
     """(start, kind, end, value start, value end) of the fixed patterns' matches, in order."""
+    raw = text.encode() if raw is None else raw
     found = []
-    # A key is needed for a match, so texts without one skip the longer pattern.
-    if ASSIGN_KEY.search(text):
+    low = raw.lower()
+    if any(w in low for w in ASSIGN_NEEDS):
         found += [(m.start(), 0, m.end(), m.start(2), m.end(2)) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
-    if "AKIA" in text:
+    if b"AKIA" in raw:
         found += [(m.start(), 1, m.end(), m.start(), m.end()) for m in ACCESS.finditer(text)]
-    found += [(m.start(), 2, m.end(), m.start(), m.end()) for m in HEX.finditer(text)]
+    if HEX_NEEDS in raw.translate(_HEX):
+        found += [(m.start(), 2, m.end(), m.start(), m.end()) for m in HEX.finditer(text)]
     return sorted(found)
 
 
-def scan_text(text: str | None) -> tuple:
-    text = text or ""
-    base = base_spans(text)
-    labelled = [{"kind": KINDS[k], "format": classes(text[i:j])} for _, k, _, i, j in base]
-    others, counts, at, covered = [], [0] * len(CLASSES), 0, 0
-    for m in CANDIDATE.finditer(text):
-        i, j = m.span()
-        while at < len(base) and base[at][0] < j:
-            covered = max(covered, base[at][2])
-            at += 1
-        if covered > i:
-            continue
-        form = classes(m.group())
-        for k, c in enumerate(CLASSES):
-            counts[k] += form.count(c)
-        if "d" in form:
-            others.append({"start": i, "end": j, "format": form})
-    n = [sum(b[1] == k for b in base) for k in range(3)]
-    return (*n, ",".join(f"{KINDS[k]}:{i}:{j}" for i, k, j, _, _ in base), labelled, others, counts)
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One pass: counts and spans of the fixed patterns, labelled formats, and other long tokens."""
-    schema = "n_assign bigint, n_access bigint, n_hex bigint, base string, labelled array<struct<kind:string,format:string>>, others array<struct<start:int,end:int,format:string>>, counts array<bigint>"
-    return map_texts(docs, lambda: lambda texts: [scan_text(t) for t in texts], schema, id_col, text_col)
+def counted(texts: list[str | None]) -> Counter:
+    """Counts of (kind, format) of labelled credentials, and of ("", three symbols) in all other tokens."""
+    out: Counter = Counter()
+    rest = []
+    for text in texts:
+        raw = (text or "").encode()
+        base = base_spans(text or "", raw)
+        if base:
+            left, at = [], 0
+            for i, k, j, v, w in base:
+                if w - v <= MAX_FORMAT:
+                    out[KINDS[k], format_of(text[v:w])] += 1
+                if i > at:
+                    left.append(text[at:i])
+                at = max(at, j)
+            raw = " ".join([*left, text[at:]]).encode()
+        rest.append(raw)
+    for classes, n in Counter(b" ".join(rest).translate(_CLASS).split()).items():
+        for _, _, form in parts(classes):
+            for i, c in enumerate(form + END):
+                out["", (END * 2 + form)[i : i + 2] + c] += n
+    return out
+
+
+def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, format, n) over all texts, added up in tasks before they meet."""
+    reachable(docs.sparkSession)
+    schema = pa.schema([("kind", pa.string()), ("format", pa.string()), ("n", pa.int64())])
+
+    def run(batches):
+        for part in slices(batches, 0):
+            found = sorted(counted(part.column(0).to_pylist()).items())
+            yield pa.RecordBatch.from_arrays([pa.array([k for (k, _), _ in found], pa.string()), pa.array([f for (_, f), _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], schema=schema)
+
+    narrow = docs.select(F.col(f"`{text_col}`").cast("string").alias("t")).where("t is not null")
+    return narrow.mapInArrow(run, "kind string, format string, n bigint").groupBy("kind", "format").agg(F.sum("n").alias("n"))
 
 
 @dataclass
 class Automaton:
-    """A probabilistic automaton: log2 of each move's and each ending's share."""
+    """A probabilistic automaton: for each state the next state and log2 share of each symbol, END included."""
 
     moves: list[dict[str, tuple[int, float]]]
 
-    def bits(self, form: str, floor: float = -12.0) -> float:
-        """log2 of the format's probability; unseen moves stay in place at the floor."""
+    def bits(self, form: str) -> float:
+        """log2 of the format's probability; unseen moves stay in place."""
         state, total = 0, 0.0
         for c in form:
-            state, gain = self.moves[state].get(c, (state, floor))
+            state, gain = self.moves[state].get(c, (state, UNSEEN))
             total += gain
-        return total
+        return total + self.moves[state].get(END, (0, UNSEEN))[1]
 
 
-def infer(formats: list[tuple[str, int]], alpha: float = 0.05) -> Automaton:
-    """Merges compatible states of the formats' prefix tree, red states first, nearest the root.
+def infer(formats: list[tuple[str, int]], alpha: float = 0.05, min_support: int = MIN_SUPPORT) -> Automaton:
+    """Merges compatible states of the formats' prefix tree, states that are kept first, nearest the root.
 
-    Two states are compatible if the shares of ending and of each next class
-    differ by less than Hoeffding's bound at alpha, and so do those of all
-    states that their merging would fold together.
+    Two states are compatible if the shares of ending and of each next symbol differ by
+    less than Hoeffding's bound at alpha, and so do those of all states that their merging
+    would fold together, as far as both have min_support tokens. A state with fewer tokens
+    has no say of its own: it joins the kept state under which its tokens are likeliest.
     """
     nxt: list[dict[str, int]] = [{}]
-    seen: list[dict[str, int]] = [defaultdict(int)]
-    ends = [0]
+    seen: list[Counter] = [Counter()]
     for form, n in formats:
         s = 0
         for c in form:
@@ -109,117 +164,161 @@ def infer(formats: list[tuple[str, int]], alpha: float = 0.05) -> Automaton:
             if c not in nxt[s]:
                 nxt[s][c] = len(nxt)
                 nxt.append({})
-                seen.append(defaultdict(int))
-                ends.append(0)
+                seen.append(Counter())
             s = nxt[s][c]
-        ends[s] += n
+        seen[s][END] += n
     width = math.sqrt(0.5 * math.log(2 / alpha))
 
-    def total(s: int) -> int:
-        return ends[s] + sum(seen[s].values())
-
     def compatible(a: int, b: int) -> bool:
-        todo = [(a, b)]
+        todo, met = [(a, b)], set()
         while todo:
             a, b = todo.pop()
-            na, nb = total(a), total(b)
-            if not na or not nb:
+            na, nb = seen[a].total(), seen[b].total()
+            if (a, b) in met or min(na, nb) < min_support:
                 continue
+            met.add((a, b))
             bound = width * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-            if abs(ends[a] / na - ends[b] / nb) >= bound:
+            if any(abs(seen[a][c] / na - seen[b][c] / nb) >= bound for c in seen[a].keys() | seen[b].keys()):
                 return False
-            for c in seen[a].keys() | seen[b].keys():
-                if abs(seen[a].get(c, 0) / na - seen[b].get(c, 0) / nb) >= bound:
-                    return False
             todo += [(nxt[a][c], nxt[b][c]) for c in nxt[a].keys() & nxt[b].keys() if nxt[a][c] != nxt[b][c]]
         return True
 
+    def likelihood(a: int, b: int) -> float:
+        """How likely a's shares make what b has seen."""
+        na = seen[a].total() + len(SYMBOLS) + 1
+        return sum(n * math.log2((seen[a][c] + 1) / na) for c, n in seen[b].items())
+
     def fold(a: int, b: int) -> None:
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
-            ends[a] += ends[b]
-            for c, n in seen[b].items():
-                seen[a][c] += n
+            seen[a].update(seen[b])
             for c, t in nxt[b].items():
-                if c in nxt[a]:
-                    if nxt[a][c] != t:
-                        todo.append((nxt[a][c], t))
-                else:
+                if c not in nxt[a]:
                     nxt[a][c] = t
+                elif nxt[a][c] != t:
+                    todo.append((nxt[a][c], t))
 
-    red = [0]
-    blue = [(0, c) for c in sorted(nxt[0])]
-    while blue:
-        p, c = blue.pop(0)
+    kept = [0]
+    edges = deque((0, c) for c in sorted(nxt[0]))
+    while edges:
+        p, c = edges.popleft()
         b = nxt[p][c]
-        if b in red:
+        if b in kept:
             continue
-        into = next((r for r in red if compatible(r, b)), None)
+        if seen[b].total() < min_support:
+            into = max(kept, key=lambda r: (likelihood(r, b), -r))
+        else:
+            into = next((r for r in kept if compatible(r, b)), None)
         if into is None:
-            red.append(b)
-            blue += [(b, x) for x in sorted(nxt[b])]
+            kept.append(b)
+            edges += [(b, x) for x in sorted(nxt[b])]
         else:
             nxt[p][c] = into
             fold(into, b)
-            blue += [(r, x) for r in red for x in sorted(nxt[r]) if nxt[r][x] not in red and (r, x) not in blue]
-    number = {s: i for i, s in enumerate(red)}
+            edges += [(r, x) for r in kept for x in sorted(nxt[r]) if nxt[r][x] not in kept and (r, x) not in edges]
+    number = {s: i for i, s in enumerate(kept)}
     moves = []
-    for s in red:
-        n = sum(seen[s].values()) + 0.5 * len(CLASSES)
-        moves.append({c: (number[t], math.log2((seen[s][c] + 0.5) / n)) for c, t in nxt[s].items() if t in number})
+    for s in kept:
+        n = seen[s].total()
+        moves.append({c: (number.get(nxt[s].get(c), 0), math.log2(k / n)) for c, k in sorted(seen[s].items()) if k})
     return Automaton(moves)
 
 
-def learn(scanned: DataFrame, max_labelled: int = MAX_LABELLED, keep_share: float = 0.98) -> dict:
-    """Automata by kind, background bits by class, and the score below which tokens are left alone.
+@dataclass
+class Model:
+    """Automata by kind, and counts of each symbol after two others in tokens without a label."""
+
+    automata: dict[str, Automaton]
+    after: dict[str, Counter]
+
+    def others(self, form: str) -> float:
+        """log2 of the format's probability among the other tokens."""
+        total, before = 0.0, END * 2
+        for c in form + END:
+            seen = self.after.get(before, Counter())
+            total += math.log2((seen[c] + 1) / (seen.total() + len(SYMBOLS) + 1))
+            before = before[1] + c
+        return total
+
+    def score(self, form: str) -> tuple[float, str]:
+        """Bits by which the best automaton makes the format likelier than the other tokens do, and its kind."""
+        rest = self.others(form)
+        return max(((a.bits(form) - rest, k) for k, a in self.automata.items()), default=(-math.inf, ""))
 
-    Labelled formats come from all texts; of each kind the max_labelled distinct ones
-    with the smallest hashes are learned from. Background shares count all candidates.
+
+def learn(docs: DataFrame, text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
+    """The model of a table.
+
+    Labelled formats of up to MAX_FORMAT characters are counted in all texts; of each kind the
+    max_labelled distinct ones with the smallest hashes are learned from, with their counts.
     """
-    pairs = scanned.select(F.explode("labelled").alias("x")).groupBy("x.kind", "x.format").agg(F.count("*").alias("n"))
-    automata, samples = {}, {}
+    found = cut(counts(docs, text_col))
+    labelled = {}
     for kind in KINDS:
-        rows = pairs.where(F.col("kind") == kind).orderBy(F.xxhash64("format"), "format").limit(max_labelled).collect()
-        samples[kind] = sorted((r["format"], 1) for r in rows)
-        if rows:
-            automata[kind] = infer(samples[kind])
-    sums = scanned.agg(*[F.coalesce(F.sum(F.col("counts")[i]), F.lit(0)).alias(f"c{i}") for i in range(len(CLASSES))]).first()
-    n = sum(sums) + len(CLASSES)
-    background = {c: math.log2((sums[i] + 1) / n) for i, c in enumerate(CLASSES)}
-    least = {}
-    for kind, machine in automata.items():
-        scores = sorted(_score(machine, background, f) for f, _ in samples[kind] if len(f) >= 16)
-        least[kind] = max(0.5, scores[int((1 - keep_share) * len(scores))]) if scores else math.inf
-    return {"automata": automata, "background": background, "least": least}
-
-
-def _score(machine: Automaton, background: dict[str, float], form: str) -> float:
-    return (machine.bits(form) - sum(background[c] for c in form)) / max(1, len(form))
-
-
-def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """(id, n_assign, n_access, n_hex, base, spans) for every row of docs.
-
-    base and spans list kind:start:end by start, then kind as listed, comma-joined;
-    spans adds tokens whose format an automaton finds likely, as like_<kind>. Null and
-    empty texts have none; repeated rows each get a row; with no labelled credential in
-    the table nothing is added; other columns of docs are ignored.
+        rows = found.where(F.col("kind") == kind).orderBy(F.xxhash64("format"), "format").limit(max_labelled).collect()
+        labelled[kind] = sorted((r["format"], r["n"]) for r in rows)
+    after: dict[str, Counter] = defaultdict(Counter)
+    for r in found.where("kind = ''").collect():  # at most one row for each three symbols
+        after[r["format"][:2]][r["format"][2]] = r["n"]
+    return Model({k: infer(x) for k, x in labelled.items() if x}, dict(after))
+
+
+class Scorer:
+    """Scores all tokens of texts, remembering the verdicts on tokens' classes."""
+
+    def __init__(self, model: Model, least: float):
+        self.model, self.least, self.known = model, least, {}
+
+    def judge(self, classes: bytes) -> tuple[float, list[tuple[int, int, str]]]:
+        """The best score among a token's parts, and (start, end, kind) of those taken for secrets."""
+        found = self.known.get(classes)
+        if found is None:
+            best, taken = -math.inf, []
+            for i, j, form in parts(classes):
+                score, kind = self.model.score(form)
+                best = max(best, score)
+                if score >= self.least:
+                    taken.append((i, j, kind))
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            found = self.known[classes] = (best, taken)
+        return found
+
+    def __call__(self, text: str | None) -> tuple:
+        text = text or ""
+        raw = text.encode()
+        base = base_spans(text, raw)
+        spans = [(i, k, j, KINDS[k]) for i, k, j, _, _ in base]
+        best, some = -math.inf, False
+        for classes in set(raw.translate(_CLASS).split()):
+            score, taken = self.judge(classes)
+            best, some = max(best, score), some or bool(taken)
+        if some:
+            for m in TOKEN.finditer(text):
+                for i, j, kind in self.judge(classes_of(m.group()))[1]:
+                    i, j = m.start() + i, m.start() + j
+                    if not any(s <= i and j <= e for s, _, e, *_ in base):
+                        spans.append((i, len(KINDS) + KINDS.index(kind), j, f"like_{kind}"))
+        listed = lambda found: ",".join(f"{k}:{i}:{j}" for i, _, j, k in found)
+        return (*[sum(b[1] == k for b in base) for k in range(3)], listed(spans[: len(base)]), listed(sorted(spans)), None if best == -math.inf else round(best, 3))
+
+
+def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, least_bits: float = LEAST_BITS) -> DataFrame:
+    """(id, n_assign, n_access, n_hex, base, spans, score) for every row of docs.
+
+    base and spans list kind:start:end by start, then kind as listed, comma-joined; spans
+    adds the tokens whose format an automaton makes likelier than the other tokens do by
+    least_bits or more, as like_<kind>, unless they lie in a base span. score is the best of
+    all the text's tokens, base ones included; null without tokens or automata. Null and
+    empty texts have no spans; repeated rows each get a row; with no labelled credential in
+    the table nothing is added; a token of any length is one token; other columns of docs are
+    ignored.
     """
-    scanned = cut(scan(docs, id_col, text_col))
-    model = learn(scanned, max_labelled)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    order = {k: i for i, k in enumerate([*KINDS, *[f"like_{k}" for k in KINDS]])}
-
-    @F.udf("string")
-    def added(base, others):
-        m = sent.value
-        spans = [(int(s), order[k], int(e), k) for k, s, e in (x.split(":") for x in base.split(",") if x)]
-        for o in others:
-            over, kind = max(((_score(a, m["background"], o["format"]) - m["least"][k], k) for k, a in m["automata"].items()), default=(-1, ""))
-            if over >= 0:
-                kind = f"like_{kind}"
-                spans.append((o["start"], order[kind], o["end"], kind))
-        return ",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(spans))
-
-    return scanned.select(id_col, "n_assign", "n_access", "n_hex", "base", added("base", "others").alias("spans"))
+    sent = docs.sparkSession.sparkContext.broadcast(learn(docs, text_col, max_labelled))
+
+    def make():
+        scorer = Scorer(sent.value, least_bits)
+        return lambda texts: [scorer(t) for t in texts]
+
+    return map_texts(docs, make, "n_assign bigint, n_access bigint, n_hex bigint, base string, spans string, score double", id_col, text_col)
