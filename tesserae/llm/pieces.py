@@ -1,23 +1,20 @@
-"""Token ids of a word-level BPE vocabulary, with each piece of a batch encoded once.
-
-The vocabulary drops white space before its merges, so a text's ids are the ids of the
-pieces between spaces, tabs and line ends, in order: those are safe boundaries. Arrow
-splits a batch's texts there and numbers the distinct pieces; only these are encoded.
-Pieces of ASCII signs and Latin-1 letters go by the file's own merges, in one call over
-many words; all others, and whatever may hold a special token, go through the
-tokenizers library itself.
+"""Token ids of a word-level BPE vocabulary by the tokenizers library, with each distinct piece encoded once.
+
+The vocabulary drops white space before its merges and parts letters from signs, so a text
+can be split at spaces, tabs and line ends, and before the full stops and commas that end
+a piece after an ASCII letter: a text's ids are the ids of these pieces, in order. Arrow
+splits a batch's texts and numbers the distinct pieces; only those that the worker has not
+met are encoded, in batches, by the library alone.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import tiktoken
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
@@ -26,115 +23,87 @@ from tesserae.llm.common import held  # noqa: E402
 
 #: Bytes of text whose pieces are numbered together.
 SLICE_BYTES = 12 << 20
-_LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-#: Pieces that no normalisation but lower-casing changes and that hold no special token.
-_PLAIN = re.compile("[\x21-\x3b\x3d-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
-#: Plain pieces of one word and perhaps one sign, most of any text; RE2 has this one.
-_SIMPLE = f"^[A-Z\xc0-\xd6\xd8-\xde{_LETTERS}]+[.,]?$"
-#: The vocabulary's own split, for plain pieces in lower case.
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^0-9{_LETTERS}]+")
-_END = "\x00"
-
-
-def _byte_letters() -> dict[str, int]:
-    """The letters by which byte-level vocabularies write the 256 bytes."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+#: Pieces, and characters of pieces, whose ids a worker remembers; then it starts anew.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
+#: Pieces, or characters, in one call of the library.
+BATCH, BATCH_CHARS = 2000, 1 << 20
+#: What is split off at a piece's end.
+_TAIL = re.compile(r"(?<=[A-Za-z])[.,]+$")
 
 
 class Pieces:
     """Encodes texts by a tokenizers .json file; see the module."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.fast = None
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        if model.get("end_of_word_suffix") == "</w>" and not model.get("continuing_subword_prefix"):
-            self._merges(model["vocab"])
-
-    def _merges(self, vocab: dict[str, int]) -> None:
-        """The merges as byte ranks: a word's end is a zero byte, which joins the last letter first."""
-        letters = _byte_letters()
-        ranks, ids = {bytes([b]): b for b in range(256)}, [0] * 256
-        for token, i in sorted(vocab.items(), key=lambda x: x[1]):
-            stem = token.removesuffix("</w>")
-            key = bytes(letters[c] for c in stem) + (b"\x00" if stem != token else b"")
-            if key in ranks:
-                ids[ranks[key]] = i
-            else:
-                ranks[key] = len(ids)
-                ids.append(i)
-        self.fast = tiktoken.Encoding("merges", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
-        self.ids = np.array(ids, dtype="<u4")
-        self.ends = np.array([k.endswith(b"\x00") for k in sorted(ranks, key=ranks.get)])
-
-    def _merge(self, words: str, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, each with its end, and how many ids each run of counts words has."""
-        if not len(counts):
-            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        flat = self.fast.encode_ordinary(words)
-        got = np.fromiter(flat, np.int32, len(flat))
-        after = np.flatnonzero(self.ends[got]) + 1  # where each word ends
-        return self.ids[got], np.diff(after[np.cumsum(counts) - 1], prepend=0)
-
-    def _distinct(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, start, number) with start and number for each of the pieces."""
-        if not self.fast:
-            kind = np.full(len(new), 2)
-        else:
-            kind = np.where(pc.match_substring_regex(new, _SIMPLE).to_numpy(zero_copy_only=False), 0, 1)
-        simple = new.filter(pa.array(kind == 0))
-        text = (pc.binary_join(pa.LargeListArray.from_arrays([0, len(simple)], simple), pa.scalar(_END, simple.type))[0].as_py() + _END).lower().replace(".", _END + ".").replace(",", _END + ",")
-        signed = pc.match_substring_regex(simple, "[.,]$").to_numpy(zero_copy_only=False) if len(simple) else np.zeros(0, bool)
-        blocks = [(np.flatnonzero(kind == 0), *self._merge(text, 1 + signed.astype(np.int64)))] if self.fast else []
-        odd = np.flatnonzero(kind > 0)
-        others = list(zip(odd.tolist(), new.take(pa.array(odd)).to_pylist(), strict=True))
-        plain = [(i, p) for i, p in others if self.fast and _PLAIN.fullmatch(p)]
-        if plain:
-            words = [_WORDS.findall(p.lower()) for _, p in plain]
-            counts = np.array([len(w) for w in words])
-            blocks.append((np.array([i for i, _ in plain]), *self._merge(_END.join([*[w for ws in words for w in ws], ""]), counts)))
-        done = {i for i, _ in plain}
-        rest = [x for x in others if x[0] not in done]
-        for k in range(0, len(rest), 1000):
-            part = rest[k : k + 1000]
-            got = [e.ids for e in self.library.encode_batch([p for _, p in part], add_special_tokens=False)]
-            blocks.append((np.array([i for i, _ in part]), np.array([x for g in got for x in g], np.uint32), np.array([len(g) for g in got])))
-        start, number, at = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64), 0
-        for which, ids, sizes in blocks:
-            start[which] = at + np.cumsum(sizes) - sizes
-            number[which] = sizes
-            at += len(ids)
-        return np.concatenate([np.zeros(0, np.uint32), *[ids for _, ids, _ in blocks]]), start, number
-
-    def _numbered(self, texts: pa.Array):
-        """Each text's place among the pieces, each piece's number, and the distinct pieces' ids."""
+        self.remembered = remembered
+        self._forget()
+
+    def _forget(self) -> None:
+        """No piece but the empty one, number 0."""
+        self.known, self.chars, self.at = {"": 0}, 0, 0
+        self.ids, self.start, self.number = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces that are not known."""
+        found = []
+        at = 0
+        while at < len(new):
+            upto, chars = at, 0
+            while upto < len(new) and upto - at < BATCH and (upto == at or chars + len(new[upto]) <= BATCH_CHARS):
+                chars += len(new[upto])
+                upto += 1
+            found += [np.array(e.ids, np.uint32) for e in self.library.encode_batch(new[at:upto], add_special_tokens=False)]
+            at = upto
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        for k, p in enumerate(new, len(self.known)):
+            self.known[p] = k
+        self.chars += sum(map(len, new))
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.number = np.concatenate([self.number, sizes])
+        self.ids = np.concatenate([self.ids, *found])
+
+    def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text's pieces begin, and each piece's number; two for each run between spaces."""
         flat = pc.fill_null(texts.cast(pa.large_string()), "")
         for c in "\n\t":
             flat = pc.replace_substring(flat, c, " ")
         split = pc.split_pattern(flat, " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        return bounds, coded.indices.to_numpy(), self._distinct(coded.dictionary)
+        heads, tails = [], []
+        for p in coded.dictionary.to_pylist():
+            tail = m.group() if p[-1:] in ".," and (m := _TAIL.search(p)) else ""
+            heads.append(p[: len(p) - len(tail)])
+            tails.append(tail)
+        if len(self.known) > self.remembered or self.chars > REMEMBERED_CHARS:
+            self._forget()
+        if new := [p for p in dict.fromkeys([*heads, *tails]) if p not in self.known]:
+            self._learn(new)
+        get = self.known.__getitem__
+        both = np.empty((len(heads), 2), np.int32)
+        both[:, 0] = np.fromiter(map(get, heads), np.int32, len(heads))
+        both[:, 1] = np.fromiter(map(get, tails), np.int32, len(tails))
+        return 2 * bounds, both[coded.indices.to_numpy()].ravel()
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has. Null is empty."""
-        bounds, which, (_, _, number) = self._numbered(texts)
-        upto = np.concatenate([[0], np.cumsum(number[which])])
+        bounds, which = self._numbered(texts)
+        upto = np.concatenate([[0], np.cumsum(self.number[which])])
         return np.diff(upto[bounds])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids, unsigned 32-bit. Null is empty."""
-        bounds, which, (ids, start, number) = self._numbered(texts)
-        sizes = number[which]
+        bounds, which = self._numbered(texts)
+        which, kept = which[which > 0], np.concatenate([[0], np.cumsum(which > 0)])
+        bounds = kept[bounds]
+        sizes = self.number[which]
         upto = np.concatenate([[0], np.cumsum(sizes)])
-        take = np.repeat((start[which] - upto[:-1]).astype(np.int32), sizes)
+        take = np.repeat((self.start[which] - upto[:-1]).astype(np.int32), sizes)
         take += np.arange(len(take), dtype=np.int32)
-        flat = ids[take]
+        flat = self.ids[take]
         ends = upto[bounds]
         return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 

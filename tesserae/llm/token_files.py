@@ -13,8 +13,10 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import zstandard
@@ -30,13 +32,17 @@ SEGMENT_BYTES, FILE_SEGMENTS = 1 << 20, 32
 #: The dictionary is trained on this many documents of the smallest hashes, of at most so many bytes each.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 512, 16_384, 65_536
 LEVEL = 3
+#: What stands for a null id in the order of ids, and for the end of an id's rows.
+LEAST_ID, GREATEST = -(1 << 63), (1 << 63) - 1
 
 
 def train_dictionary(docs: DataFrame, id_col: str, text_col: str, path: str) -> bytes:
     """A zstandard dictionary of serialized id arrays from a bounded sample; empty if there is too little."""
     text = F.col(f"`{text_col}`").cast("string")
-    few = docs.select(text.alias("t"), F.col(f"`{id_col}`").alias("i")).where(F.octet_length("t").between(1, SAMPLE_BYTES))
-    rows = few.orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(SAMPLE_DOCUMENTS).select("t").collect()
+    few = docs.select(text.alias("t"), F.xxhash64(f"`{id_col}`", text).alias("h")).where(F.octet_length("t").between(1, SAMPLE_BYTES))
+    # Hashes alone are put in order; the texts of the least ones are fetched by them.
+    least = sorted({r["h"] for r in few.select("h").orderBy("h").limit(SAMPLE_DOCUMENTS).collect()})
+    rows = sorted(few.where(F.col("h").isin(least)).dropDuplicates(["h"]).collect(), key=lambda r: r["h"]) if least else []
     samples = [x.astype("<u2").tobytes() for x in pieces(path).encode(pa.array([r["t"] for r in rows], pa.string()))] if rows else []
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -44,6 +50,39 @@ def train_dictionary(docs: DataFrame, id_col: str, text_col: str, path: str) ->
         return b""
 
 
+def _buckets(keys: DataFrame, n: int):
+    """A column function of (key, h, row): which of n ranges of keys, about equally full, a row falls in.
+
+    Ranges are found from keys alone, so texts are encoded once and only frames move. A key
+    that fills several ranges is parted by h, its text's hash, and rows that are alike in
+    both are dealt to the ranges that they fill: these stand in any order.
+    """
+    ids = keys.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
+    times = Counter(ids) if n > 1 else {}
+    often = [k for k, c in times.items() if c > 1]
+    parted = {}
+    if often:
+        for r in keys.where(F.col("key").isin(often)).groupBy("key").agg(F.percentile_approx("h", [i / (2 * n) for i in range(1, 2 * n)], 10_000).alias("hs")).collect():
+            c = times[r["key"]]
+            parted[r["key"]] = [r["hs"][min(len(r["hs"]) - 1, round(2 * n * i / (c + 1)) - 1)] for i in range(1, c + 1)]
+    bounds = np.array([(k, h) for k in sorted(times) for h in parted.get(k, [GREATEST])], np.int64).reshape(-1, 2)
+    sent = keys.sparkSession.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def bucket(key: pd.Series, h: pd.Series, row: pd.Series) -> pd.Series:
+        b = sent.value
+        low, high = np.searchsorted(b[:, 0], key, "left"), np.searchsorted(b[:, 0], key, "right")
+        out = low.astype(np.int32)
+        for i in np.flatnonzero((high > low) & (b[np.minimum(low, len(b) - 1), 1] < GREATEST)) if len(b) else ():
+            own = b[low[i] : high[i], 1]
+            first = int(np.searchsorted(own, h[i], "left"))
+            alike = int(np.searchsorted(own, h[i], "right")) - first
+            out[i] += first + (hash(int(row[i])) % alike if alike > 1 else 0)
+        return pd.Series(out)
+
+    return bucket
+
+
 def _coder(dictionary: bytes):
     return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
 
@@ -55,10 +94,9 @@ def write_token_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_co
     n = partitions(spark)
     dictionary = train_dictionary(docs, id_col, text_col, path)
     mark = hashlib.sha256(dictionary).hexdigest()
-    # Ranges of ids are found from the ids alone, so texts are encoded once and only frames move.
-    bounds = docs.agg(F.percentile_approx(F.col(f"`{id_col}`").cast("bigint"), [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
-    key = F.col(f"`{id_col}`").cast("bigint")
-    bucket = F.coalesce(F.size(F.filter(F.lit(sorted(set(bounds))), lambda b: b < key)), F.lit(0)) if bounds else F.lit(0)
+    key = F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(LEAST_ID))
+    mark_of = F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    bucket = _buckets(docs.select(key.alias("key"), mark_of.alias("h")), n)
     sent = spark.sparkContext.broadcast(dictionary)
 
     def make():
@@ -75,8 +113,8 @@ def write_token_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_co
 
         return apply
 
-    frames = map_texts(docs, make, "n bigint, kind string, frame binary", id_col, text_col, {"bucket": F.when(key.isNull(), -1).otherwise(bucket)}, SLICE_BYTES, arrays=True)
-    frames = frames.select("bucket", F.col(id_col).cast("bigint").alias("id"), "n", "kind", "frame")
+    frames = map_texts(docs, make, "n bigint, kind string, frame binary", id_col, text_col, {"bucket": bucket(key, mark_of, F.monotonically_increasing_id()), "h": mark_of}, SLICE_BYTES, arrays=True)
+    frames = frames.select("bucket", F.col(id_col).cast("bigint").alias("id"), "n", "kind", "frame", "h")
 
     def pack(batches):
         held, size, at, seq, of = [], 0, 0, 0, None
@@ -95,7 +133,7 @@ def write_token_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_co
             return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for b in batches:
-            for bucket, i, k, kind, frame in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for bucket, i, k, kind, frame in zip(*[c.to_pylist() for c in b.columns[:5]], strict=True):
                 if bucket != of or (held and size + len(frame) > SEGMENT_BYTES):
                     if (done := close()) is not None:
                         yield done
@@ -109,7 +147,7 @@ def write_token_files(docs: DataFrame, out: str, id_col: str = "doc_id", text_co
 
     arrow = pa.schema([("bucket", pa.int32()), ("seq", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("kinds", pa.list_(pa.string())), ("offsets", pa.list_(pa.int64())), ("data", pa.binary()), ("dictionary", pa.string())])
     schema = "bucket int, seq int, first_id bigint, last_id bigint, ids array<bigint>, starts array<bigint>, sizes array<bigint>, kinds array<string>, offsets array<bigint>, data binary, dictionary string"
-    ordered = frames.repartition(n, "bucket").sortWithinPartitions("bucket", "id", "n", "frame")
+    ordered = frames.repartitionById(n, "bucket").sortWithinPartitions("bucket", "id", "h")
     ordered.mapInArrow(pack, schema).write.option("maxRecordsPerFile", FILE_SEGMENTS).parquet(f"{out}/segments")
     spark.createDataFrame([(mark, bytearray(dictionary))], "hash string, data binary").coalesce(1).write.parquet(f"{out}/dictionary")
 
@@ -166,8 +204,8 @@ def read_token_files(spark: SparkSession, folder: str, ids: list[int] | None = N
 def token_files(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, out: str | None = None) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every row, read back from token files that it writes.
 
-    Null texts hold the end id alone; rows that repeat an id stand side by side, the shorter
-    first; rows with a null id stand first of all; an empty table gives empty files and an
+    Null texts hold the end id alone; rows that repeat an id stand side by side, in the order
+    of their texts' hashes; rows with a null id stand first of all; an empty table gives empty files and an
     empty result; other columns of docs are ignored. Files go to a new folder in the
     shared one unless out names another.
     """

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tesserae.llm import byte_bpe, token_counts, token_files
-from tesserae.llm.pieces import pieces
+from tesserae.llm.pieces import Pieces, pieces
 from tests.llm.cases import SCHEMA, clashing, documents, long_text, rows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -31,6 +31,15 @@ def test_pieces_equal_the_library(texts):
     assert pieces(PATH).counts(pa.array(texts, pa.string())).tolist() == [len(g) for g in got]
 
 
+def test_forgotten_pieces():
+    texts = [f"Word{i}, again{i}. x.{i} a..., b.,c <|endoftext|>. é., " + "Long" * (i % 5) for i in range(500)]
+    p = Pieces(PATH, remembered=50)
+    for k in range(0, 500, 20):
+        part = texts[k : k + 20] + texts[:3]
+        assert [g.tolist() for g in p.encode(pa.array(part))] == [ids_of(t) for t in part]
+        assert len(p.known) < 400
+
+
 def test_pieces_equal_the_library_on_documents(spark, sf):
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     assert [g.tolist() for g in pieces(PATH).encode(pa.array(texts))] == [ids_of(t) for t in texts]
@@ -50,10 +59,28 @@ def test_counts(spark, clash):
 def test_files(spark, clash):
     docs = documents(spark)
     got = token_files.token_files(clashing(docs) if clash else docs).collect()
-    made = sorted(((d if d is not None else -1, len(ids_of(t)) + 1, zlib.crc32(np.array([*ids_of(t), 1], "<u4").tobytes())) for d, t, *_ in rows()), key=lambda x: x[:2])
-    starts = np.cumsum([0, *[n for _, n, _ in made]])
-    want = [(d, int(s), n, c) for (d, n, c), s in zip(made, starts, strict=False)]
-    assert sorted((r.doc_id if r.doc_id is not None else -1, r.start, r.n_tokens, r.ids_crc32) for r in got) == sorted(want)
+    made = {}
+    for d, t, *_ in rows():
+        made.setdefault(d if d is not None else -1, []).append((len(ids_of(t)) + 1, zlib.crc32(np.array([*ids_of(t), 1], "<u4").tobytes())))
+    found = sorted((r.start, r.doc_id if r.doc_id is not None else -1, r.n_tokens, r.ids_crc32) for r in got)
+    assert [s for s, *_ in found] == np.cumsum([0, *[n for _, _, n, _ in found]])[:-1].tolist()
+    assert [d for _, d, *_ in found] == sorted(d for d, x in made.items() for _ in x)
+    assert sorted(found, key=lambda x: x[1:])[0][1] == -1
+    assert sorted((d, n, c) for _, d, n, c in found) == sorted((d, n, c) for d, x in made.items() for n, c in x)
+
+
+@pytest.mark.parametrize("hot", [None, 7])
+def test_files_of_one_hot_id(spark, tmp_path, hot):
+    """Rows of one id, half of them alike, are spread over tasks and still stand in the order of ids."""
+    docs = [(hot if i % 2 else i, "the same words" if i % 4 == 1 else f"words number {i} " + long_text(i % 9, i)) for i in range(2000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    token_files.write_token_files(df, str(tmp_path / "f"))
+    sizes = spark.read.parquet(str(tmp_path / "f" / "segments")).selectExpr("bucket", "size(ids) as n").groupBy("bucket").sum("n").collect()
+    assert len(sizes) >= 3 and max(r[1] for r in sizes) <= 1000
+    got = token_files.read_token_files(spark, str(tmp_path / "f")).orderBy("start").collect()
+    assert [r.id for r in got] == sorted((d for d, _ in docs), key=lambda d: (d is not None, d or 0))
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    assert sorted(map(tuple, [(r.n_tokens, r.crc32) for r in got])) == sorted((len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in ([*ids_of(t), 1] for _, t in docs))
 
 
 def test_file_format(spark, tmp_path):
