@@ -1,4 +1,12 @@
-"""Main text of web pages: flat text blocks, judged by a decision tree over them and their neighbours."""
+"""Main text of web pages: flat text blocks, judged by a decision tree over them and their neighbours.
+
+A block's words and link density, and those of the blocks before and after it, are the
+tree's main features. Beside them it sees the block's kind of element, whether menus,
+footers or forms hold it, whether the page's article does, and whether a name around it
+speaks of adverts, comments and the like. The tree is grown from a small labelled table
+of pages on which none of these is right alone: menus and teasers in articles, articles
+in forms, text outside of the marked article, pages without any mark or name.
+"""
 
 from __future__ import annotations
 
@@ -25,36 +33,81 @@ ARTICLE = {"article", "main"}
 ARTICLE_WORDS = {"article", "articlebody", "post-content", "entry-content", "main-content", "article-body", "post-body", "story-body"}
 _HOLDS = {"div", "section", "article", "main", "nav", "footer", "aside", "form", "header", "menu", "ul", "ol", "table", "dialog", "fieldset", "button", "blockquote", "figure", "details", "p", "td", "li"}
 
-#: Where a block stands: in what surrounds articles, outside the article of a page that marks
-#: one, on a page that marks none, or in a marked article.
-AROUND_IT, OUTSIDE, UNMARKED, INSIDE = range(4)
-FEATURES = ("place", "words", "links", "words_before", "links_before", "words_after", "links_after")
-#: A small labelled table of blocks, made by hand: FEATURES, then 1 for main text.
+#: Words in names that mark even an <article> as something else.
+OTHER_ARTICLES = {"comment", "comments", "reply", "card", "teaser", "related", "recommended", "promo", "ad"}
+#: Words in names of what lays a page out, whatever else they speak of.
+LAYOUT_WORDS = {"with", "has", "no", "without", "layout", "wrapper", "container", "page", "site"}
+#: Kinds of elements, and where a block stands: outside the article of a page that marks one, on a page that marks none, in the article.
+DIV, CELL, HEAD, PARA = range(4)
+OUT, NONE, IN = range(3)
+KINDS = {**dict.fromkeys(["h1", "h2", "h3", "h4", "h5", "h6"], HEAD), **dict.fromkeys(["p", "blockquote", "pre"], PARA), **dict.fromkeys(["li", "td", "th", "dd", "dt", "option", "figcaption", "caption", "label", "legend", "summary"], CELL)}
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "kind", "framed", "article", "named")
+#: The labelled table: for each page its blocks in order, as kind, framed, article, named, words, words in links, and 1 for main text.
 LABELLED = [
-    # Pages that mark their article: blocks in it, long or short, then blocks outside it.
-    (3, 120, 0.0, 80, 0.0, 60, 0.0, 1), (3, 45, 0.0, 8, 0.0, 90, 0.0, 1), (3, 8, 0.0, 0, 0.0, 70, 0.0, 1), (3, 1, 0.0, 30, 0.0, 25, 0.0, 1),
-    (3, 2, 0.0, 1, 0.0, 3, 0.0, 1), (3, 60, 0.2, 40, 0.1, 50, 0.0, 1), (3, 6, 1.0, 50, 0.0, 40, 0.0, 1), (3, 15, 0.5, 0, 0.0, 0, 0.0, 1),
-    (3, 200, 0.02, 3, 1.0, 10, 0.0, 1), (3, 30, 0.0, 14, 0.0, 5, 1.0, 1),
-    (1, 25, 0.0, 1, 1.0, 40, 0.0, 0), (1, 3, 0.0, 2, 0.0, 90, 0.0, 0), (1, 90, 0.0, 70, 0.0, 2, 1.0, 0), (1, 5, 1.0, 30, 0.0, 5, 1.0, 0),
-    (3, 2, 0.0, 2, 0.0, 11, 0.0, 1), (3, 1, 0.0, 1, 0.0, 1, 0.0, 1), (3, 5, 0.0, 90, 0.0, 0, 0.0, 1), (3, 3, 1.0, 2, 1.0, 1, 1.0, 1),
-    (3, 12, 0.9, 1, 1.0, 0, 0.0, 1), (3, 4, 0.0, 2, 1.0, 2, 0.0, 1), (3, 10, 0.0, 0, 0.0, 1, 0.0, 1), (3, 7, 0.6, 60, 0.0, 2, 1.0, 1),
-    (3, 20, 1.0, 20, 0.0, 3, 0.0, 1), (3, 6, 0.0, 5, 0.0, 4, 1.0, 1), (3, 2, 0.5, 1, 0.0, 2, 0.0, 1), (3, 40, 0.7, 2, 0.0, 1, 0.0, 1),
-    (2, 60, 0.0, 3, 1.0, 2, 1.0, 1), (2, 35, 0.0, 40, 0.0, 1, 1.0, 1), (2, 22, 0.1, 0, 0.0, 2, 1.0, 1), (2, 14, 0.0, 60, 0.0, 70, 0.0, 1),
-    (2, 3, 0.0, 2, 1.0, 3, 1.0, 0), (2, 2, 0.0, 1, 1.0, 0, 0.0, 0), (2, 9, 1.0, 70, 0.0, 60, 0.0, 0), (2, 6, 0.7, 3, 1.0, 3, 1.0, 0),
-    # Menus, footers, asides, forms, notices and comments, on any page.
-    (0, 1, 1.0, 1, 1.0, 1, 1.0, 0), (0, 4, 1.0, 2, 1.0, 3, 1.0, 0), (0, 12, 0.0, 1, 1.0, 8, 0.0, 0), (0, 60, 0.0, 30, 0.0, 0, 0.0, 0),
-    (0, 7, 0.0, 60, 0.0, 0, 0.0, 0), (0, 35, 0.1, 5, 1.0, 6, 0.0, 0), (0, 80, 0.0, 90, 0.0, 60, 0.0, 0), (0, 2, 1.0, 70, 0.0, 2, 1.0, 0),
-    (0, 14, 0.0, 20, 0.0, 14, 0.0, 0), (0, 50, 0.0, 2, 0.0, 50, 0.0, 0), (0, 50, 0.0, 40, 0.0, 30, 0.0, 0), (0, 12, 0.0, 60, 0.0, 3, 0.0, 0),
-    (0, 2, 1.0, 2, 1.0, 40, 0.0, 0), (0, 90, 0.0, 2, 1.0, 90, 0.0, 0),
-    # Pages that mark no article: long blocks with few links and short ones between them, or not.
-    (2, 80, 0.0, 60, 0.0, 70, 0.0, 1), (2, 40, 0.05, 1, 1.0, 90, 0.0, 1), (2, 25, 0.0, 50, 0.0, 0, 0.0, 1), (2, 150, 0.1, 0, 0.0, 0, 0.0, 1),
-    (2, 6, 0.0, 40, 0.0, 60, 0.0, 1), (2, 2, 0.0, 30, 0.0, 45, 0.0, 1), (2, 9, 0.0, 2, 1.0, 80, 0.0, 1), (2, 12, 0.0, 35, 0.0, 12, 0.0, 1),
-    (2, 18, 0.0, 4, 0.0, 40, 0.0, 1), (2, 30, 0.25, 45, 0.0, 30, 0.1, 1), (2, 1, 1.0, 1, 1.0, 1, 1.0, 0), (2, 3, 1.0, 4, 1.0, 60, 0.0, 0),
-    (2, 10, 0.9, 40, 0.0, 8, 1.0, 0), (2, 30, 0.8, 5, 1.0, 6, 1.0, 0), (2, 4, 0.0, 1, 1.0, 1, 1.0, 0), (2, 5, 0.0, 2, 0.0, 0, 0.0, 0),
-    (2, 7, 0.0, 0, 0.0, 2, 1.0, 0), (2, 20, 0.6, 60, 0.0, 0, 0.0, 0),
+    # An article with its mark, short and long paragraphs, between a menu, an advert and a footer.
+    [(CELL, 1, OUT, 0, 1, 1, 0), (CELL, 1, OUT, 0, 2, 2, 0), (DIV, 0, OUT, 1, 7, 0, 0), (HEAD, 0, IN, 0, 9, 0, 1), (PARA, 0, IN, 0, 45, 0, 1), (PARA, 0, IN, 0, 2, 0, 1), (PARA, 0, IN, 0, 80, 3, 1),
+     (PARA, 0, IN, 0, 1, 0, 1), (HEAD, 0, IN, 0, 3, 0, 1), (PARA, 0, IN, 0, 12, 0, 1), (CELL, 0, IN, 0, 8, 0, 1), (CELL, 0, IN, 0, 3, 0, 1), (PARA, 0, IN, 0, 66, 0, 1), (DIV, 1, OUT, 0, 9, 0, 0)],
+    # The same without names: a notice, a list of links and a linked sentence inside.
+    [(DIV, 0, OUT, 0, 6, 0, 0), (PARA, 0, OUT, 0, 25, 1, 0), (HEAD, 0, IN, 0, 6, 0, 1), (PARA, 0, IN, 0, 70, 0, 1), (PARA, 0, IN, 0, 5, 5, 1), (PARA, 0, IN, 0, 50, 4, 1), (CELL, 0, IN, 0, 4, 4, 0), (CELL, 0, IN, 0, 6, 6, 0),
+     (CELL, 0, IN, 0, 5, 5, 0), (DIV, 0, OUT, 0, 2, 2, 0), (PARA, 1, OUT, 0, 14, 1, 0)],
+    # No mark and no name: what is long and free of links, and what stands between it.
+    [(DIV, 0, NONE, 0, 1, 1, 0), (DIV, 0, NONE, 0, 1, 1, 0), (DIV, 0, NONE, 0, 2, 2, 0), (HEAD, 0, NONE, 0, 8, 0, 1), (PARA, 0, NONE, 0, 60, 0, 1), (PARA, 0, NONE, 0, 3, 0, 1), (PARA, 0, NONE, 0, 90, 2, 1), (PARA, 0, NONE, 0, 14, 0, 1),
+     (DIV, 0, NONE, 0, 5, 0, 0), (PARA, 0, NONE, 0, 40, 0, 1), (PARA, 0, NONE, 0, 6, 0, 1), (PARA, 0, NONE, 0, 1, 0, 1), (PARA, 0, NONE, 0, 20, 0, 1), (DIV, 0, NONE, 0, 2, 2, 0), (DIV, 0, NONE, 0, 3, 3, 0), (DIV, 0, NONE, 0, 6, 0, 0)],
+    # Text in plain containers.
+    [(CELL, 0, NONE, 0, 1, 1, 0), (CELL, 0, NONE, 0, 2, 2, 0), (DIV, 0, NONE, 0, 11, 0, 0), (HEAD, 0, NONE, 0, 5, 0, 1), (DIV, 0, NONE, 0, 70, 2, 1), (DIV, 0, NONE, 0, 55, 0, 1), (DIV, 0, NONE, 0, 120, 5, 1), (DIV, 0, NONE, 0, 8, 6, 0),
+     (DIV, 0, NONE, 0, 4, 4, 0), (DIV, 0, NONE, 0, 10, 0, 0)],
+    # Teasers are marked as articles, the text is not.
+    [(CELL, 1, OUT, 0, 1, 1, 0), (PARA, 0, OUT, 0, 85, 0, 1), (PARA, 0, OUT, 0, 70, 1, 1), (PARA, 0, OUT, 0, 95, 0, 1), (PARA, 0, OUT, 0, 110, 2, 1), (HEAD, 0, IN, 0, 4, 4, 0), (PARA, 0, IN, 0, 18, 14, 0), (HEAD, 0, IN, 0, 6, 6, 0),
+     (PARA, 0, IN, 0, 15, 12, 0), (HEAD, 0, IN, 0, 5, 5, 0), (PARA, 0, IN, 0, 20, 15, 0), (DIV, 1, OUT, 0, 7, 1, 0)],
+    # Readers' comments below and inside the article.
+    [(HEAD, 0, IN, 0, 7, 0, 1), (PARA, 0, IN, 0, 65, 1, 1), (PARA, 0, IN, 0, 30, 0, 1), (PARA, 0, IN, 0, 9, 0, 1), (HEAD, 0, IN, 1, 2, 0, 0), (PARA, 0, IN, 1, 40, 0, 0), (PARA, 0, IN, 1, 12, 0, 0), (PARA, 0, OUT, 1, 33, 0, 0), (PARA, 0, OUT, 1, 75, 1, 0),
+     (PARA, 0, OUT, 1, 4, 0, 0), (PARA, 0, OUT, 1, 90, 0, 0), (DIV, 1, OUT, 0, 2, 0, 0)],
+    # A form holds the whole page.
+    [(CELL, 1, NONE, 0, 1, 1, 0), (CELL, 1, NONE, 0, 1, 1, 0), (PARA, 1, NONE, 0, 80, 0, 1), (PARA, 1, NONE, 0, 75, 1, 1), (PARA, 1, NONE, 0, 90, 0, 1), (PARA, 1, NONE, 0, 100, 2, 1), (DIV, 1, NONE, 0, 3, 0, 0), (CELL, 1, NONE, 0, 2, 0, 0)],
+    # A cookie notice first, quotations, a box of comments on a page without marks.
+    [(DIV, 0, NONE, 0, 24, 5, 0), (DIV, 0, NONE, 0, 1, 1, 0), (HEAD, 0, NONE, 0, 10, 0, 1), (PARA, 0, NONE, 0, 48, 0, 1), (PARA, 0, NONE, 0, 15, 0, 1), (PARA, 0, NONE, 0, 52, 3, 1), (CELL, 0, NONE, 0, 9, 0, 1), (CELL, 0, NONE, 0, 12, 1, 1),
+     (PARA, 0, NONE, 0, 33, 0, 1), (HEAD, 0, NONE, 1, 2, 0, 0), (PARA, 0, NONE, 1, 28, 0, 0), (PARA, 0, NONE, 1, 60, 1, 0), (PARA, 0, NONE, 1, 80, 0, 0)],
+    # Sidebars with prose, a short life of the author outside.
+    [(HEAD, 1, OUT, 0, 2, 0, 0), (PARA, 1, OUT, 0, 55, 0, 0), (PARA, 1, OUT, 0, 20, 2, 0), (PARA, 1, OUT, 0, 23, 0, 0), (HEAD, 0, IN, 0, 8, 0, 1), (PARA, 0, IN, 0, 100, 8, 1), (PARA, 0, IN, 0, 23, 0, 1), (PARA, 1, IN, 0, 23, 0, 0), (PARA, 0, IN, 0, 5, 0, 1),
+     (HEAD, 0, OUT, 0, 3, 0, 0), (PARA, 0, OUT, 0, 45, 2, 0), (DIV, 0, OUT, 0, 2, 2, 0)],
+    # Very short articles, with and without a mark.
+    [(HEAD, 0, IN, 0, 3, 0, 1), (PARA, 0, IN, 0, 1, 0, 1), (PARA, 0, IN, 0, 2, 0, 1), (DIV, 1, OUT, 0, 8, 0, 0)],
+    [(DIV, 0, NONE, 0, 1, 1, 0), (HEAD, 0, NONE, 0, 4, 0, 1), (PARA, 0, NONE, 0, 22, 0, 1), (DIV, 0, NONE, 0, 3, 1, 0)],
+    # An article rich in links, with containers for text and tables.
+    [(CELL, 1, OUT, 0, 2, 2, 0), (DIV, 0, IN, 0, 35, 2, 1), (PARA, 0, IN, 0, 60, 30, 1), (PARA, 0, IN, 0, 22, 12, 1), (CELL, 0, IN, 0, 2, 0, 1), (CELL, 0, IN, 0, 1, 0, 1), (CELL, 0, IN, 0, 4, 0, 1), (DIV, 0, IN, 0, 6, 0, 1), (PARA, 0, IN, 0, 41, 6, 1),
+     (DIV, 0, IN, 1, 3, 3, 0), (DIV, 0, IN, 1, 2, 0, 0), (PARA, 0, IN, 0, 18, 0, 1), (PARA, 1, OUT, 0, 60, 0, 0), (DIV, 1, OUT, 0, 5, 3, 0)],
+    # Long paragraphs right after and before what does not belong; short containers and linked sentences in the article.
+    [(CELL, 1, OUT, 0, 2, 2, 0), (DIV, 0, OUT, 1, 7, 0, 0), (PARA, 0, IN, 0, 130, 2, 1), (PARA, 0, IN, 0, 24, 6, 1), (DIV, 0, IN, 0, 9, 0, 1), (PARA, 0, IN, 0, 12, 0, 1), (PARA, 0, IN, 0, 12, 3, 1), (PARA, 0, IN, 0, 140, 3, 1), (PARA, 0, OUT, 0, 12, 1, 0), (DIV, 1, OUT, 0, 40, 2, 0)],
+    [(DIV, 0, OUT, 0, 10, 0, 0), (PARA, 0, IN, 0, 105, 0, 1), (DIV, 0, IN, 0, 2, 0, 1), (DIV, 0, IN, 0, 11, 0, 1), (PARA, 0, IN, 0, 3, 1, 1), (DIV, 0, IN, 0, 15, 0, 1), (PARA, 0, IN, 0, 125, 0, 1), (DIV, 1, OUT, 0, 70, 1, 0)],
+    [(PARA, 0, OUT, 0, 18, 1, 0), (PARA, 0, IN, 0, 99, 0, 1), (PARA, 0, IN, 0, 33, 8, 1), (PARA, 0, IN, 0, 4, 4, 0), (PARA, 0, IN, 0, 5, 5, 0), (PARA, 0, IN, 0, 4, 3, 0), (PARA, 1, OUT, 0, 30, 1, 0)],
+    [(PARA, 0, NONE, 0, 23, 0, 1), (PARA, 0, NONE, 0, 40, 0, 1), (PARA, 1, NONE, 0, 92, 1, 0)],
+    [(PARA, 1, NONE, 0, 110, 0, 0), (HEAD, 0, NONE, 0, 6, 0, 1), (PARA, 0, NONE, 0, 44, 0, 1)],
+    # Pages that break off in their text, or end with it.
+    [(HEAD, 0, IN, 0, 7, 0, 1), (PARA, 0, IN, 0, 40, 0, 1), (PARA, 0, IN, 0, 30, 0, 1)],
+    [(CELL, 1, OUT, 0, 1, 1, 0), (PARA, 0, IN, 0, 22, 0, 1), (PARA, 0, IN, 0, 2, 0, 1)],
+    [(PARA, 0, NONE, 0, 23, 0, 1), (PARA, 0, NONE, 0, 24, 0, 1)],
+    [(DIV, 0, NONE, 0, 3, 0, 0), (PARA, 0, NONE, 0, 70, 1, 1), (PARA, 0, NONE, 0, 31, 0, 1), (PARA, 0, NONE, 0, 12, 0, 1)],
+    [(DIV, 0, IN, 0, 50, 0, 1), (DIV, 0, IN, 0, 28, 0, 1)],
+    [(PARA, 0, NONE, 0, 60, 0, 1), (PARA, 0, NONE, 0, 45, 1, 1)],
+    [(PARA, 0, IN, 0, 35, 0, 1), (PARA, 0, IN, 0, 26, 2, 1), (DIV, 0, IN, 0, 4, 0, 1)],
+    [(CELL, 0, NONE, 0, 1, 1, 0), (DIV, 0, NONE, 0, 17, 0, 0), (HEAD, 0, NONE, 0, 12, 0, 1), (DIV, 0, NONE, 0, 14, 0, 0), (PARA, 0, NONE, 0, 27, 0, 1), (DIV, 0, NONE, 0, 18, 1, 0)],
+    # Long terms of use in a footer, long prose in sidebars and between links, links after long paragraphs.
+    [(HEAD, 0, IN, 0, 5, 0, 1), (PARA, 0, IN, 0, 80, 0, 1), (PARA, 1, IN, 0, 70, 0, 0), (PARA, 0, IN, 0, 30, 0, 1), (DIV, 0, IN, 0, 3, 3, 0), (PARA, 0, IN, 0, 75, 2, 1), (CELL, 0, IN, 0, 2, 2, 0), (DIV, 0, OUT, 0, 2, 2, 0), (DIV, 0, OUT, 0, 90, 2, 0),
+     (DIV, 0, OUT, 0, 3, 3, 0), (PARA, 1, OUT, 0, 120, 1, 0), (PARA, 1, OUT, 0, 85, 0, 0), (DIV, 1, OUT, 0, 2, 0, 0)],
 ]
 
 
+def features(blocks: list[tuple[int, int, int, int, int, int]]) -> list[tuple]:
+    """FEATURES of each of a page's blocks, given as in LABELLED without the label."""
+    about = [(words, min(1.0, linked / words)) for _, _, _, _, words, linked in blocks]
+    around = [(0, 0.0), *about, (0, 0.0)]
+    return [(*about[i], *around[i], *around[i + 2], *b[:4]) for i, b in enumerate(blocks)]
+
+
+def labelled_rows(pages: list[list[tuple]]) -> list[tuple]:
+    return [(*f, b[-1]) for page in pages for f, b in zip(features([b[:-1] for b in page]), page, strict=True)]
+
+
 def grow(rows: list[tuple], depth: int = 8, least: int = 1):
     """A decision tree by Gini impurity: (feature, bound, below or at, above) or a leaf 0 or 1."""
     data = np.array(rows, float)
@@ -84,30 +137,37 @@ def decide(tree, features: tuple) -> int:
     return tree
 
 
-def _context(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """(around, article) of an element."""
-    around, article = tag in AROUND, tag in ARTICLE
+def _context(tag: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(framed, article, named) of an element."""
+    framed, article, named = tag in AROUND, tag in ARTICLE, False
     if "=" in attributes:
         for name, *values in _ATTRIBUTE.findall(attributes):
-            value = next((v for v in values if v), "").lower()
-            whole = set(value.split())
-            parts = {p for w in whole for p in re.split(r"[-_]+", w)}
+            whole = set(next((v for v in values if v), "").lower().split())
             if name.lower() == "role":
-                around |= bool(whole & {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"})
+                framed |= bool(whole & {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "form"})
                 article |= bool(whole & {"main", "article"})
-            elif tag not in {"body", "html", "article", "main"}:
-                named = bool(whole & ARTICLE_WORDS) or name.lower() == "itemprop" and "articlebody" in whole
-                article |= named
-                around |= not named and (bool(parts & AROUND_WORDS) or bool(whole & HEADER_WORDS))
-    return around, article and not around
-
-
-def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
-    """(text, words, link density, around, inside) of each flat text block, in page order."""
-    out: list[tuple[str, int, float, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []
-    around = inside = 0
-    linked = False
+            elif tag not in {"body", "html", "main"}:
+                text = bool(whole & ARTICLE_WORDS) or name.lower() == "itemprop" and "articlebody" in whole
+                article |= text
+                each = [set(re.split(r"[-_]+", w)) for w in whole]
+                words = {p for parts in each if not parts & LAYOUT_WORDS for p in parts}
+                named |= not text and (bool(words & (OTHER_ARTICLES if tag == "article" else AROUND_WORDS)) or bool(whole & HEADER_WORDS))
+    return framed, article and not framed and not named, named
+
+
+def blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
+    """(text, (kind, framed, article, named, words, words in links)) of each flat text block, in page order."""
+    found = _flat(page)
+    marked = any(b[3] and not b[2] and not b[4] for b in found)
+    return [(text, (kind, int(framed), IN if inside else OUT if marked else NONE, int(named), words, linked)) for text, kind, framed, inside, named, words, linked in found]
+
+
+def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
+    """(text, kind, framed, inside, named, words, words in links) of each block."""
+    out: list[tuple[str, int, bool, bool, bool, int, int]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    framed = inside = named = 0
+    linked, own = False, ""
     held: list[str] = []
     links: list[str] = []
 
@@ -118,7 +178,7 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
             if text:
                 words = len(text.split())
                 in_links = len(html.unescape("".join(links)).split()) if links else 0
-                out.append((text, words, min(1.0, in_links / words), around > 0, inside > 0))
+                out.append((text, KINDS.get(own, DIV), framed > 0, inside > 0, named > 0, words, min(words, in_links)))
         held, links = [], []
 
     def put(text: str) -> None:
@@ -128,11 +188,12 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 links.append(text + " ")
 
     def pop(upto: int) -> None:
-        nonlocal around, inside
+        nonlocal framed, inside, named
         while len(stack) > upto:
-            _, a, b = stack.pop()
-            around -= a
+            _, a, b, c = stack.pop()
+            framed -= a
             inside -= b
+            named -= c
 
     at, size = 0, len(page)
     while at < size:
@@ -162,15 +223,20 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
                 k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 if k is not None and not (tag in {"p", "li"} and any(s[0] not in {"p", "li"} for s in stack[k + 1 :])):
                     pop(k)
+                own = stack[-1][0] if stack else ""
             elif tag in _HOLDS and not m.group(3).endswith("/"):
                 if stack and stack[-1][0] == "p":
                     pop(len(stack) - 1)
                 if tag == "li" and stack and stack[-1][0] == "li":
                     pop(len(stack) - 1)
-                a, b = _context(tag, m.group(3), inside > 0)
-                stack.append((tag, a, b))
-                around += a
+                a, b, c = _context(tag, m.group(3))
+                stack.append((tag, a, b, c))
+                framed += a
                 inside += b
+                named += c
+                own = tag
+            else:
+                own = tag
     close()
     return out
 
@@ -178,25 +244,17 @@ def blocks(page: str) -> list[tuple[str, int, float, bool, bool]]:
 def main_text(page: str | None, tree) -> str:
     """The page's main text: its blocks that the tree takes for it, by single spaces."""
     found = blocks(page or "")
-    has = any(b[4] for b in found)
-    kept = []
-    for i, (text, words, links, around, inside) in enumerate(found):
-        _, wb, lb, *_ = found[i - 1] if i else ("", 0, 0.0)
-        _, wa, la, *_ = found[i + 1] if i + 1 < len(found) else ("", 0, 0.0)
-        place = AROUND_IT if around else INSIDE if inside else OUTSIDE if has else UNMARKED
-        if decide(tree, (place, words, links, wb, lb, wa, la)):
-            kept.append(text)
-    return " ".join(kept)
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", extra: tuple[str, ...] = ("url",), labelled: list[tuple] | None = None) -> DataFrame:
+    return " ".join(text for (text, _), f in zip(found, features([b for _, b in found]), strict=True) if decide(tree, f))
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", extra: tuple[str, ...] = ("url",), labelled: list[list[tuple]] | None = None) -> DataFrame:
     """(id, extra columns, text, n_chars) for every row of pages.
 
-    The tree is grown from `labelled`, by default LABELLED. Null and empty pages, and pages
+    The tree is grown from pages labelled as in LABELLED, by default these. Null and empty pages, and pages
     without main text, have an empty text; pages that break off are read as far as they go;
     repeated rows each get a row; other columns of pages are ignored.
     """
-    tree = grow(labelled or LABELLED)
+    tree = grow(labelled_rows(labelled or LABELLED))
 
     def make():
         def apply(texts):
