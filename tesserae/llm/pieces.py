@@ -4,13 +4,14 @@ The vocabulary drops white space before its merges and parts letters from signs,
 can be split at spaces, tabs and line ends, and before the full stops and commas that end
 a piece after an ASCII letter: a text's ids are the ids of these pieces, in order. Arrow
 splits a batch's texts and numbers the distinct pieces; only those that the worker has not
-met are encoded, in batches, by the library alone.
+met are encoded, by the library alone: in runs with a special token between pieces, which
+the library finds before it does anything else, so each piece is encoded as if by itself.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,26 @@ from tokenizers import Tokenizer  # noqa: E402
 from tesserae.llm.common import held  # noqa: E402
 
 #: Bytes of text whose pieces are numbered together.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
 #: Pieces, and characters of pieces, whose ids a worker remembers; then it starts anew.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 16 << 20
-#: Pieces, or characters, in one call of the library.
-BATCH, BATCH_CHARS = 2000, 1 << 20
+REMEMBERED, REMEMBERED_CHARS = 600_000, 16 << 20
+#: Pieces in one text for the library, and characters in one call of it.
+RUN, CALL_CHARS = 200, 256 << 10
 #: What is split off at a piece's end.
-_TAIL = re.compile(r"(?<=[A-Za-z])[.,]+$")
+_TAIL, _TAILED, _LONG = ".,", r"[A-Za-z][.,]+$", r"[.,]{2}$"
+
+
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, in runs of about CALL_CHARS characters, one text at least."""
+    held, chars = [], 0
+    for t in texts:
+        if held and chars + len(t) > CALL_CHARS:
+            yield held
+            held, chars = [], 0
+        held.append(t)
+        chars += len(t)
+    if held:
+        yield held
 
 
 class Pieces:
@@ -39,6 +53,11 @@ class Pieces:
         self.library.no_truncation()
         self.library.no_padding()
         self.remembered = remembered
+        added = self.library.get_added_tokens_decoder()
+        self.special = [t.content for t in added.values()]
+        # A special token that is found before anything else is done to a text parts it for good.
+        plain = [(t.content, i) for i, t in added.items() if t.special and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+        self.between, self.mark = max(plain, key=lambda x: x[1], default=("", 0))
         self._forget()
 
     def _forget(self) -> None:
@@ -47,23 +66,35 @@ class Pieces:
         self.ids, self.start, self.number = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes pieces that are not known."""
-        found = []
-        at = 0
-        while at < len(new):
-            upto, chars = at, 0
-            while upto < len(new) and upto - at < BATCH and (upto == at or chars + len(new[upto]) <= BATCH_CHARS):
-                chars += len(new[upto])
-                upto += 1
-            found += [np.array(e.ids, np.uint32) for e in self.library.encode_batch(new[at:upto], add_special_tokens=False)]
-            at = upto
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        for k, p in enumerate(new, len(self.known)):
+        """Encodes pieces that are not known: in runs with a special token between them, or by themselves."""
+        some = set(self.special) and set.intersection(*map(set, self.special))
+        sign = min(some, default="")  # a sign that all special tokens have, so most pieces take one look
+        alone = [p for p in new if not self.between or sign in p and any(t in p for t in self.special)]
+        if alone:
+            with_special = set(alone)
+            new = [p for p in new if p not in with_special]
+        flat, sizes = [], []
+        for texts in _batches([self.between.join(new[i : i + RUN]) for i in range(0, len(new), RUN)]):
+            for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
+                flat.append(np.array([*e.ids, self.mark], np.uint32))
+        if flat:
+            ids = np.concatenate(flat)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(new):
+                raise RuntimeError("special tokens have not parted the pieces")
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            flat = [ids[ids != self.mark]]
+        for texts in _batches(alone):
+            found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat += found
+        sizes = np.concatenate(sizes)
+        for k, p in enumerate([*new, *alone], len(self.known)):
             self.known[p] = k
-        self.chars += sum(map(len, new))
+            self.chars += len(p)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
         self.number = np.concatenate([self.number, sizes])
-        self.ids = np.concatenate([self.ids, *found])
+        self.ids = np.concatenate([self.ids, *flat])
 
     def _numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where each text's pieces begin, and each piece's number; two for each run between spaces."""
@@ -73,19 +104,27 @@ class Pieces:
         split = pc.split_pattern(flat, " ")
         bounds = split.offsets.to_numpy() - split.offsets[0].as_py()
         coded = split.flatten().dictionary_encode()
-        heads, tails = [], []
-        for p in coded.dictionary.to_pylist():
-            tail = m.group() if p[-1:] in ".," and (m := _TAIL.search(p)) else ""
-            heads.append(p[: len(p) - len(tail)])
-            tails.append(tail)
+        whole = coded.dictionary
+        tailed = pc.match_substring_regex(whole, _TAILED)
+        heads = pc.if_else(tailed, pc.utf8_rtrim(whole, _TAIL), whole).dictionary_encode()
+        both = np.zeros((len(whole), 2), np.int32)
+        at = np.flatnonzero(tailed.to_numpy(zero_copy_only=False))
+        ends = whole.take(pa.array(at))
+        tails = pc.utf8_slice_codeunits(ends, -1)  # nearly all are one sign
+        long = pc.match_substring_regex(ends, _LONG).to_numpy(zero_copy_only=False)
+        tails = tails.to_pylist()
+        for i in np.flatnonzero(long):
+            end = ends[i].as_py()
+            tails[i] = end[len(end.rstrip(_TAIL)) :]
+        texts = heads.dictionary.to_pylist()
         if len(self.known) > self.remembered or self.chars > REMEMBERED_CHARS:
             self._forget()
-        if new := [p for p in dict.fromkeys([*heads, *tails]) if p not in self.known]:
-            self._learn(new)
-        get = self.known.__getitem__
-        both = np.empty((len(heads), 2), np.int32)
-        both[:, 0] = np.fromiter(map(get, heads), np.int32, len(heads))
-        both[:, 1] = np.fromiter(map(get, tails), np.int32, len(tails))
+        known = self.known
+        if new := [p for p in texts if p not in known] + [p for p in set(tails) if p not in known]:
+            self._learn(list(dict.fromkeys(new)))
+        get = known.__getitem__
+        both[:, 0] = np.array([get(p) for p in texts], np.int32)[heads.indices.to_numpy()] if texts else 0
+        both[at, 1] = [get(t) for t in tails]
         return 2 * bounds, both[coded.indices.to_numpy()].ravel()
 
     def counts(self, texts: pa.Array) -> np.ndarray:
