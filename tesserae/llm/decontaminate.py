@@ -4,16 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, held, map_texts
+from tesserae.llm.common import SLICE_BYTES, held, map_texts
 
 WINDOW = 13
 #: Benchmark words in one automaton; more items are scanned for in further blocks.
 BLOCK_WORDS = 400_000
+#: Bytes of text that meet all blocks before the next ones do, where there are several.
+BLOCKS_SLICE_BYTES = 32 << 20
 #: Maps A-Z to a-z, keeps digits, a-z and all bytes of other characters, and turns the rest into spaces.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -50,13 +53,13 @@ def windows(words: list[bytes], size: int = WINDOW) -> list[tuple[bytes, ...]]:
 class Matcher:
     """Finds all windows of a block of items in a text's words, reading the words once."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], size: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int = WINDOW):
         self.ids: dict[bytes, int] = {}
         owners: dict[tuple[int, ...], set[str]] = {}
         for item, words in items:
             for w in windows(words, size):
                 key = tuple(self.ids.setdefault(x, len(self.ids) + 1) for x in w)
-                owners.setdefault(key, set()).add(item)
+                owners.setdefault(key, set()).update([] if item is None else [item])
         self.size = size
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         for key, names in owners.items():
@@ -87,48 +90,25 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out]
 
 
-def matcher(key: str, items: list[tuple[str, list[bytes]]], size: int) -> Matcher:
-    """One automaton a worker process."""
-    return held(f"matcher {key}", lambda: Matcher(items, size))
+def benchmark_blocks(bench: DataFrame, id_col: str, text_col: str, size: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
+    """The items' words in blocks of about block_words, one at a time.
 
-
-def benchmark_blocks(bench: DataFrame, id_col: str, text_col: str, block_words: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items' words in blocks of about block_words, read one at a time."""
-    blocks, held, size = [], [], 0
-    rows = bench.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator()
+    A longer item goes into several blocks, in stretches that share size - 1 words, so that
+    every window stands whole in one of them.
+    """
+    held, count = [], 0
+    rows = bench.select(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`").cast("string")).where(F.col(f"`{text_col}`").isNotNull()).toLocalIterator()
     for item, text in rows:
         words = words_of(text)
-        if held and size + len(words) > block_words:
-            blocks.append(held)
-            held, size = [], 0
-        held.append((item, words))
-        size += len(words)
-    return [*blocks, held] if held or not blocks else blocks
-
-
-def hits(docs: DataFrame, block: list, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, n_words, words: merged word spans, chars: their spans in the text, items)."""
-    sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
-
-    def make():
-        m = matcher(key, sent.value, size)
-
-        def apply(texts):
-            out = []
-            for t in texts:
-                words = words_of(t)
-                spans, items = m.find(words)
-                chars = []
-                if spans:
-                    at = word_spans(t)
-                    chars = [{"start": at[i][0], "end": at[j - 1][1]} for i, j in spans]
-                out.append((len(words), [{"start": i, "end": j} for i, j in spans], chars, sorted(items)))
-            return out
-
-        return apply
-
-    span = "array<struct<start:int,end:int>>"
-    return map_texts(docs, make, f"n_words bigint, words {span}, chars {span}, items array<string>", id_col, text_col)
+        step = max(1, block_words - size + 1)
+        for i in range(0, max(1, len(words) - size + 1), step):
+            part = words[i : i + step + size - 1]
+            if held and count + len(part) > block_words:
+                yield held
+                held, count = [], 0
+            held.append((item, part))
+            count += len(part)
+    yield held
 
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -139,27 +119,38 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     as sorted strings, chars the hit stretches in the text itself. A document is
     contaminated if it has a hit and hits are a twentieth of its words or more. Null
     texts and items have no words; repeated rows each get a row; an empty benchmark
-    hits nothing; items with a null id are left out; other columns are ignored. The
-    benchmark is held in blocks of block_words, one automaton in a worker at a time;
-    with several blocks a document's spans are brought together by a grouping.
+    hits nothing; an item with a null id hits like any other, but is not listed; other
+    columns are ignored. The benchmark is sent in blocks of block_words, of which the
+    driver and a worker hold one at a time; all texts are read once, and a slice of
+    them meets one block after the other.
     """
-    blocks = benchmark_blocks(bench, item_col, item_text, block_words)
-    if len(blocks) == 1:
-        found = hits(docs, blocks[0], id_col, text_col, size)
-    else:
-        rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("of"), F.col(f"`{text_col}`").alias("text")))
-        parts = None
-        for b in blocks:
-            one = hits(rows, b, "row", "text", size).where(F.size("words") > 0)
-            parts = one if parts is None else parts.unionByName(one)
-        join = lambda c: F.array_sort(F.flatten(F.collect_list(c))).alias(c)
-        parts = parts.groupBy("row").agg(join("words"), join("chars"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        counted = map_texts(rows, lambda: lambda texts: [(len(words_of(t)),) for t in texts], "n_words bigint", "row", "text", {"of": "of"})
-        none = F.array().cast("array<struct<start:int,end:int>>")
-        found = counted.join(parts, "row", "left").select(F.col("of").alias(id_col), "n_words", F.coalesce("words", none).alias("words"), F.coalesce("chars", none).alias("chars"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
-    # The part of each span beyond all before it: spans may overlap if they come from several blocks.
-    n_hit = F.aggregate("words", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("to")), lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["to"], x["start"]))).cast("bigint").alias("n"), F.greatest(a["to"], x["end"]).alias("to")), lambda a: a["n"])
-    out = found.select(id_col, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), "items", "chars")
+    sc = docs.sparkSession.sparkContext
+    key = uuid.uuid4().hex
+    sent = [sc.broadcast(block) for block in benchmark_blocks(bench, item_col, item_text, size, block_words)]
+
+    def make():
+        def apply(texts):
+            words = [words_of(t) for t in texts]
+            spans, items = [[] for _ in texts], [set() for _ in texts]
+            for k, block in enumerate(sent):
+                m = held(f"matcher {key} {k}", lambda block=block: Matcher(block.value, size))
+                for i, w in enumerate(words):
+                    found, names = m.find(w)
+                    spans[i] += found
+                    items[i] |= names
+            out = []
+            for t, w, found, names in zip(texts, words, spans, items, strict=True):
+                found = merged(found)
+                at = word_spans(t) if found else []
+                chars = [{"start": at[i][0], "end": at[j - 1][1]} for i, j in found]
+                out.append((len(w), sum(j - i for i, j in found), sorted(names), chars))
+            return out
+
+        return apply
+
+    schema = "n_words bigint, n_hit bigint, items array<string>, chars array<struct<start:int,end:int>>"
+    found = map_texts(docs, make, schema, id_col, text_col, most=SLICE_BYTES if len(sent) == 1 else BLOCKS_SLICE_BYTES)
+    out = found.select(id_col, "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), "items", "chars")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -172,5 +163,5 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]], size: int
             for i in range(len(words) - len(w) + 1):
                 if tuple(words[i : i + len(w)]) == w:
                     hit.update(range(i, i + len(w)))
-                    found.add(str(item))
+                    found |= {str(item)} if item is not None else set()
     return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()

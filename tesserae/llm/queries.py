@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm.byte_bpe import round_trip
-from tesserae.llm.chat import repaired
+from tesserae.llm.chat import rendered, repaired
 from tesserae.llm.decontaminate import contamination
 from tesserae.llm.html_text import extract
 from tesserae.llm.quality import quality
@@ -34,11 +34,12 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), "contaminated")
+    spans = F.array_join(F.transform("chars", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), "contaminated", spans.alias("hit_spans"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repaired(_table(spark, sf_dir, "conversations"))
+    return rendered(repaired(_table(spark, sf_dir, "conversations")))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,8 +13,7 @@ ITEMS = [(1, PROSE.lower()), (2, "little words"), (3, None), (4, ""), (10, "ÜN
 def test_against_brute_force(spark, block_words, clash):
     docs, bench = documents(spark), spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = dec.contamination(clashing(docs) if clash else docs, bench, block_words=block_words).collect()
-    items = [(i, t) for i, t in ITEMS if i is not None]
-    want = sorted((d if d is not None else -1, *dec.brute_force(t, items)) for d, t, *_ in rows())
+    want = sorted((d if d is not None else -1, *dec.brute_force(t, ITEMS)) for d, t, *_ in rows())
     sha = lambda xs: hashlib.sha256(",".join(sorted(xs)).encode()).hexdigest()
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_hit, r.n_items, sha(r["items"])) for r in got) == want
     assert all(r.contaminated == (r.n_hit > 0 and 20 * r.n_hit >= r.n_words) for r in got)
@@ -32,3 +31,33 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     assert dec.contamination(spark.createDataFrame([], SCHEMA), bench).count() == 0
     assert not dec.contamination(documents(spark), bench).where("n_hit > 0").count()
+
+
+@pytest.mark.parametrize("block_words", [dec.BLOCK_WORDS, 300])
+def test_all_documents(spark, sf, block_words):
+    """The whole table against brute force over windows, by a set of all windows of the benchmark."""
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    owners = {}
+    for item, t in bench.select("item_id", "text").collect():
+        for w in dec.windows(dec.words_of(t)):
+            owners.setdefault(w, set()).add(str(item))
+    sizes = {len(w) for w in owners}
+    texts = dict(docs.select("doc_id", "text").collect())
+    got = dec.contamination(docs, bench, block_words=block_words).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts) and any(r.contaminated for r in got)
+    for r in got:
+        words, hit, found = dec.words_of(texts[r.doc_id]), set(), set()
+        for n in sizes:
+            for i in range(len(words) - n + 1):
+                if (w := tuple(words[i : i + n])) in owners:
+                    hit.update(range(i, i + n))
+                    found |= owners[w]
+        assert (r.n_words, r.n_hit, sorted(found)) == (len(words), len(hit), r["items"])
+        assert sum(len(dec.words_of(texts[r.doc_id][c.start : c.end])) for c in r["chars"]) == len(hit)
+
+
+def test_items_longer_than_a_block(spark):
+    item = long_text(500, 3)
+    docs = [(1, long_text(20, 9) + " " + " ".join(item.split()[90:110])), (2, item.upper()), (3, " ".join(item.split()[:12]))]
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in dec.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([("q", item)], "item_id string, text string"), block_words=100).collect()}
+    assert got == {1: (20, ["q"]), 2: (500, ["q"]), 3: (0, [])}
