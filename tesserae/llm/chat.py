@@ -1,9 +1,10 @@
 """Chat formatting: the cheapest repair of each conversation's roles, then its rendering.
 
 A legal conversation is an optional system message, then user and assistant messages in
-turn, the last by the assistant. Each turn is kept, given another role, or merged into the
+turn, the last by the assistant; any number of tool messages may stand between two of the
+assistant's. Each turn is kept, given another role, or merged into the
 message before it; messages without text are put in where a role is missing. Costs add
-up along a path through the automaton of legal turns, so a stretch of turns is a 4 x 4
+up along a path through the automaton of legal turns, so a stretch of turns is a square
 table of least costs between states, and tables of neighbouring stretches combine: a
 conversation too long for one task is repaired in stretches, whose tables alone meet.
 """
@@ -11,6 +12,7 @@ conversation too long for one task is repaired in stretches, whose tables alone
 from __future__ import annotations
 
 import itertools
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,17 +23,21 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import cut, partitions, reachable
 
 #: States: nothing yet, then the role of the last message.
-START, SYSTEM, USER, ASSISTANT = range(4)
-ROLES = ("", "system", "user", "assistant")
+START, SYSTEM, USER, ASSISTANT, TOOL = range(5)
+ROLES = ("", "system", "user", "assistant", "tool")
+N = len(ROLES)
 #: Other names of roles; anything else has no known role.
-NAMES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "prompter": USER, "assistant": ASSISTANT, "ai": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT, "gpt": ASSISTANT}
-#: Costs of merging into a message of the same role, of another role, of inserting a message, and of naming an unknown role.
-MERGE, RELABEL, INSERT, NAME = 1, 4, 3, 1
+NAMES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "prompter": USER, "assistant": ASSISTANT, "ai": ASSISTANT, "bot": ASSISTANT, "model": ASSISTANT, "gpt": ASSISTANT, "tool": TOOL, "function": TOOL, "ipython": TOOL, "observation": TOOL}
+#: Costs of merging into a message of the same role, of another role, of inserting a message, of naming an
+#: unknown role, and of another role where one of both is a tool: its output does not become speech, nor speech its output.
+MERGE, RELABEL, INSERT, NAME, RELABEL_TOOL = 1, 4, 3, 1, 9
 FAR = 1 << 40
 #: Which role may follow which state.
-NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
+NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER, TOOL), TOOL: (TOOL, ASSISTANT)}
 #: Turns of a conversation that one task repairs at once, and of a stretch of a longer one.
 WHOLE_TURNS, STRETCH_TURNS = 5_000, 1_000
+#: Turns in a part of a rendered conversation.
+PART_TURNS = 1_000
 
 
 @dataclass(frozen=True)
@@ -42,11 +48,15 @@ class Step:
     merged: bool
 
 
+def label_cost(turn: int, role: int) -> int:
+    return 0 if turn == role else RELABEL_TOOL if TOOL in (turn, role) else RELABEL if turn else NAME
+
+
 def _steps() -> dict[int, list[list[Step | None]]]:
     """For each role of a turn (0: unknown), the cheapest step between each two states."""
     bridges: dict[tuple[int, int], tuple[int, ...]] = {}
     for n in range(3):
-        for s in range(4):
+        for s in range(N):
             for path in itertools.product((SYSTEM, USER, ASSISTANT), repeat=n):
                 at = s
                 for r in path:
@@ -56,10 +66,10 @@ def _steps() -> dict[int, list[list[Step | None]]]:
                 if at >= 0:
                     bridges.setdefault((s, at), path)
     out = {}
-    for turn in range(4):
-        table: list[list[Step | None]] = [[None] * 4 for _ in range(4)]
-        for s, t in itertools.product(range(4), (SYSTEM, USER, ASSISTANT)):
-            label = 0 if turn == t else NAME if not turn else RELABEL
+    for turn in range(N):
+        table: list[list[Step | None]] = [[None] * N for _ in range(N)]
+        for s, t in itertools.product(range(N), range(1, N)):
+            label = label_cost(turn, t)
             options = [Step(label + INSERT * len(path), t, path, False) for (a, b), path in bridges.items() if a == s and t in NEXT[b]]
             if s == t:
                 options.append(Step(label + MERGE, t, (), True))
@@ -70,8 +80,8 @@ def _steps() -> dict[int, list[list[Step | None]]]:
 
 STEPS = _steps()
 #: What it costs to end in each state, and with which message without text.
-ENDS = {START: FAR, SYSTEM: 2 * INSERT, USER: INSERT, ASSISTANT: 0}
-TAIL = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: ()}
+ENDS = {START: FAR, SYSTEM: 2 * INSERT, USER: INSERT, ASSISTANT: 0, TOOL: INSERT}
+TAIL = {SYSTEM: (USER, ASSISTANT), USER: (ASSISTANT,), ASSISTANT: (), TOOL: (ASSISTANT,)}
 
 
 def role_of(name: str | None) -> int:
@@ -81,7 +91,7 @@ def role_of(name: str | None) -> int:
 def table_of(turns: list[int]) -> np.ndarray:
     """Least costs from each state to each over the turns."""
     costs = {k: np.array([[FAR if x is None else x.cost for x in row] for row in t], np.int64) for k, t in STEPS.items()}
-    out = np.where(np.eye(4, dtype=bool), 0, FAR).astype(np.int64)
+    out = np.where(np.eye(N, dtype=bool), 0, FAR).astype(np.int64)
     for t in turns:
         out = np.minimum((out[:, :, None] + costs[t][None]).min(1), FAR)
     return out
@@ -89,16 +99,16 @@ def table_of(turns: list[int]) -> np.ndarray:
 
 def path_between(turns: list[int], begin: int, end: int | None) -> list[int]:
     """States after each turn on the cheapest path; of equal ones the smallest states, last first."""
-    best, back = [0 if s == begin else FAR for s in range(4)], []
+    best, back = [0 if s == begin else FAR for s in range(N)], []
     for t in turns:
-        now, how = [FAR] * 4, [0] * 4
-        for s, x in itertools.product(range(4), range(4)):
+        now, how = [FAR] * N, [0] * N
+        for s, x in itertools.product(range(N), range(N)):
             step = STEPS[t][s][x]
             if step and best[s] < FAR and best[s] + step.cost < now[x]:
                 now[x], how[x] = best[s] + step.cost, s
         best = now
         back.append(how)
-    at = min(range(4), key=lambda s: (best[s] + ENDS[s], s)) if end is None else end
+    at = min(range(N), key=lambda s: (best[s] + ENDS[s], s)) if end is None else end
     states = []
     for how in reversed(back):
         states.append(at)
@@ -132,8 +142,8 @@ def actions(turns: list[int], begin: int, states: list[int], message: int) -> li
     return out
 
 
-_OUT = [("message", pa.int64()), ("new_role", pa.string()), ("action", pa.string()), ("piece", pa.large_string())]
-_SCHEMA = "message bigint, new_role string, action string, piece string"
+_OUT = [("position", pa.int64()), ("message", pa.int64()), ("new_role", pa.string()), ("action", pa.string()), ("piece", pa.large_string())]
+_SCHEMA = "position bigint, message bigint, new_role string, action string, piece string"
 
 
 def _whole(batches):
@@ -144,7 +154,7 @@ def _whole(batches):
         turns = [role_of(r[2]) for r in rows]
         states = path_between(turns, START, None)
         made = actions(turns, START, states, -1)
-        return [(*r[:3], m, ROLES[s], a, piece(s, r[3], ins, mg, i == 0, i == len(rows) - 1)) for i, (r, (m, a, s, ins, mg)) in enumerate(zip(rows, made, strict=True))]
+        return [(*r[:3], i, m, ROLES[s], a, piece(s, r[3], ins, mg, i == 0, i == len(rows) - 1)) for i, (r, (m, a, s, ins, mg)) in enumerate(zip(rows, made, strict=True))]
 
     for b in batches:
         done = []
@@ -162,35 +172,52 @@ def _whole(batches):
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    kinds = [*[schema.field(i).type for i in range(3)], *[t for _, t in _OUT[:3]], pa.string()]
+    kinds = [*[schema.field(i).type for i in range(3)], *[t for _, t in _OUT[:4]], pa.string()]
     names = [*schema.names[:3], *[n for n, _ in _OUT]]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def repaired(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", whole_turns: int = WHOLE_TURNS, stretch: int = STRETCH_TURNS) -> DataFrame:
-    """(id, turn, role, message, new_role, action, piece) for every row of turns.
+    """(id, turn, role, position, message, new_role, action, piece) for every row of turns.
 
-    The pieces of a conversation in order of turn are its rendered chat: a message that
+    The pieces of a conversation in order of position are its rendered chat: a message that
     is inserted stands in the piece of the turn after it, or of the last turn. Turns with
     equal numbers, or none, are ordered by role, then text; a null text is empty; a null or
     unknown role costs a name only; rows with a null id are one conversation; repeated
     rows are turns of their own; an empty table gives an empty result; other columns are
-    ignored. Conversations of more than whole_turns turns are dealt by ranges of turns.
+    ignored. Conversations of more than whole_turns turns are dealt by ranges of turns: the
+    same least cost, by tables of stretches that alone meet.
     """
     spark = turns.sparkSession
     reachable(spark)
     rows = turns.select(*[F.col(f"`{c}`").alias(n) for c, n in ((id_col, "id"), (turn_col, "turn"), (role_col, "role"), (text_col, "text"))])
     kinds = dict(rows.dtypes)
     schema = f"id {kinds['id']}, turn {kinds['turn']}, role {kinds['role']}, {_SCHEMA}"
-    long_ones = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > whole_turns).select(F.col("id").alias("long")))
-    n_long = long_ones.count()
+    long_ones = cut(rows.groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > whole_turns).select(F.col("id").alias("long"), "n"))
+    n_long, longest = long_ones.agg(F.count("*"), F.coalesce(F.max("n"), F.lit(0))).first()
+    long_ones = long_ones.select("long")
     few = F.broadcast(long_ones) if n_long <= 20_000 else long_ones
     order = ["id", "turn", "role", "text"]
     usual = rows if not n_long else rows.join(few, rows["id"].eqNullSafe(F.col("long")), "left_anti")
     out = usual.repartition(partitions(spark), "id").sortWithinPartitions(*order).mapInArrow(_whole, schema)
     if n_long:
-        out = out.union(_stretched(rows.join(few, rows["id"].eqNullSafe(F.col("long")), "left_semi"), order, schema, stretch))
-    return out.select(F.col("id").alias(id_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "message", "new_role", "action", "piece")
+        out = out.union(_stretched(rows.join(few, rows["id"].eqNullSafe(F.col("long")), "left_semi"), order, schema, max(stretch, math.isqrt(longest))))
+    return out.select(F.col("id").alias(id_col), F.col("turn").alias(turn_col), F.col("role").alias(role_col), "position", "message", "new_role", "action", "piece")
+
+
+def rendered(found: DataFrame, id_col: str = "conv_id", part_turns: int = PART_TURNS) -> DataFrame:
+    """(id, part, n_turns, n_changed, actions, text) from the rows of repaired().
+
+    The rendered chat of each conversation; one of more than part_turns turns has several
+    parts, and its whole chat is their texts in order. actions lists what became of each
+    turn, comma-joined.
+    """
+    part = F.floor(F.col("position") / part_turns).cast("int")
+    rows = found.groupBy(F.col(f"`{id_col}`").alias("id"), part.alias("part")).agg(
+        F.count("*").alias("n_turns"), F.count_if(F.col("action") != "keep").alias("n_changed"), F.array_sort(F.collect_list(F.struct("position", "action", "piece"))).alias("x")
+    )
+    joined = lambda c, by: F.array_join(F.transform("x", lambda x: x[c]), by).alias
+    return rows.select(F.col("id").alias(id_col), "part", "n_turns", "n_changed", joined("action", ",")("actions"), joined("piece", "")("text"))
 
 
 def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) -> DataFrame:
@@ -224,12 +251,12 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
     def meet(pdf):
         """Entry and exit states of each stretch of a conversation, from its tables alone."""
         pdf = pdf.sort_values("at")
-        best, back = np.array([0, FAR, FAR, FAR]), []
+        best, back = np.array([0, *[FAR] * (N - 1)]), []
         for costs in pdf["costs"]:
-            grid = best[:, None] + np.asarray(costs, np.int64).reshape(4, 4)
+            grid = best[:, None] + np.asarray(costs, np.int64).reshape(N, N)
             back.append(grid.argmin(0))
             best = np.minimum(grid.min(0), FAR)
-        at = min(range(4), key=lambda s: (int(best[s]) + ENDS[s], s))
+        at = min(range(N), key=lambda s: (int(best[s]) + ENDS[s], s))
         ends = []
         for how in reversed(back):
             ends.append((int(how[at]), at))
@@ -256,15 +283,15 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
         def out():
             _, made, first, last = close()
             if count_only:
-                return [(held[0][0], held[0][4], made[-1][0] + first)]
-            return [(*r[:3], r[4], held[0][4], m, ROLES[s], a, piece(s, r[3], ins, mg, first and i == 0, last and i == len(held) - 1)) for i, (r, (m, a, s, ins, mg)) in enumerate(zip(held, made, strict=True))]
+                return [(held[0][0], held[0][4], made[-1][0] + first, len(held))]
+            return [(*r[:3], r[4], held[0][4], i, m, ROLES[s], a, piece(s, r[3], ins, mg, first and i == 0, last and i == len(held) - 1)) for i, (r, (m, a, s, ins, mg)) in enumerate(zip(held, made, strict=True))]
 
         def batch(rows):
             if count_only:
-                kinds, names = [id_kind, pa.int64(), pa.int64()], ["id", "stretch", "n"]
+                kinds, names = [id_kind, pa.int64(), pa.int64(), pa.int64()], ["id", "stretch", "n", "rows"]
             else:
-                kinds = [*own_kinds, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                names = ["id", "turn", "role", "at", "stretch", "message", "new_role", "action", "piece"]
+                kinds = [*own_kinds, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                names = ["id", "turn", "role", "at", "stretch", "position", "message", "new_role", "action", "piece"]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for b in batches:
@@ -279,10 +306,13 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
 
     fields = marked.select("id", "turn", "role", "text", "at", "enter", "leave", "first", "last")
     kinds = dict(placed.dtypes)
-    counts = fields.mapInArrow(lambda bs: render(bs, True), f"id {kinds['id']}, stretch bigint, n bigint")
+    counts = fields.mapInArrow(lambda bs: render(bs, True), f"id {kinds['id']}, stretch bigint, n bigint, rows bigint")
     from pyspark.sql import Window as W
 
-    # One row for each stretch: how many messages stand before it in its conversation.
-    before = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("stretch", F.when(F.col("before") > 0, F.col("before") - 1).otherwise(0).alias("before"))
+    # One row for each stretch: how many messages and turns stand before it in its conversation.
+    upto = W.partitionBy("id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1)
+    sums = counts.select("stretch", *[F.coalesce(F.sum(c).over(upto), F.lit(0)).alias(c) for c in ("n", "rows")])
+    before = cut(sums.select("stretch", F.when(F.col("n") > 0, F.col("n") - 1).otherwise(0).alias("before"), F.col("rows").alias("start")))
     full = fields.mapInArrow(lambda bs: render(bs, False), f"id {kinds['id']}, turn {kinds['turn']}, role {kinds['role']}, at bigint, stretch bigint, {_SCHEMA}")
-    return full.join(F.broadcast(before), "stretch").select("id", "turn", "role", (F.col("message") + F.col("before")).alias("message"), "new_role", "action", "piece")
+    few = F.broadcast(before) if before.count() <= 100_000 else before
+    return full.join(few, "stretch").select("id", "turn", "role", (F.col("position") + F.col("start")).alias("position"), (F.col("message") + F.col("before")).alias("message"), "new_role", "action", "piece")

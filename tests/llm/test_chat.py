@@ -5,17 +5,17 @@ import pytest
 
 from tesserae.llm import chat
 
-LEGAL = {(chat.START, chat.SYSTEM), (chat.START, chat.USER), (chat.SYSTEM, chat.USER), (chat.USER, chat.ASSISTANT), (chat.ASSISTANT, chat.USER)}
+LEGAL = {(chat.START, chat.SYSTEM), (chat.START, chat.USER), (chat.SYSTEM, chat.USER), (chat.USER, chat.ASSISTANT), (chat.ASSISTANT, chat.USER), (chat.ASSISTANT, chat.TOOL), (chat.TOOL, chat.TOOL), (chat.TOOL, chat.ASSISTANT)}
 
 
 def brute_cost(turns):
     """The least cost over all ways to give each turn a role, merge it, and insert messages."""
     best = chat.FAR
-    for roles in itertools.product((1, 2, 3), repeat=len(turns)):
+    for roles in itertools.product((1, 2, 3, 4), repeat=len(turns)):
         for merges in itertools.product((False, True), repeat=len(turns)):
             cost, at = 0, chat.START
             for t, r, m in zip(turns, roles, merges, strict=True):
-                cost += 0 if t == r else chat.NAME if not t else chat.RELABEL
+                cost += 0 if t == r else chat.RELABEL_TOOL if 4 in (t, r) else chat.RELABEL if t else chat.NAME
                 if m:
                     if at != r:
                         cost = chat.FAR
@@ -38,7 +38,7 @@ def fewest(a, b):
 
 
 def fewest_end(a):
-    return {chat.START: chat.FAR, chat.SYSTEM: 2, chat.USER: 1, chat.ASSISTANT: 0}[a]
+    return {chat.START: chat.FAR, chat.SYSTEM: 2, chat.USER: 1, chat.ASSISTANT: 0, chat.TOOL: 1}[a]
 
 
 def cost_of(turns):
@@ -50,9 +50,9 @@ def cost_of(turns):
     return cost + chat.ENDS[at]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 4])
+@pytest.mark.parametrize("n", [1, 2, 3])
 def test_least_cost(n):
-    for turns in itertools.product(range(4), repeat=n):
+    for turns in itertools.product(range(5), repeat=n):
         assert cost_of(list(turns)) == brute_cost(turns), turns
 
 
@@ -110,16 +110,45 @@ def test_stretches_give_what_whole_conversations_give(spark):
     cost = 0
     at = chat.START
     for r in [p for p in parts if p[0] == 1]:
-        s = chat.ROLES.index(r[4])
+        s = chat.ROLES.index(r[5])
         cost += chat.STEPS[chat.role_of(r[2])][at][s].cost
         at = s
     assert cost + chat.ENDS[at] == cost_of(turns)
-    assert [p[3] for p in parts] == sorted(p[3] for p in parts if p[0] == 1) + [p[3] for p in parts if p[0] == 2]
-    chatted = parsed("".join(p[6] for p in parts if p[0] == 1))
+    assert [p[4] for p in parts] == sorted(p[4] for p in parts if p[0] == 1) + [p[4] for p in parts if p[0] == 2]
+    assert [p[3] for p in parts] == [*range(400), 0] == [p[3] for p in whole]
+    chatted = parsed("".join(p[7] for p in parts if p[0] == 1))
     assert [r for r, _ in chatted if r != "system"] == ["user", "assistant"] * (len([r for r, _ in chatted if r != "system"]) // 2)
-    assert parts[-1][3] == len(parsed(parts[-1][6])) - 1
+    assert parts[-1][4] == len(parsed(parts[-1][7])) - 1
     last = [p for p in parts if p[0] == 1][-1]
-    assert last[3] + len(chat.TAIL[chat.ROLES.index(last[4])]) == len(chatted) - 1
+    assert last[4] + len(chat.TAIL[chat.ROLES.index(last[5])]) == len(chatted) - 1
+    for size in (1000, 30):
+        found = chat.rendered(chat.repaired(df, whole_turns=10, stretch=7), part_turns=size).orderBy("conv_id", "part").collect()
+        one = [r for r in found if r.conv_id == 1]
+        assert [r.n_turns for r in one] == [min(size, 400 - i) for i in range(0, 400, size)] and "".join(r.text for r in one) == "".join(p[7] for p in parts if p[0] == 1)
+        assert ",".join(r.actions for r in one).split(",") == [p[6] for p in parts if p[0] == 1] and sum(r.n_changed for r in one) == sum(p[6] != "keep" for p in parts if p[0] == 1)
+
+
+def test_tool_turns_stay_tools(spark):
+    rows = [(1, t, r, r) for t, r in enumerate(["user", "assistant", "tool", "function", "assistant"])] + [(2, 0, "tool", "late"), (2, 1, "assistant", "a")]
+    got = {r.conv_id: r for r in chat.rendered(chat.repaired(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()}
+    assert [r for r, _ in parsed(got[1].text)] == ["user", "assistant", "tool", "tool", "assistant"] and got[1].n_changed == 0
+    assert [r for r, _ in parsed(got[2].text)] == ["user", "assistant", "tool", "assistant"] and got[2].actions == "insert,keep"
+
+
+def test_clashing_columns_and_all_conversations(spark, sf):
+    from pyspark.sql import functions as F
+
+    turns = spark.read.parquet(f"{sf}/conversations.parquet")
+    clash = turns.select("*", *[F.lit("x").alias(c) for c in ("id", "position", "message", "piece", "at", "n", "long", "part", "stretch")])
+    a = chat.rendered(chat.repaired(clash)).orderBy("conv_id").collect()
+    assert a == chat.rendered(chat.repaired(turns)).orderBy("conv_id").collect()
+    assert sum(r.n_turns for r in a) == turns.count() and len(a) == turns.select("conv_id").distinct().count()
+    for r in a:
+        at = chat.START
+        for role, _ in parsed(r.text):
+            assert (at, chat.ROLES.index(role)) in LEGAL
+            at = chat.ROLES.index(role)
+        assert at == chat.ASSISTANT
 
 
 def test_empty(spark):
