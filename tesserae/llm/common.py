@@ -17,7 +17,7 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, but on a local master only."""
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(configured)
         return configured
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
         found = sc.getCheckpointDir()
     return found

@@ -5,19 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, partitions
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+#: Edges whose nodes' minima are few enough to send to every task.
+FEW_EDGES = 200_000
+
+
+def _beside(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """edges (a, b) with a's minimum m; least has (a, m, c), c the edges of a.
+
+    Few minima are sent. Of many, only those of nodes with more edges than a quarter of
+    an even share of a partition are sent, of which there can be but a few for each
+    partition; so no task meets all edges of a component's centre.
+    """
+    if n <= FEW_EDGES:
+        return edges.join(F.broadcast(least.drop("c")), "a")
+    least = cut(least)
+    hot = F.broadcast(least.where(F.col("c") > max(1000, n // (4 * partitions(edges.sparkSession)))).drop("c"))
+    return edges.join(hot, "a").unionByName(edges.join(hot.select("a"), "a", "left_anti").join(least.drop("c"), "a"))
+
+
+def _large_star(e: DataFrame, n: int) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("c"))
+    return _beside(both, least, 2 * n).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n: int) -> DataFrame:
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select("b", "m").where("b <> m").union(least.select("a", "m")).toDF("a", "b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+    return _beside(down, least, n).select("b", "m").where("b <> m").union(least.select("a", "m")).toDF("a", "b")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,9 +48,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns[:2]
     e = cut(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct())
-    mark = None
+    mark = (e.count(), None)
     for _ in range(most_rounds):
-        e = cut(_small_star(_large_star(e)).distinct())
+        e = cut(_small_star(_large_star(e, mark[0]), mark[0]).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.toDF("node", "root")

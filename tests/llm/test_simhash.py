@@ -48,6 +48,15 @@ def test_against_brute_force(spark, clash):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.fingerprint, r.component_id) for r in got) == expected
 
 
+def test_all_documents(spark, sf):
+    """Every document's fingerprint and component against all pairs."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    found = [(r.doc_id, brute_fingerprint(r.text)) for r in docs.select("doc_id", "text").collect()]
+    least = brute_components(found, lambda a, b: (a ^ b).bit_count() <= 4)
+    got = simhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((d, f"{f:016x}", c) for (d, f), c in zip(found, least, strict=True))
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
@@ -92,6 +101,17 @@ def test_long_paths_settle(spark):
     assert got == {**{i: 0 for i in range(1, 201)}, 501: 500}
 
 
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_stars_with_a_hot_centre(spark, monkeypatch, few):
+    """A star of 3,000 nodes, a path and lone pairs settle, with minima sent or joined; a centre's edges are not dealt by it."""
+    from tesserae.llm import components as module
+
+    monkeypatch.setattr(module, "FEW_EDGES", few)
+    edges = [(5, i) for i in range(10, 3010)] + [(i, i + 1) for i in range(5000, 5040)] + [(2, 3009), (7000, 6999)]
+    got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
+    assert got == {**{i: 2 for i in [5, *range(10, 3010)]}, **{i: 5000 for i in range(5001, 5041)}, 7000: 6999}
+
+
 def test_shared_texts_stay_together(spark):
     text = long_text(300, 3)
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))

@@ -116,6 +116,16 @@ def test_byte_bpe(spark, clash):
     assert byte_bpe.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_byte_bpe_of_all_documents(spark, sf):
+    """Ids and bytes of the whole table against the library on whole texts."""
+    enc = byte_bpe.encoding(public_tokenizers.path(byte_bpe.RANKS))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = dict(docs.select("doc_id", "text").collect())
+    for r in byte_bpe.round_trip(docs).collect():
+        ids = enc.encode_ordinary(texts[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest())
+
+
 def test_byte_bpe_parts():
     enc = byte_bpe.encoding(public_tokenizers.path(byte_bpe.RANKS))
     rng = random.Random(4)
