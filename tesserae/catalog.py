@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.plans import composing, curating, files, pooling, priors, scoring, selecting, streams  # noqa: F401  they register their queries
+from tesserae.plans import composing, curating, files, imaging, pooling, priors, scoring, selecting, streams  # noqa: F401  they register their queries
 from tesserae.plans.registry import ORACLES, QUERIES, Query
 
 

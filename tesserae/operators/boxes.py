@@ -6,6 +6,8 @@ half to even and clipped to the image.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -136,3 +138,18 @@ def dense(images: DataFrame, scales: tuple[int, ...], size: int = 224, stride: i
 
 
 TILINGS = {"dense": dense, "whole": whole, "grid": grid, "integer_grid": integer_grid, "centred_grid": centred_grid, "centre_crop": centre_crop, "five_crop": five_crop, "strips": strips, "sliding": sliding, "multiscale": multiscale}
+
+
+#: Tilings by name: from (image_id, width, height) to boxes.
+TILINGS = {
+    "whole": whole,
+    "grid": functools.partial(grid, n=3),
+    "cells": functools.partial(integer_grid, n=4),
+    "centred_grid": functools.partial(centred_grid, scale=0.8),
+    "centre": functools.partial(centre_crop, size=224),
+    "five_crop": functools.partial(five_crop, size=448),
+    "strips": functools.partial(strips, n=3, across=True),
+    "sliding": functools.partial(sliding, size=448, stride=224),
+    "multiscale": functools.partial(multiscale, most=6),
+    "dense": functools.partial(dense, scales=(1, 2)),
+}

@@ -8,64 +8,69 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tesserae.operators.curation import shuffle_key
+from tesserae.functions.groups import solve_groups
+from tesserae.functions.lineage import cut
+from tesserae.functions.orders import hashed, places
 
 #: Shares of mosaics of 1 to 5 species.
 MOSAIC_SHARES = (0.30, 0.30, 0.20, 0.12, 0.08)
-
-
-def _uniform(*parts) -> F.Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)) / float(1 << 30)
+#: Classes whose prototypes a scorer may hold in every task.
+SCORER_CLASSES = 100_000
 
 
 def mosaic_plan(spark: SparkSession, manifest: DataFrame, n: int, shares: tuple[float, ...] = MOSAIC_SHARES, seed: int = 42) -> DataFrame:
     """(mosaic, slot, species_id, image): n mosaics of different species, one image each.
 
-    A mosaic's size follows the shares. Species are numbered, and slot j takes the j-th
-    number from a hashed start by a hashed stride without common divisor, so no species
-    comes twice; each species' images are numbered and one is taken by hash.
+    A mosaic's size follows the shares. Species have places in a reproducible random order;
+    a mosaic draws twice as many places as it can need and takes the first different ones,
+    after them the places from its first draw on, so no species comes twice and every set of
+    species can be drawn. Each species' images have places too, and one is drawn.
     """
-    classes = manifest.select("species_id").distinct().withColumn("code", F.row_number().over(Window.orderBy("species_id")) - 1)
-    images = manifest.withColumn("pos", F.row_number().over(Window.partitionBy("species_id").orderBy(shuffle_key("image", seed), "image")) - 1).withColumn("of", F.count("*").over(Window.partitionBy("species_id")))
+    classes = cut(places(manifest.select("species_id").distinct(), [], "species_id", seed, "code", "classes").select("species_id", F.col("code") - 1))
     n_classes = classes.count()
+    kinds = dict(manifest.dtypes)
     if not n_classes:
-        return spark.createDataFrame([], f"mosaic bigint, slot int, species_id {dict(manifest.dtypes)['species_id']}, image {dict(manifest.dtypes)['image']}")
-    strides = [s for s in range(1, n_classes + 1) if np.gcd(s, n_classes) == 1][:997]
-    u, size = _uniform(F.lit(seed), F.col("id")), F.lit(len(shares))
-    for k in reversed(range(len(shares) - 1)):
-        size = F.when(u < sum(shares[: k + 1]), k + 1).otherwise(size)
-    size = F.least(size, F.lit(n_classes))
-    m = spark.range(n).select(F.col("id").alias("mosaic"), F.explode(F.sequence(F.lit(0), size - 1)).alias("slot"), F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(n_classes)).alias("start"), F.element_at(F.lit(strides), (F.pmod(F.xxhash64(F.lit(seed + 2), "id"), F.lit(len(strides))) + 1).cast("int")).alias("stride"))
-    m = m.withColumn("code", ((F.col("start") + F.col("slot") * F.col("stride")) % n_classes).cast("int")).join(F.broadcast(classes), "code")
-    sizes = images.groupBy("species_id").agg(F.count("*").alias("n_images"))
-    m = m.join(sizes, "species_id").withColumn("pos", F.pmod(F.xxhash64(F.lit(seed + 3), "mosaic", "slot"), F.col("n_images")).cast("int"))
+        return spark.createDataFrame([], f"mosaic bigint, slot int, species_id {kinds['species_id']}, image {kinds['image']}")
+    classes = classes.toDF("species_id", "code")
+    of = lambda what, *parts: hashed(F.lit(f"{seed}{what}"), *[p.cast("string") for p in parts])
+    most, size = len(shares), F.lit(len(shares))
+    for k in reversed(range(most - 1)):
+        size = F.when(of("k", F.col("id")) / float(1 << 32) < sum(shares[: k + 1]), k + 1).otherwise(size)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(2 * most - 1)), lambda j: of("c", F.col("id"), j) % n_classes)
+    rest = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: (F.get("drawn", F.lit(0)) + j) % n_classes)
+    m = spark.range(n).select(F.col("id"), F.least(size, F.lit(n_classes)).alias("size"), drawn.alias("drawn"))
+    m = m.select(F.col("id").alias("mosaic"), F.posexplode(F.slice(F.array_distinct(F.concat("drawn", rest)), F.lit(1), F.col("size"))).alias("slot", "code")).join(classes, "code")
+    images = places(manifest.select("species_id", "image"), ["species_id"], "image", seed, "pos", "of")
+    sizes = manifest.groupBy("species_id").agg(F.count("*").alias("n_images"))
+    m = m.join(sizes, "species_id").withColumn("pos", of("i", F.col("mosaic"), F.col("slot")) % F.col("n_images") + 1)
     return m.join(images.select("species_id", "pos", "image"), ["species_id", "pos"]).select("mosaic", "slot", "species_id", "image")
 
 
 def greedy_tiles(tiles: DataFrame, k: int = 20, least: float = 0.01) -> DataFrame:
     """(image_id, step, tile_id, gain): tiles by largest gain in coverage, the sum over species of the best score so far.
 
-    Each step depends on the one before, so an image is solved in one call; an image has
-    few tiles. tiles: (image_id, tile_id, probs array).
+    An image of k tiles or fewer keeps them all; another one keeps k at most and ends with
+    the first tile that gains less than `least`. Of equal gains the smaller tile comes first.
+    tiles: (image_id, tile_id, probs array).
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tile_id")
-        probs, ids = np.stack(pdf["probs"].to_numpy()), pdf["tile_id"].to_numpy()
-        best, left, out = np.zeros(probs.shape[1]), list(range(len(ids))), []
-        while left and len(out) < k:
-            gains = np.maximum(probs[left] - best, 0).sum(1)
-            i = int(gains.argmax())
-            if gains[i] < least:
+        probs = np.array(pdf["probs"].tolist(), float)
+        n, covered, steps = len(probs), np.zeros(probs.shape[1]), []
+        added = np.clip(probs - covered, 0, None).sum(1)
+        while len(steps) < min(k, n):
+            best = int(added.argmax())
+            steps.append((best, added[best]))
+            covered = np.maximum(covered, probs[best])
+            if n > k and added[best] < least:
                 break
-            out.append((pdf["image_id"].iloc[0], len(out), ids[left[i]], float(gains[i])))
-            best = np.maximum(best, probs[left.pop(i)])
-        return pd.DataFrame(out, columns=["image_id", "step", "tile_id", "gain"])
+            added = np.clip(probs - covered, 0, None).sum(1)
+            added[[i for i, _ in steps]] = -1
+        return pd.DataFrame({"step": np.arange(len(steps), dtype=np.int32), "tile_id": pdf["tile_id"].to_numpy()[[i for i, _ in steps]], "gain": [float(g) for _, g in steps]})
 
-    kinds = dict(tiles.dtypes)
-    return tiles.groupBy("image_id").applyInPandas(solve, f"image_id {kinds['image_id']}, step int, tile_id {kinds['tile_id']}, gain double")
+    return solve_groups(tiles.select("image_id", "tile_id", "probs"), ["image_id"], solve, f"step int, tile_id {dict(tiles.dtypes)['tile_id']}, gain double")
 
 
 def score_batches(df: DataFrame, predict: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.functions.groups import solve_groups
+from tesserae.operators.vectors import against_all, products, unit
+
 
 def niche_compatibility(niches: DataFrame, indicators: list[str], below: float = 1.0, mu: float = 0.0, sd: float = 1.5) -> DataFrame:
     """(a, b, c) for pairs under a cut-off: the product of the indicators' Bhattacharyya coefficients.
 
     niches: (species_id, <indicator>_m, <indicator>_s); missing or non-positive spreads take
-    the defaults. Pairs are asked for by their definition; the side that is sent is one
-    row for each class, bounded by the number of classes.
+    the defaults. All pairs are asked for by definition; they are made in blocks.
     """
     def filled(side: str) -> DataFrame:
         cols = []
@@ -24,7 +28,7 @@ def niche_compatibility(niches: DataFrame, indicators: list[str], below: float =
     for i in indicators:
         s2 = F.pow(f"a{i}_s", F.lit(2.0)) + F.pow(f"b{i}_s", F.lit(2.0))
         log_c = log_c + 0.5 * F.log(2 * F.col(f"a{i}_s") * F.col(f"b{i}_s") / s2) - F.pow(F.col(f"a{i}_m") - F.col(f"b{i}_m"), F.lit(2.0)) / (4 * s2)
-    pairs = filled("a").join(F.broadcast(filled("b")), F.col("a") != F.col("b"))
+    pairs = against_all(filled("a"), filled("b")).where("a <> b")
     return pairs.select("a", "b", F.exp(log_c).alias("c")).where(F.col("c") < below)
 
 
@@ -41,28 +45,41 @@ def continuous_consistency(tiles: DataFrame, edges: DataFrame, compat: DataFrame
     return t.select("image_id", "tile_id", "species_id", (F.col("prob") * F.coalesce("c", F.lit(1.0))).alias("prob"))
 
 
-def hard_consistency(tiles: DataFrame, edges: DataFrame, threshold: float, most_rounds: int = 20) -> DataFrame:
+def hard_consistency(tiles: DataFrame, edges: DataFrame, threshold: float) -> DataFrame:
     """Tile scores, zero for species that some other tile of the image cannot stand beside.
 
-    A species of a tile stays if every other tile keeps a species next to it, or itself. The largest set that
-    stays is unique, so rounds drop what fails until nothing does; each round is cut.
+    A species stays if every tile of the image keeps a species next to it, or itself; what
+    fails is dropped until nothing does, so the largest set that stays is left. Whether a
+    species has support is the same in all tiles that hold it. An image is solved in one
+    call, by a matrix of tiles by species; a single tile keeps its scores.
     """
     n_tiles = tiles.select("image_id", "tile_id").distinct().groupBy("image_id").agg(F.count("*").alias("tiles"))
-    kept = tiles.where(F.col("prob") > threshold).select("image_id", "tile_id", "species_id").join(n_tiles, "image_id").checkpoint()
-    near = edges.union(edges.select("a", "a")).distinct()
-    n = kept.count()
-    for _ in range(most_rounds):
-        other = kept.select("image_id", F.col("tile_id").alias("other"), F.col("species_id").alias("b"))
-        pairs = kept.join(near, F.col("species_id") == F.col("a")).join(other, ["image_id", "b"]).where("tile_id <> other")
-        good = pairs.groupBy("image_id", "tile_id", "species_id").agg(F.count_distinct("other").alias("met"), F.first("tiles").alias("tiles")).where("met = tiles - 1")
-        single = kept.where("tiles = 1").select("image_id", "tile_id", "species_id", "tiles")
-        kept = good.select("image_id", "tile_id", "species_id", "tiles").union(single).checkpoint()
-        now = kept.count()
-        if now == n:
-            break
-        n = now
-    t = tiles.join(kept.select("image_id", "tile_id", "species_id", F.lit(True).alias("ok")), ["image_id", "tile_id", "species_id"], "left")
-    return t.select("image_id", "tile_id", "species_id", F.when(F.col("ok"), F.col("prob")).otherwise(0.0).alias("prob"))
+    near = edges.groupBy(F.col("a").alias("species_id")).agg(F.collect_set("b").alias("near"))
+    above = tiles.where(F.col("prob") > threshold).select("image_id", "tile_id", "species_id").join(n_tiles, "image_id").where("tiles > 1").join(near, "species_id", "left")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        species, which = np.unique(pdf["species_id"].to_numpy(), return_inverse=True)
+        names, tile = np.unique(pdf["tile_id"].to_numpy(), return_inverse=True)
+        kind = pdf["species_id"].dtype
+        if len(names) < pdf["tiles"].iloc[0]:
+            return pd.DataFrame({"species_id": np.zeros(0, kind)})
+        holds = np.zeros((len(names), len(species)), np.float32)
+        holds[tile, which] = 1
+        beside = np.eye(len(species), dtype=np.float32)
+        for i, found in zip(which, pdf["near"], strict=True):
+            if found is not None:
+                beside[np.searchsorted(species, np.intersect1d(found, species)), i] = 1
+        kept = np.ones(len(species), bool)
+        while True:
+            good = kept & ((holds * kept) @ beside > 0).all(0)
+            if (good == kept).all():
+                return pd.DataFrame({"species_id": species[kept].astype(kind)})
+            kept = good
+
+    kept = solve_groups(above, ["image_id"], solve, f"species_id {dict(tiles.dtypes)['species_id']}")
+    t = tiles.join(n_tiles, "image_id").join(kept.withColumn("ok", F.lit(True)), ["image_id", "species_id"], "left")
+    stays = (F.col("tiles") == 1) | (F.col("ok") & (F.col("prob") > threshold))
+    return t.select("image_id", "tile_id", "species_id", F.when(stays, F.col("prob")).otherwise(0.0).alias("prob"))
 
 
 def prune_and_recover(selected: DataFrame, reserve: DataFrame, compat: DataFrame, low: float, high: float) -> DataFrame:
@@ -93,15 +110,8 @@ def climate_profiles(points: DataFrame, grid: DataFrame, columns: list[str], cel
     return m.crossJoin(F.broadcast(stats)).select("species_id", F.array(*z).alias("z"))
 
 
-def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float, block: int = 512) -> DataFrame:
-    """(a, b, cosine) of different classes from `least`; classes are few and go in blocks.
-
-    One side's blocks hold `block` vectors each as an array, so every task multiplies its
-    vectors with whole blocks; the result is what is asked for, pairs from the limit.
-    """
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))
-    v = vectors.select(F.col(key).alias("k"), F.transform(vector, lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v")) if "n" in vectors.columns else vectors.withColumn("n", norm).select(F.col(key).alias("k"), F.transform(vector, lambda x: x / F.greatest(F.col("n"), F.lit(1e-12))).alias("v"))
-    blocks = v.groupBy(F.pmod(F.xxhash64("k"), F.lit(block)).alias("block")).agg(F.collect_list(F.struct(F.col("k").alias("b"), F.col("v").alias("w"))).alias("m"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda a, p: a + p)
-    each = v.join(F.broadcast(blocks)).select(F.col("k").alias("a"), "v", F.inline("m"))
-    return each.where("a <> b").select("a", "b", dot(F.col("v"), F.col("w")).alias("cosine")).where(F.col("cosine") >= least)
+def similar_pairs(vectors: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """(a, b, cosine) of different classes from `least`: only these leave the products of whole batches."""
+    v = vectors.select(key, unit(F.transform(vector, lambda x: x.cast("double"))).alias("v"))
+    pairs = products(v.withColumnRenamed(key, "a"), "a", "v", v.withColumnRenamed(key, "b"), "b", "v", "cosine", least)
+    return pairs.where("a <> b")

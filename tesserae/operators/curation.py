@@ -10,10 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def shuffle_key(key: Column | str, seed: int = 42) -> Column:
-    """A reproducible random order."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")))
+from tesserae.functions.orders import hashed, places, shuffle_key
 
 
 def align(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:
@@ -153,24 +150,15 @@ def cap(df: DataFrame, group: str, n: int, key: str, seed: int = 42) -> DataFram
 
 def split_train(df: DataFrame, group: str, share: float, key: str, seed: int = 42, least: int = 5) -> DataFrame:
     """Adds split: of groups with `least` rows or more, max(1, int(n * share)) go to val."""
-    w = Window.partitionBy(group)
-    r, n = F.row_number().over(w.orderBy(shuffle_key(key, seed), key)), F.count("*").over(w)
+    n = F.col("__of")
     val = F.when(n < least, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(n * share)))
-    return df.withColumn("split", F.when(r <= val, "val").otherwise("train"))
+    return places(df, [group], key, seed).withColumn("split", F.when(F.col("__at") <= val, "val").otherwise("train")).drop("__at", "__of")
 
 
 def split_plain(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFrame:
-    """Adds split: the max(1, round(share * n)) rows of the smallest hashes are val, all others train.
-
-    The row that ends val is found by counts of hash prefixes and an order inside one
-    prefix alone, so no task ever sorts all rows.
-    """
-    t = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__p", F.substring("__h", 1, 4))
-    want = df.agg(F.greatest(F.lit(1), F.bround(F.count("*") * share).cast("long")).alias("want"))
-    per = t.groupBy("__p").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("__p")))
-    bounds = per.crossJoin(F.broadcast(want)).select("__p", (F.col("want") - (F.col("upto") - F.col("c"))).alias("take"))
-    r = F.row_number().over(Window.partitionBy("__p").orderBy("__h", key))
-    return t.join(F.broadcast(bounds), "__p").withColumn("split", F.when(r <= F.col("take"), "val").otherwise("train")).drop("__h", "__p", "take")
+    """Adds split: the max(1, round(share * n)) rows of the smallest hashes are val, all others train."""
+    val = F.greatest(F.lit(1), F.bround(F.col("__of") * share).cast("long"))
+    return places(df, [], key, seed).withColumn("split", F.when(F.col("__at") <= val, "val").otherwise("train")).drop("__at", "__of")
 
 
 def support_and_query(df: DataFrame, group: str, order: list[Column], k: int, most_query: int, least: int) -> DataFrame:
@@ -227,18 +215,19 @@ def mode_by(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 def weighted_draws(df: DataFrame, weight: Column, n: int, key: str, seed: int = 42) -> DataFrame:
     """(draw, key): n draws with replacement by weight; invalid and negative weights count as zero.
 
-    Rows lie side by side on a line, each as long as its weight; draw i falls at a
-    reproducible place in the i-th of n equal parts of it. Sums by range of the key come
-    first, so the line is laid out in parallel: within a bucket by a window, between
-    buckets by their totals.
+    Rows lie side by side on a line in a reproducible random order, each as long as its
+    weight; draw i falls at a reproducible place in the i-th of n equal parts of it. Sums
+    by hash prefix come first, so the line is laid out in parallel, in so many prefixes as
+    the rows ask for; the line is the same however many these are.
     """
     w = F.when(weight.isNull() | F.isnan(weight) | (weight < 0), 0.0).otherwise(weight)
-    t = df.select(F.col(key).alias("key"), w.cast("double").alias("w")).withColumn("b", F.pmod(F.xxhash64("key"), F.lit(256)))
+    t = df.select(F.col(key).alias("key"), w.cast("double").alias("w"), shuffle_key(key, seed).alias("h"))
+    digits = next((d for d in range(1, 5) if df.count() <= 50_000 * 16**d), 5)
+    t = t.withColumn("b", F.substring("h", 1, digits))
     per = t.groupBy("b").agg(F.sum("w").alias("s"))
     before = per.withColumn("start", F.sum("s").over(Window.orderBy("b")) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy()))
-    line = t.join(F.broadcast(before), "b").withColumn("upto", F.sum("w").over(Window.partitionBy("b").orderBy("key")) + F.col("start")).withColumn("from", F.col("upto") - F.col("w"))
-    u = lambda i: F.pmod(F.xxhash64(F.lit(seed), i), F.lit(1 << 30)) / float(1 << 30)
+    line = t.join(before, "b").withColumn("upto", F.sum("w").over(Window.partitionBy("b").orderBy("h", "key")) + F.col("start")).withColumn("from", F.col("upto") - F.col("w"))
     first, last = F.floor(F.col("from") / F.col("total") * n), F.floor(F.col("upto") / F.col("total") * n)
     hit = line.where("w > 0").select("key", "from", "upto", "total", F.explode(F.sequence(first, F.least(last, F.lit(n - 1)))).alias("draw"))
-    place = (F.col("draw") + u(F.col("draw"))) / n * F.col("total")
+    place = (F.col("draw") + hashed(F.lit(str(seed)), F.col("draw").cast("string")) / float(1 << 32)) / n * F.col("total")
     return hit.where((place >= F.col("from")) & (place < F.col("upto"))).select("draw", "key")

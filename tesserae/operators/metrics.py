@@ -87,16 +87,16 @@ def species_accuracy(top1: DataFrame, truth: DataFrame, train: DataFrame) -> Dat
 
 def group_accuracy(top1: DataFrame, truth: DataFrame, taxonomy: DataFrame, level: str) -> DataFrame:
     """(level, n, accuracy) of truths whose group the top prediction of the image meets."""
-    t = truth.join(F.broadcast(taxonomy.select("species_id", F.col(level).alias("g"))), "species_id").select("image_id", "species_id", "g")
-    p = top1.join(F.broadcast(taxonomy.select("species_id", F.col(level).alias("pg"))), "species_id").select("image_id", "pg")
+    t = truth.join(taxonomy.select("species_id", F.col(level).alias("g")), "species_id").select("image_id", "species_id", "g")
+    p = top1.join(taxonomy.select("species_id", F.col(level).alias("pg")), "species_id").select("image_id", "pg")
     return t.join(p, "image_id", "left").groupBy(F.col("g").alias(level)).agg(F.count("*").alias("n"), F.avg(F.coalesce((F.col("g") == F.col("pg")).cast("int"), F.lit(0))).alias("accuracy"))
 
 
 def confusion(top1: DataFrame, truth: DataFrame, taxonomy: DataFrame, level: str) -> DataFrame:
     """(true_group, pred_group, share): a row-normalised confusion of groups."""
     tx = taxonomy.select("species_id", F.col(level).alias("g"))
-    t = truth.join(F.broadcast(tx.withColumnRenamed("g", "true_group")), "species_id").select("image_id", "true_group")
-    p = top1.join(F.broadcast(tx.withColumnRenamed("g", "pred_group")), "species_id").select("image_id", "pred_group")
+    t = truth.join(tx.withColumnRenamed("g", "true_group"), "species_id").select("image_id", "true_group")
+    p = top1.join(tx.withColumnRenamed("g", "pred_group"), "species_id").select("image_id", "pred_group")
     c = t.join(p, "image_id").groupBy("true_group", "pred_group").agg(F.count("*").alias("c"))
     return c.select("true_group", "pred_group", (F.col("c") / F.sum("c").over(Window.partitionBy("true_group"))).alias("share"))
 

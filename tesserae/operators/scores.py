@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,10 @@ def log_prior(classes: DataFrame, counts: DataFrame, smoothing: str = "laplace",
     return _summed(n, F.col("n") + plus).select("species_id", value.alias("prior"))
 
 
+#: Class priors by name: from (classes, counts) to (species_id, prior).
+PRIORS = {k: functools.partial(log_prior, smoothing=k) for k in ("laplace", "scaled", "padded", "floored", "sqrt")}
+
+
 def adjust_softmax(scores: DataFrame, prior: DataFrame, tau: float, temperature: float = 1.0) -> DataFrame:
     """softmax((ln p - tau * prior) / T) within each image; scores has prob, prior one row a class."""
     x = scores.join(prior, "species_id").withColumn("x", log_floor(F.col("prob")) - tau * F.col("prior"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tesserae.functions.columns import ranked
+from tesserae.functions.lineage import cut
+from tesserae.functions.orders import order_statistic
 
 
 def _image() -> WindowSpec:
@@ -100,18 +104,13 @@ def pseudo_labels(scores: DataFrame, tau: float, cap: int, least: int) -> DataFr
 def conformal_calibrate(scores: DataFrame, truth: DataFrame, alpha: float) -> DataFrame:
     """One row, q: the least cumulative score, at true labels, that covers 1 - alpha of them.
 
-    The order statistic at ceil((n - 1) min(1, (1 - alpha)(n + 1) / n)), from zero, is
-    found from counts of distinct values, so only the sum over values runs in one order.
+    It is the order statistic at ceil((n - 1) min(1, (1 - alpha)(n + 1) / n)), from zero,
+    found by counts of ever narrower ranges.
     """
-    cum = _ranked(scores).withColumn("cum", F.sum("score").over(_so_far())).join(truth, ["image_id", "species_id"])
-    n = F.col("n")
-    stats = cum.agg(F.count("*").alias("n"))
-    at = F.ceil((n - 1) * F.least(F.lit(1.0), (1 - alpha) * (n + 1) / n) - 1e-12)
-    # A percentile without interpolation: the exact value at the place (discrete percentile).
-    place = stats.select("n", at.cast("long").alias("at"))
-    values = cum.groupBy("cum").agg(F.count("*").alias("c"))
-    upto = values.withColumn("upto", F.sum("c").over(Window.orderBy("cum")))
-    return upto.crossJoin(F.broadcast(place)).where("upto > at").agg(F.min("cum").alias("q"))
+    cum = cut(_ranked(scores).withColumn("cum", F.sum("score").over(_so_far())).join(truth, ["image_id", "species_id"]).select("cum"))
+    n = cum.count()
+    at = math.ceil((n - 1) * min(1.0, (1 - alpha) * (n + 1) / n) - 1e-12) if n else 0
+    return scores.sparkSession.createDataFrame([(order_statistic(cum, "cum", at),)], "q double")
 
 
 def conformal_set(scores: DataFrame, q: float) -> DataFrame:
@@ -138,17 +137,11 @@ def conformal_clamped(scores: DataFrame, q: float, min_k: int, top_k: int) -> Da
 def target_threshold(scores: DataFrame, mean_predictions: float) -> DataFrame:
     """One row, threshold: the score that the mean number of predictions an image asks for.
 
-    It is the (images x mean)th largest score. Scores are counted by value first, and only
-    these counts are ordered.
+    It is the (images x mean)th largest score, found by counts of ever narrower ranges.
     """
-    n = scores.agg((F.count_distinct("image_id") * mean_predictions).cast("long").alias("want"))
-    values = scores.groupBy("score").agg(F.count("*").alias("c"))
-    fine = values.withColumn("bucket", F.floor(F.col("score") * 4096))
-    # Counts of buckets find the bucket; only its own values are put in order.
-    above = fine.groupBy("bucket").agg(F.sum("c").alias("cb")).withColumn("upto", F.sum("cb").over(Window.orderBy(F.desc("bucket"))))
-    hit = above.crossJoin(F.broadcast(n)).where("upto >= want").orderBy(F.desc("bucket")).limit(1).select("bucket", "want", (F.col("upto") - F.col("cb")).alias("before"))
-    inside = fine.join(F.broadcast(hit), "bucket").withColumn("at", F.sum("c").over(Window.partitionBy("bucket").orderBy(F.desc("score"))) + F.col("before"))
-    return inside.where("at >= want").agg(F.max("score").alias("threshold"))
+    n, images = scores.agg(F.count("score"), F.count_distinct("image_id")).first()
+    found = order_statistic(scores, "score", n - max(1, math.floor(images * mean_predictions)))
+    return scores.sparkSession.createDataFrame([(found,)], "threshold double")
 
 
 def best_thresholds(scores: DataFrame, truth: DataFrame, grid: list[float], strict: bool, unseen: float, min_positives: int = 0, fallback: float | None = None) -> DataFrame:

@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 from pyspark.sql.window import Window
 
+from tesserae.functions.groups import solve_groups
+from tesserae.functions.lineage import cut
+
+#: Numbers of a bank that are sent to every task.
+SENT_NUMBERS = 4 << 20
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -31,10 +42,49 @@ def prototypes(bank: DataFrame, label: str = "label", vector: str = "embedding")
     return class_means(bank, label, vector).select("label", unit(F.col("mean")).alias("prototype"))
 
 
+def against_all(a: DataFrame, b: DataFrame, blocks: int = 16) -> DataFrame:
+    """Every row of a beside every row of b, joined by blocks of b's rows; whether b is sent is for Spark to judge by its size."""
+    each = a.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return each.join(b.withColumn("__block", F.pmod(F.xxhash64(*b.columns), F.lit(blocks)).cast("int")), "__block").drop("__block")
+
+
+def products(queries: DataFrame, key: str, vector: str, bank: DataFrame, name: str, column: str, out: str, least: float | None = None) -> DataFrame:
+    """(key, name, out): the dot product of every query with every vector of a bank, or those from `least` on.
+
+    The bank is a stated set such as class prototypes. It is counted first: up to
+    SENT_NUMBERS numbers it is sent as one matrix and batches of queries are multiplied
+    with it, beyond that its vectors are joined in blocks. Null vectors have no products.
+    """
+    bank = cut(bank.select(name, column).where(F.col(column).isNotNull()))
+    n, width = bank.agg(F.count("*"), F.coalesce(F.max(F.size(column)), F.lit(0))).first()
+    if n * width > SENT_NUMBERS:
+        each = against_all(queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("__q")), bank.select(name, F.col(column).alias("__b")), max(1, n * width // SENT_NUMBERS))
+        each = each.select(key, name, dot(F.col("__q"), F.col("__b")).alias(out))
+        return each if least is None else each.where(F.col(out) >= least)
+    rows = bank.orderBy(name).collect()
+    kinds = dict(queries.dtypes) | {name: dict(bank.dtypes)[name]}
+    names, matrix = [r[name] for r in rows], np.array([r[column] for r in rows], float).reshape(len(rows), -1)
+    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    schema = f"`{key}` {kinds[key]}, `{name}` {kinds[name]}, `{out}` double"
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches):
+        names, matrix = sent.value
+        step = max(1, (1 << 20) // max(1, len(names)))
+        for b in batches:
+            for i in range(0, b.num_rows if names else 0, step):
+                part = b.slice(i, step)
+                x = np.array(part.column(1).to_pylist(), float) @ matrix.T
+                row, col = np.indices(x.shape).reshape(2, -1) if least is None else np.nonzero(x >= least)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)).cast(arrow.types[0]), pa.array(names, arrow.types[1]).take(pa.array(col)), pa.array(x[row, col])], schema=arrow)
+
+    return queries.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
+
+
 def cosine_scores(queries: DataFrame, protos: DataFrame, key: str, vector: str, proto: str = "prototype") -> DataFrame:
-    """(key, label, score) against every class. Prototypes are one row a class and are sent."""
+    """(key, label, score) against every class."""
     q = queries.select(key, unit(F.transform(vector, lambda x: x.cast("double"))).alias("q"))
-    return q.join(F.broadcast(protos)).select(key, "label", dot(F.col("q"), F.col(proto)).alias("score"))
+    return products(q, key, "q", protos, "label", proto, "score")
 
 
 def mean_neighbour_scores(queries: DataFrame, bank: DataFrame, key: str, vector: str) -> DataFrame:
@@ -83,25 +133,29 @@ def principal(bank: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     return out.crossJoin(F.broadcast(means)).select(key, F.zip_with("c", "means", lambda x, m: x - m).alias("components"))
 
 
-def tile_clusters(pairs: DataFrame, tiles: DataFrame, rounds: int = 12) -> DataFrame:
-    """(image_id, tile_id, cluster): tiles of an image that links join, named by the smallest.
+def tile_clusters(tiles: DataFrame, vector: str, least: float, block: int = 512) -> DataFrame:
+    """(image_id, tile_id, cluster): tiles of an image that cosines above the limit join, named by the smallest.
 
-    Labels pass along links, and labels of labels are followed, until `rounds`; an image has
-    few tiles, so rounds of their logarithm do.
+    An image is solved in one call: from its smallest open tile on, all open tiles that are
+    near those just reached are reached, by products of blocks, until none is; no pairs are
+    kept and paths have any length.
     """
-    both = pairs.select("image_id", F.col("a").alias("tile_id"), F.col("b").alias("to")).union(pairs.select("image_id", F.col("b"), F.col("a")))
-    near = both.groupBy("image_id", "tile_id").agg(F.collect_set("to").alias("to"))
-    per = tiles.join(near, ["image_id", "tile_id"], "left").groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("tile_id", F.concat(F.array("tile_id"), F.coalesce("to", F.array().cast("array<int>")))))).alias("g"))
-    step = lambda m: F.transform_values(m, lambda k, v: F.array_distinct(F.flatten(F.transform(v, lambda x: F.element_at(m, x)))))
-    n = 1
-    while n < rounds:
-        per = per.select("image_id", step(F.col("g")).alias("g"))
-        n *= 2
-    return per.select("image_id", F.explode("g").alias("tile_id", "members")).select("image_id", "tile_id", F.array_min("members").alias("cluster"))
-
-
-def tile_links(tiles: DataFrame, vector: str, least: float) -> DataFrame:
-    """(image_id, a, b): tiles of one image whose cosine is above the limit."""
+    kind = dict(tiles.dtypes)["tile_id"]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("tile_id")
+        x, names = np.array(pdf["v"].tolist(), float), pdf["tile_id"].to_numpy()
+        cluster = np.full(len(names), -1)
+        left = np.arange(len(names))
+        while len(left):
+            root, front, left = left[0], left[:1], left[1:]
+            while len(front):
+                cluster[front] = root
+                near = np.zeros(len(left), bool)
+                for i in range(0, len(front), block):
+                    near |= (x[left] @ x[front[i : i + block]].T > least).any(1)
+                front, left = left[near], left[~near]
+        return pd.DataFrame({"tile_id": names, "cluster": names[cluster]})
+
     u = tiles.select("image_id", "tile_id", unit(F.col(vector)).alias("v"))
-    x, y = u.select("image_id", F.col("tile_id").alias("a"), F.col("v").alias("p")), u.select("image_id", F.col("tile_id").alias("b"), F.col("v").alias("q"))
-    return x.join(y, "image_id").where("a < b").where(dot(F.col("p"), F.col("q")) > least).select("image_id", "a", "b")
+    return solve_groups(u, ["image_id"], solve, f"tile_id {kind}, cluster {kind}")

@@ -4,42 +4,94 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions.groups import solve_groups
+from tesserae.functions.lineage import cut, scratch
+from tesserae.functions.orders import places
 from tesserae.operators import compose as C
 from tesserae.operators import metrics as M
 from tesserae.operators import selection as K
 from tesserae.operators import vectors as V
+from tesserae.operators.constraints import similar_pairs
 from tesserae.plans.priors import UNIT, sizes
 from tesserae.plans.registry import query, r
 from tesserae.plans.selecting import BEST, base, scored
-from tesserae.plans.views import TRUTH, table, tile_arrays, truth
+from tesserae.plans.views import TILE, TRUTH, table, tile_arrays, truth
 
 
-@query("w10_mosaic_plan")
+def _drawn(text: str) -> str:
+    """SQL for functions.orders.hashed."""
+    return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
+
+
+def _mosaic_sql(species: str, shares: tuple[float, ...], seed: int) -> str:
+    most = len(shares)
+    size = " ".join(f"WHEN u < {sum(shares[: k + 1])} THEN {k + 1}" for k in range(most - 1))
+    return f"""WITH man AS (SELECT {species} AS species_id, l_orderkey || '-' || l_linenumber AS image FROM lineitem),
+ cls AS (SELECT species_id, row_number() OVER (ORDER BY md5('{seed}:' || species_id), species_id) - 1 AS code, count(*) OVER () AS nc FROM (SELECT DISTINCT species_id FROM man)),
+ img AS (SELECT species_id, image, row_number() OVER (PARTITION BY species_id ORDER BY md5('{seed}:' || image), image) AS pos, count(*) OVER (PARTITION BY species_id) AS ni FROM man),
+ d AS (SELECT i AS id, {_drawn(f"'{seed}k:' || i")} / 4294967296.0 AS u, nc, list_transform(range({2 * most}), lambda j: {_drawn(f"'{seed}c:' || i || ':' || j")} % nc) AS d FROM (SELECT unnest(range((SELECT count(*) FROM orders))) AS i), (SELECT max(nc) AS nc FROM cls)),
+ c AS (SELECT id, least(CASE {size} ELSE {most} END, nc) AS k, list_concat(d, list_transform(range({most}), lambda j: (d[1] + j) % nc)) AS l FROM d),
+ s AS (SELECT id AS mosaic, k, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM c),
+ e AS (SELECT mosaic, CAST(slot AS INT) AS slot, l[slot + 1] AS code FROM (SELECT mosaic, l, unnest(range(k)) AS slot FROM s))
+ SELECT mosaic, slot, species_id, image FROM e JOIN cls USING (code) JOIN img USING (species_id) WHERE pos = {_drawn(f"'{seed}i:' || mosaic || ':' || slot")} % ni + 1"""
+
+
+#: A background and three to six others, all as likely.
+COLLAGE_SHARES = (0, 0, 0, 0.25, 0.25, 0.25, 0.25)
+
+
+@query("w10_mosaic_plan", _mosaic_sql("l_suppkey", C.MOSAIC_SHARES, 42))
 def w10(spark, sf):
-    """Draws by hash; tests hold them to their shares."""
     m = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("species_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("image"))
-    n = table(spark, sf, "orders").count()
-    return C.mosaic_plan(spark, m, n)
+    return C.mosaic_plan(spark, m, table(spark, sf, "orders").count())
 
 
-@query("w11_collage_plan")
+@query("w11_collage_plan", _mosaic_sql("l_partkey", COLLAGE_SHARES, 7))
 def w11(spark, sf):
     """A background and three to six others."""
     m = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("species_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("image"))
-    return C.mosaic_plan(spark, m, table(spark, sf, "orders").count(), (0, 0, 0, 0.25, 0.25, 0.25, 0.25), 7)
+    return C.mosaic_plan(spark, m, table(spark, sf, "orders").count(), COLLAGE_SHARES, 7)
+
 
+def _greedy_sql(k: int) -> str:
+    steps = ["s1 AS (SELECT image_id, n, [tile_id] AS chosen, pr AS cov, tile_id, list_sum(pr) AS gain FROM t QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY list_sum(pr) DESC, tile_id) = 1)"]
+    for i in range(2, k + 1):
+        gain = "list_sum(list_transform(range(1, 65), lambda i: greatest(t.pr[i] - s.cov[i], 0)))"
+        steps.append(f"s{i} AS (SELECT image_id, n, list_append(chosen, tile_id) AS chosen, list_transform(range(1, 65), lambda i: greatest(pr[i], cov[i])) AS cov, tile_id, gain FROM (SELECT t.image_id, t.n, s.chosen, s.cov, t.pr, t.tile_id, {gain} AS gain FROM t JOIN s{i - 1} s ON t.image_id = s.image_id AND NOT list_contains(s.chosen, t.tile_id) WHERE t.n <= {k} OR s.gain >= 0.01) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY gain DESC, tile_id) = 1)")
+    union = " UNION ALL ".join(f"SELECT image_id, CAST({i - 1} AS INT) AS step, tile_id, {r('gain', 'gain')} FROM s{i}" for i in range(1, k + 1))
+    return f"WITH t AS (SELECT vec_id // 5 AS image_id, CAST(vec_id % 5 AS INT) AS tile_id, list_transform(embedding, lambda x: 1 / (1 + exp(-CAST(x AS DOUBLE)))) AS pr, count(*) OVER (PARTITION BY vec_id // 5) AS n FROM embeddings), {', '.join(steps)} {union}"
 
-@query("w16_greedy_tiles")
+
+@query("w16_greedy_tiles", _greedy_sql(3))
 def w16(spark, sf):
-    """Sequential in an image; tests hold it to a plain loop."""
+    """Sequential in an image."""
     probs = F.transform("logits", lambda x: 1 / (1 + F.exp(-x)))
     return C.greedy_tiles(tile_arrays(spark, sf).select("image_id", "tile_id", probs.alias("probs")), 3)
 
 
+@query("f03_solver_hook", f"WITH {TILE}, s AS (SELECT image_id, tile_id, max(logit) AS best FROM tile GROUP BY 1, 2) SELECT image_id, tile_id, {r('best', 'best')} FROM s QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY best DESC, tile_id) = 1")
+def f03(spark, sf):
+    """A user's solver for each image: here its tile with the largest logit."""
+
+    def solve(pdf):
+        best = pdf.assign(best=[max(x) for x in pdf["logits"]]).sort_values(["best", "tile_id"], ascending=[False, True])
+        return best.head(1)[["tile_id", "best"]]
+
+    return solve_groups(tile_arrays(spark, sf).select("image_id", "tile_id", "logits"), ["image_id"], solve, "tile_id int, best double")
+
+
+@query("j16_similar_pairs", f"WITH {UNIT} SELECT a.label AS a, b.label AS b, {r('sum(a.x * b.x)', 'cosine')} FROM pt a JOIN pt b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2 HAVING sum(a.x * b.x) >= 0.05")
+def j16(spark, sf):
+    return similar_pairs(V.prototypes(table(spark, sf, "embeddings")), "label", "prototype", 0.05)
+
+
 @query("f02_scorer_hook", f"WITH {UNIT} SELECT un.vec_id, pt.label AS species_id, {r('sum(un.x * pt.x)', 'score')} FROM un JOIN pt USING (i) GROUP BY 1, 2")
 def f02(spark, sf):
     bank = table(spark, sf, "embeddings")
-    protos = {p["label"]: p["prototype"] for p in V.prototypes(bank).collect()}
+    found = cut(V.prototypes(bank))
+    if found.count() > C.SCORER_CLASSES:
+        raise ValueError("too many classes for a scorer that holds them all; V.products joins them in blocks")
+    protos = {p["label"]: p["prototype"] for p in found.collect()}
     return C.score_batches(bank.select("vec_id", "embedding"), C.cosine_scorer(protos, "vec_id", "embedding"), "vec_id bigint, species_id int, score double")
 
 
@@ -84,11 +136,14 @@ def j13(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("image"), F.col("p_brand").alias("species")).join(t, "image").groupBy("species").agg(F.min("trait").alias("trait"), F.count("*").alias("n"))
 
 
-@query("j10_ordinal_pairs", "SELECT a.o_orderkey, b.o_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) a JOIN (SELECT o_custkey, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders) b USING (i)")
+@query("j10_ordinal_pairs", "SELECT a.o_orderkey, b.o_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS i FROM orders) a JOIN (SELECT o_custkey, row_number() OVER (ORDER BY md5('42:' || o_orderkey), o_orderkey) AS i FROM orders) b USING (i)")
 def j10(spark, sf):
-    """Files that pair by place get an explicit ordinal, here the key itself, and join on it."""
-    o = table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("at"), "o_orderkey").join(o.select(F.col("o_orderkey").alias("at"), "o_custkey"), "at").select("o_orderkey", "o_custkey")
+    """Two files that pair by place: each is written with its rows' places, and the places are joined."""
+    out = scratch(spark, "paired")
+    for name, column in (("predictions", "o_orderkey"), ("truths", "o_custkey")):
+        places(table(spark, sf, "orders"), [], "o_orderkey").select("__at", column).write.csv(f"{out}/{name}", header=True)
+    a = spark.read.schema("at bigint, o_orderkey bigint").csv(f"{out}/predictions", header=True)
+    return a.join(spark.read.schema("at bigint, o_custkey bigint").csv(f"{out}/truths", header=True), "at").select("o_orderkey", "o_custkey")
 
 
 @query("e33_text_fusion", f"WITH {UNIT}, s AS (SELECT un.vec_id, pt.label, sum(un.x * pt.x) AS s FROM un JOIN pt USING (i) GROUP BY 1, 2) SELECT vec_id, label, {r('0.6 * s + 0.4 * (1.0 / (1 + label))', 'score')} FROM s")

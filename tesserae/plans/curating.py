@@ -408,9 +408,8 @@ def w07(spark, sf):
     return C.support_and_query(lines(spark, sf), "l_partkey", [F.col("key")], 5, 10, 12).select("l_partkey", "key", "part")
 
 
-@query("w08_weighted_draws")
+@query("w08_weighted_draws", f"WITH {LI}, w AS (SELECT key, CAST(l_quantity AS DOUBLE) AS w, sum(CAST(l_quantity AS DOUBLE)) OVER (ORDER BY md5('42:' || key), key ROWS UNBOUNDED PRECEDING) AS upto, sum(CAST(l_quantity AS DOUBLE)) OVER () AS total FROM li), d AS (SELECT i AS draw, (i + CAST('0x' || substr(md5('42:' || i), 1, 8) AS BIGINT) / 4294967296.0) / 500 * (SELECT max(total) FROM w) AS place FROM range(500) g(i)) SELECT draw, key FROM d JOIN w ON place >= upto - w AND place < upto")
 def w08(spark, sf):
-    """Draws by hash are held to their weights by a test."""
     return C.weighted_draws(lines(spark, sf), F.col("l_quantity"), 500, "key")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesserae.operators import selection as K
-from tesserae.plans.lineage import scratch
+from tesserae.functions.lineage import scratch
 from tesserae.plans.priors import HIST, histogram
 from tesserae.plans.registry import query, r
 from tesserae.plans.scoring import images
@@ -137,10 +137,32 @@ def s20(spark, sf):
     return spark.read.json(out).select("model", "prompt_mode", "f1").orderBy("model", "prompt_mode")
 
 
-@query("s21_thresholds", f"SELECT CAST(p_partkey AS VARCHAR) AS species_id, {r('p_size / 100.0', 'threshold')} FROM part")
+@query("s21_thresholds", f"SELECT p_brand AS species_id, {r('max(p_size) / 100.0', 'threshold')} FROM part GROUP BY 1")
 def s21(spark, sf):
+    """A threshold for each class; the file holds one object of all classes."""
     out = scratch(spark, "thresholds")
-    p = table(spark, sf, "part").select(F.map_from_entries(F.array(F.struct(F.col("p_partkey").cast("string"), F.col("p_size") / 100.0))).alias("m"), "p_partkey")
-    one = p.groupBy().agg(F.concat(F.lit("{\"thresholds\": {"), F.array_join(F.array_sort(F.collect_list(F.regexp_extract(F.to_json("m"), r"^\{(.*)\}$", 1))), ", "), F.lit("}}")).alias("value"))
-    one.write.text(out)
+    per = table(spark, sf, "part").groupBy("p_brand").agg((F.max("p_size") / 100.0).alias("t"))
+    per.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("p_brand", "t"))).alias("thresholds"))).alias("value")).write.text(out)
     return R.thresholds(spark, out)
+
+
+def _folders(spark, sf) -> str:
+    """One file for each split and class, in folders of their names; class 9 has no training file."""
+    out = scratch(spark, "folders")
+    e = table(spark, sf, "embeddings").select(F.when((F.col("label") == 9) | (F.col("vec_id") % 10 == 0), "val").otherwise("train").alias("split"), F.col("label").alias("species"), "vec_id", "embedding")
+    e.repartition("split", "species").write.partitionBy("split", "species").parquet(out)
+    return out
+
+
+@query("s03_class_folders", "SELECT CAST(label AS VARCHAR) AS species_id, count(*) AS files FROM (SELECT DISTINCT label, label = 9 OR vec_id % 10 = 0 AS val FROM embeddings) WHERE NOT val GROUP BY 1")
+def s03(spark, sf):
+    """Files of one split's folders, by the folder's name."""
+    found = R.class_folders(spark, f"{_folders(spark, sf)}/split=train")
+    return found.where("image_name like '%.parquet' and length > 0").groupBy("species_id").agg(F.count("*").alias("files"))
+
+
+@query("s04_split_folders", "SELECT split, CAST(label AS VARCHAR) AS species_id, count(*) AS files FROM (SELECT DISTINCT label, CASE WHEN label = 9 OR vec_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM embeddings) WHERE label <> 9 GROUP BY 1, 2")
+def s04(spark, sf):
+    """The same of all splits; classes are those of the training folders."""
+    found = R.class_folders(spark, _folders(spark, sf), split=True)
+    return found.where("image_name like '%.parquet' and length > 0").groupBy("split", "species_id").agg(F.count("*").alias("files"))

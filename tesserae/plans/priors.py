@@ -9,22 +9,21 @@ from tesserae.operators import constraints as C
 from tesserae.operators import scores as S
 from tesserae.operators import seasons as Z
 from tesserae.operators import vectors as V
-from tesserae.plans.lineage import checkpoints
 from tesserae.plans.pooling import soft
 from tesserae.plans.registry import query, r
 from tesserae.plans.scoring import EDGES, IMG, TAX, images
 from tesserae.plans.views import TILE, table, taxonomy, tile_arrays
 
-#: Orders give months: the customer, mod 97, is the species; those from 60 have none.
-HIST = "hist AS (SELECT CAST(o_custkey % 97 AS INT) AS species_id, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n FROM orders WHERE o_custkey % 97 < 60 GROUP BY 1, 2)"
+#: Orders give months: the customer, mod 60, is the species; those from 60 have none.
+HIST = "hist AS (SELECT CAST(o_custkey % 60 AS INT) AS species_id, CAST(month(o_orderdate) AS INT) AS month, count(*) AS n FROM orders GROUP BY 1, 2)"
 CEN = "cen AS (SELECT CAST(i AS INT) AS month, ({c})[CAST(i AS INT)] AS centre FROM range(1, 13) g(i))"
 BELL = "exp(-0.5 * power(least(abs({a} - {b}), 365 - abs({a} - {b})) / 18.0, 2))"
 CLS = "cls AS (SELECT CAST(i AS INT) AS species_id FROM range(64) g(i))"
 
 
 def histogram(spark, sf):
-    o = table(spark, sf, "orders").where("o_custkey % 97 < 60")
-    return o.groupBy((F.col("o_custkey") % 97).cast("int").alias("species_id"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
+    o = table(spark, sf, "orders")
+    return o.groupBy((F.col("o_custkey") % 60).cast("int").alias("species_id"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
 
 
 def classes(spark, sf):
@@ -117,10 +116,11 @@ def e16(spark, sf):
     return C.similar_pairs(C.climate_profiles(points, F.broadcast(grid), ["t", "w"], 1.0), "species_id", "z", 0.7)
 
 
-@query("e21_hard_consistency")
+_FIXPOINT = "cand AS (SELECT image_id, tile_id, species_id FROM p WHERE prob > 0.022), nt AS (SELECT image_id, count(DISTINCT tile_id) AS n FROM tile GROUP BY 1), doms AS (SELECT image_id, list(sp) AS doms FROM (SELECT image_id, tile_id, list(species_id) AS sp FROM cand GROUP BY ALL) GROUP BY 1), st AS (SELECT image_id, list(DISTINCT species_id) AS kept, true AS more FROM cand GROUP BY 1 UNION ALL SELECT image_id, now, len(now) < len(kept) FROM (SELECT image_id, kept, list_filter(kept, lambda s: len(doms) = n AND len(list_filter(doms, lambda d: len(list_filter(d, lambda x: x // 4 = s // 4 AND list_contains(kept, x))) = 0)) = 0) AS now FROM st JOIN doms USING (image_id) JOIN nt USING (image_id) WHERE more)), fin AS (SELECT image_id, kept FROM st WHERE NOT more)"
+
+
+@query("e21_hard_consistency", f"WITH RECURSIVE {TILE}, {_FIXPOINT} SELECT image_id, tile_id, species_id, {r('CASE WHEN n = 1 OR (prob > 0.022 AND list_contains(kept, species_id)) THEN prob ELSE 0 END', 'prob')} FROM p JOIN nt USING (image_id) LEFT JOIN fin USING (image_id)")
 def e21(spark, sf):
-    """A fixpoint; tests hold it to a plain loop."""
-    checkpoints(spark)
     t = soft(spark, sf).select("image_id", "tile_id", "species_id", "prob")
     return C.hard_consistency(t, S.genus_edges(taxonomy(spark, sf)), 0.022)
 
@@ -178,11 +178,10 @@ def v05(spark, sf):
     return V.top_votes(images(spark, sf), cosines(spark, sf), 0.03)
 
 
-@query("v06_tile_clusters")
+@query("v06_tile_clusters", f"WITH RECURSIVE {UNIT}, l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM un a JOIN un b ON a.vec_id // 5 = b.vec_id // 5 AND a.i = b.i AND a.vec_id <> b.vec_id GROUP BY 1, 2 HAVING sum(a.x * b.x) > 0.1), reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a) SELECT a // 5 AS image_id, CAST(a % 5 AS INT) AS tile_id, CAST(min(b) % 5 AS INT) AS cluster FROM reach GROUP BY a")
 def v06(spark, sf):
-    """Components of tiles; tests hold them to union-find."""
-    t = tile_arrays(spark, sf)
-    return V.tile_clusters(V.tile_links(t, "logits", 0.1), t.select("image_id", "tile_id"))
+    """Components of an image's tiles."""
+    return V.tile_clusters(tile_arrays(spark, sf), "logits", 0.1)
 
 
 @query("v07_audit", f"WITH {UNIT}, s AS (SELECT label, sum(x2) AS ss FROM (SELECT label, i, power(sum(x), 2) AS x2 FROM un GROUP BY 1, 2) GROUP BY 1), n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT label, n, CAST(0 AS BIGINT) AS nans, CAST(0 AS BIGINT) AS zeros, {r('(ss - n) / (n * (n - 1))', 'intra')} FROM n JOIN s USING (label)")
@@ -230,3 +229,16 @@ _BOXES = {
 }
 for _name, (_f, _sql) in _BOXES.items():
     query(_name, _sql)(_f)
+
+
+_PER = {"whole": "1", "grid": "9", "cells": "16", "centred_grid": "16", "centre": "1", "five_crop": "5", "strips": "3", "multiscale": "6", "dense": "5", "sliding": "CASE WHEN width <= 448 THEN 1 ELSE ceil((width - 448) / 224) + 1 END * CASE WHEN height <= 448 THEN 1 ELSE ceil((height - 448) / 224) + 1 END"}
+
+
+@query("f01_tiling_registry", " UNION ALL ".join(f"SELECT '{n}' AS tiling, CAST(sum({x}) AS BIGINT) AS boxes FROM im" for n, x in _PER.items()).join([f"WITH {IM} ", ""]))
+def f01(spark, sf):
+    """How many boxes every tiling of the registry makes of all images."""
+    out = None
+    for name, tiling in B.TILINGS.items():
+        one = tiling(sizes(spark, sf)).agg(F.lit(name).alias("tiling"), F.count("*").alias("boxes"))
+        out = one if out is None else out.union(one)
+    return out

@@ -41,10 +41,21 @@ def e02(spark, sf):
 
 
 _N = f"WITH {TILE}, {CLASSES_SQL}, {COUNTS}, c AS (SELECT species_id, coalesce(n, {{d}}) AS n FROM cls LEFT JOIN cnt USING (species_id)), s AS (SELECT *, n / (SELECT sum(n) FROM c) AS sh FROM c) SELECT species_id, {{x}} FROM s"
-for _name, _kind, _d, _x in (("scaled", "scaled", 0, "0.5 * ln(sh + 1e-6)"), ("padded", "padded", 1, "ln(sh)"), ("floored", "floored", 1, "ln(sh + 1e-9)"), ("sqrt", "sqrt", 0, "sqrt(sh)")):
+_SMOOTHINGS = (("scaled", "scaled", 0, "0.5 * ln(sh + 1e-6)"), ("padded", "padded", 1, "ln(sh)"), ("floored", "floored", 1, "ln(sh + 1e-9)"), ("sqrt", "sqrt", 0, "sqrt(sh)"))
+for _name, _kind, _d, _x in _SMOOTHINGS:
     query(f"e03_log_prior_{_name}", _N.format(d=_d, x=r(_x, "prior")))(lambda spark, sf, k=_kind: S.log_prior(classes(spark, sf), counts(spark, sf), k, 0.5))
 
 
+@query("f01_prior_registry", " UNION ALL ".join(f"SELECT '{n}' AS prior_name, species_id, prior FROM ({q})" for n, q in [("laplace", f"WITH {TILE}, {LAPLACE} SELECT species_id, {r('prior', 'prior')} FROM pr"), *[(k, _N.format(d=d, x=r(x.replace("0.5 *", "1.0 *"), "prior"))) for _, k, d, x in _SMOOTHINGS]]))
+def f01(spark, sf):
+    """Every class prior of the registry, by its name."""
+    out = None
+    for name, prior in S.PRIORS.items():
+        one = prior(classes(spark, sf), counts(spark, sf)).select(F.lit(name).alias("prior_name"), "species_id", "prior")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query("e04_phylo_weights", f"WITH {TILE}, {TAX}, w AS (SELECT a.species_id AS a, b.species_id AS b, a.family_id = b.family_id AS fam, CASE WHEN a.genus_id = b.genus_id THEN 1 WHEN a.family_id = b.family_id THEN exp(-1) ELSE exp(-2) END AS w FROM tax a, tax b), n AS (SELECT *, w / sum(w) OVER (PARTITION BY a) AS nw FROM w) SELECT a, b, {r('nw', 'w')} FROM n WHERE fam")
 def e04(spark, sf):
     return S.phylo_weights(taxonomy(spark, sf))
@@ -102,7 +113,7 @@ def e19(spark, sf):
 def e20(spark, sf):
     allowed = taxonomy(spark, sf).select((F.col("species_id") % 3).cast("long").alias("cluster"), "species_id")
     t = images(spark, sf).withColumn("cluster", F.col("image_id") % 3)
-    return t.join(F.broadcast(allowed), ["cluster", "species_id"], "left_semi").select("image_id", "species_id", F.col("prob").alias("score"))
+    return t.join(allowed, ["cluster", "species_id"], "left_semi").select("image_id", "species_id", F.col("prob").alias("score"))
 
 
 _WALK = [f"s{k} AS (SELECT i.image_id, i.species_id, 0.85 * coalesce(m, 0) + 0.15 * i.prob AS s FROM img i LEFT JOIN (SELECT image_id, b AS species_id, sum(s * w) AS m FROM s{k - 1} JOIN ew ON a = species_id GROUP BY 1, 2) USING (image_id, species_id))" for k in range(1, 4)]
@@ -172,7 +183,7 @@ def e35(spark, sf):
 @query("e36_month_gate", IMG + f" SELECT image_id, species_id, {r('CASE WHEN species_id % 5 = 0 OR ((species_id * 61 + 7) % 4096 >> (image_id % 12)::INT) & 1 = 1 THEN prob ELSE 0 END', 'score')} FROM img")
 def e36(spark, sf):
     masks = taxonomy(spark, sf).where("species_id % 5 <> 0").select("species_id", ((F.col("species_id") * 61 + 7) % 4096).alias("mask"))
-    return S.month_gate(images(spark, sf), F.broadcast(masks), (F.col("image_id") % 12 + 1).cast("int"))
+    return S.month_gate(images(spark, sf), masks, (F.col("image_id") % 12 + 1).cast("int"))
 
 
 @query("j08_axis_alignment", IMG + " SELECT DISTINCT image_id, CAST(2 AS INT) AS have, CAST(63 AS INT) AS least, CAST(64 AS INT) AS most FROM img WHERE image_id % 4 = 0")

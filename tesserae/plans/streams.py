@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.plans.lineage import checkpoints, scratch
+from tesserae.functions.lineage import checkpoints, scratch
 from tesserae.plans.registry import query, r
 from tesserae.plans.views import table
 from tesserae.streaming import telemetry as T

@@ -35,10 +35,13 @@ def read_manifest(spark: SparkSession, path: str, aliases: dict[str, list[str]]
 
 
 def class_folders(spark: SparkSession, root: str, split: bool = False) -> DataFrame:
-    """(image_path, image_name, species_id, and split) of files below root/[split/]species/image; contents stay unread."""
+    """(image_path, image_name, species_id, and split) of files below root/[split/]species/image; contents stay unread.
+
+    Folders are plain names, or Spark's name=value.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     parts = F.split("path", "/")
-    at = lambda i: F.element_at(parts, -i)
+    at = lambda i: F.regexp_replace(F.element_at(parts, -i), "^[^=]*=", "")  # noqa: E731  Spark's own folders are name=value
     cols = [F.col("path").alias("image_path"), at(1).alias("image_name"), at(2).alias("species_id"), "length"]
     df = files.select(*cols, *([at(3).alias("split")] if split else []))
     if not split:
@@ -46,6 +49,27 @@ def class_folders(spark: SparkSession, root: str, split: bool = False) -> DataFr
     return df.join(df.where("split = 'train'").select("species_id").distinct(), "species_id", "left_semi")
 
 
+def with_bytes(rows: DataFrame, roots: list[str], key: str = "image_path", out: str = "jpg") -> DataFrame:
+    """rows with the bytes of the file that their path names below the first of roots that has it; rows without a file go.
+
+    Places are chosen from listings; contents are read once, of the chosen files' roots, and join at the end.
+    """
+    spark = rows.sparkSession
+    files = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root) for root in roots]
+    inside = lambda root: F.expr(f"substr(path, instr(path, '{root.rstrip('/')}/') + {len(root.rstrip('/')) + 1})")
+    listed = None
+    for i, (root, f) in enumerate(zip(roots, files, strict=True)):
+        one = f.select(inside(root).alias("__rel"), F.col("path").alias("__path"), F.lit(i).alias("__root"))
+        listed = one if listed is None else listed.unionByName(one)
+    chosen = listed.groupBy("__rel").agg(F.min_by("__path", "__root").alias("__path"))
+    named = rows.join(chosen, rows[key] == F.col("__rel")).drop("__rel")
+    contents = None
+    for f in files:
+        one = f.select(F.col("path").alias("__p"), F.col("content").alias(out))
+        contents = one if contents is None else contents.unionByName(one)
+    return named.join(contents, F.col("__path") == F.col("__p")).drop("__path", "__p")
+
+
 def existing(df: DataFrame, listing: DataFrame, key: str = "image_path", least_bytes: int = 1024) -> DataFrame:
     """Rows whose file is listed and larger than least_bytes."""
     return df.join(listing.where(F.col("length") > least_bytes).select(F.col("image_path").alias(key)), key, "left_semi")

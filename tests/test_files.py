@@ -42,6 +42,17 @@ def test_class_folders(spark, pictures):
     assert sorted(r.species_id for r in flat.collect()) == ["7", "8"]
 
 
+def test_bytes_from_two_roots(spark, tmp_path):
+    """A file comes from the first root that has it; shards hold the bytes."""
+    for root, name, data in (("a", "7/x.jpg", b"first"), ("b", "7/x.jpg", b"second"), ("b", "8/y.jpg", b"only")):
+        (tmp_path / root / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / root / name).write_bytes(data)
+    rows = spark.createDataFrame([("x", "7/x.jpg", "7, 9"), ("y", "8/y.jpg", "8"), ("z", "9/z.jpg", "9")], "key string, image_path string, species_ids string")
+    found = readers.with_bytes(rows, [str(tmp_path / "a"), str(tmp_path / "b")])
+    sinks.write_shards(found, str(tmp_path / "shards"), 1)
+    assert sorted((r.key, bytes(r.jpg), r.label) for r in spark.read.parquet(str(tmp_path / "shards")).collect()) == [("x", b"first", "7"), ("y", b"only", "8")]
+
+
 def test_pixels(spark, pictures):
     images = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(str(pictures))
     got = {r.origin.rsplit("/", 1)[1]: r for r in pixels.measure(images).collect()}

@@ -78,6 +78,85 @@ def test_hard_consistency_against_a_loop(spark):
         assert {(r.tile_id, r.species_id) for r in got if r.prob > 0} == {(i, s) for i in range(3) for s in domain[i]}
 
 
+@pytest.mark.parametrize("n", [60, 61])
+def test_hard_consistency_of_a_long_chain(spark, n):
+    """Species i of one tile is next to i - 1 and i + 1 of the other one; the last support is missing, so none stays."""
+    rows = [(1, i % 2, i, 0.9) for i in range(n)] + [(2, 0, 5, 0.9), (2, 0, 6, 0.1), (3, 0, 1, 0.9), (3, 1, 2, 0.1)]
+    t = spark.createDataFrame(rows, "image_id int, tile_id int, species_id int, prob double")
+    chain = {i: {i + 1} for i in range(n - 1)}
+    one_way = spark.createDataFrame([(a, b) for a, bs in chain.items() for b in bs], "a int, b int")
+    got = {(r.image_id, r.tile_id, r.species_id): r.prob for r in constraints.hard_consistency(t, one_way, 0.5).collect()}
+    assert all(got[1, i % 2, i] == 0 for i in range(n))
+    assert got[2, 0, 5] == 0.9 and got[2, 0, 6] == 0.1 and got[3, 0, 1] == 0
+    both = one_way.union(one_way.select("b", "a"))
+    got = {(r.image_id, r.tile_id, r.species_id): r.prob for r in constraints.hard_consistency(t, both, 0.5).collect()}
+    assert all(got[1, i % 2, i] == 0.9 for i in range(n))
+
+
+def test_tile_clusters_of_a_long_chain(spark):
+    """Each tile is near the next one only; the chain is one cluster, another image has its own."""
+    n = 200
+    chain = [(1, i, [math.cos(i * 0.012), math.sin(i * 0.012)]) for i in range(n)]
+    t = spark.createDataFrame([*chain, (2, 7, [1.0, 0.0]), (2, 8, [0.0, 1.0]), (2, 9, [1.0, 0.001])], "image_id int, tile_id int, v array<double>")
+    got = {(r.image_id, r.tile_id): r.cluster for r in vectors.tile_clusters(t, "v", math.cos(0.013), block=16).collect()}
+    assert all(got[1, i] == 0 for i in range(n))
+    assert [got[2, i] for i in (7, 8, 9)] == [7, 8, 7]
+
+
+def test_order_statistic(spark, monkeypatch):
+    from tesserae.functions import orders
+
+    rng = random.Random(4)
+    values = [rng.choice([rng.random() ** 8, 0.25, -3.0]) for _ in range(3000)] + [1e9, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    want = sorted(v for v in values if v is not None)
+    monkeypatch.setattr(orders, "FEW_VALUES", 10)
+    for at in (0, 1, 700, 1500, 2222, 2999, 3000):
+        assert orders.order_statistic(df, "v", at) == want[at]
+    assert orders.order_statistic(df, "v", 3001) is None and orders.order_statistic(df, "v", -1) is None
+
+
+def test_places_of_one_hot_group(spark):
+    """Places in a group that holds most rows, in null groups and over all, against one plain order; no window over whole groups."""
+    import hashlib
+
+    from tesserae.functions import orders
+
+    rows = [(None if i % 10 == 0 else "hot" if i % 3 else "rare", f"k{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, k string")
+    for groups in (["g"], []):
+        got = {(r.g, r.k): (r["__at"], r["__of"]) for r in orders.places(df, groups, "k").collect()}
+        found = {}
+        for g, k in rows:
+            found.setdefault(g if groups else 0, []).append((hashlib.md5(f"42:{k}".encode()).hexdigest(), k, g))
+        for x in found.values():
+            assert [got[g, k] for _, k, g in sorted(x)] == [(i + 1, len(x)) for i in range(len(x))]
+    plan = curation.split_train(df, "g", 0.1, "k")._jdf.queryExecution().analyzed().toString()
+    assert "row_number() windowspecdefinition(g#" in plan and "__p#" in plan.split("row_number() windowspecdefinition(g#")[1].split(")")[0]
+
+
+@pytest.mark.parametrize("sent", [1 << 22, 10])
+def test_products_sent_or_joined(spark, monkeypatch, sent):
+    monkeypatch.setattr(vectors, "SENT_NUMBERS", sent)
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(40, 5)), rng.normal(size=(7, 5))
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(99, None)], "id int, v array<double>")
+    b = spark.createDataFrame([(f"c{i}", v.tolist()) for i, v in enumerate(y)] + [("none", None)], "c string, w array<double>")
+    for least in (None, 0.5):
+        got = {(r.id, r.c): r.s for r in vectors.products(q, "id", "v", b, "c", "w", "s", least).collect()}
+        want = {(i, f"c{j}"): z for (i, j), z in np.ndenumerate(x @ y.T) if least is None or z >= least}
+        assert got == pytest.approx(want)
+
+
+def test_greedy_tiles_keeps_small_images_and_the_last_step(spark):
+    t = [(1, 0, [0.5, 0.0]), (1, 1, [0.5, 0.005]), (2, 0, [0.9, 0.0]), (2, 1, [0.9, 0.004]), (2, 2, [0.9, 0.0]), (2, 3, [0.1, 0.0])]
+    df = spark.createDataFrame(t, "image_id int, tile_id int, probs array<double>")
+    got = {}
+    for r in compose.greedy_tiles(df, 3).orderBy("image_id", "step").collect():
+        got.setdefault(r.image_id, []).append((r.tile_id, round(r.gain, 6)))
+    assert got == {1: [(1, 0.505), (0, 0.0)], 2: [(1, 0.904), (0, 0.0)]}
+
+
 def test_softmax_adds_up(spark):
     t = long(spark, [[1000.0, 999.0, -5.0], [0.0, 0.0, 0.0]]).drop("prob")
     got = softmax(t, ["image_id", "tile_id"]).groupBy("tile_id").agg(F.sum("prob").alias("s")).collect()
@@ -202,25 +281,6 @@ def test_mosaics_follow_their_shares(spark, sf):
     assert [share[k] for k in range(1, 6)] == pytest.approx(compose.MOSAIC_SHARES, abs=0.05)
 
 
-def test_greedy_tiles_against_a_loop(spark, sf):
-    got = {}
-    for r in RUN["w16_greedy_tiles"](spark, sf).orderBy("image_id", "step").collect():
-        got.setdefault(r.image_id, []).append(r.tile_id)
-    images = {}
-    for r in tile_arrays(spark, sf).orderBy("image_id", "tile_id").collect():
-        images.setdefault(r.image_id, []).append(1 / (1 + np.exp(-np.array(r.logits))))
-    for image, probs in images.items():
-        best, left, chosen = np.zeros(64), list(range(len(probs))), []
-        for _ in range(3):
-            gains = [np.maximum(probs[t] - best, 0).sum() for t in left]
-            if not left or max(gains) < 0.01:
-                break
-            t = left.pop(int(np.argmax(gains)))
-            chosen.append(t)
-            best = np.maximum(best, probs[t])
-        assert got[image] == chosen
-
-
 def test_tile_clusters_against_union_find(spark, sf):
     got = {(r.image_id, r.tile_id): r.cluster for r in RUN["v06_tile_clusters"](spark, sf).collect()}
     images = {}
