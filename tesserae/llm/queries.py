@@ -11,6 +11,7 @@ from tesserae.llm.byte_bpe import round_trip
 from tesserae.llm.chat import rendered, repaired
 from tesserae.llm.decontaminate import contamination
 from tesserae.llm.html_text import extract
+from tesserae.llm.oracles import QUALITY_SQL, shards_sql
 from tesserae.llm.quality import quality
 from tesserae.llm.secret_scan import secret_spans
 from tesserae.llm.sharding import shards
@@ -71,27 +72,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-#: Line frequency in SQL: documents count as distinct by their sets of normalised lines.
-QUALITY_SQL = r"""
-WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(source, chr(0)) AS host, coalesce(text, '') AS text FROM documents),
-w AS (SELECT row, doc_id, host, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
-  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS raw FROM d),
-n AS (SELECT *, list_transform(raw, lambda x: lower(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g')))) AS lines FROM w),
-g AS (SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
-twice AS (SELECT row, i FROM g QUALIFY count(*) OVER (PARTITION BY row, k) > 1),
-repeated AS (SELECT row, count(*) AS c FROM (SELECT DISTINCT row, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY row),
-line AS (SELECT row, host, l, len(list_filter(string_split(l, ' '), lambda x: x <> '')) AS words, digest FROM
-  (SELECT row, host, unnest(lines) AS l, list_sort(list_distinct(lines)) AS digest FROM n)),
-over AS (SELECT host, l FROM line GROUP BY host, l HAVING count(DISTINCT digest) > 50),
-gone AS (SELECT row, sum(words) AS c FROM line SEMI JOIN over USING (host, l) GROUP BY row),
-o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
-  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(raw) - len(list_distinct(raw)) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(r.c, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.c, 0) AS BIGINT) AS n_removed
-  FROM n LEFT JOIN repeated r USING (row) LEFT JOIN gone USING (row)),
-f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM o)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed, NOT base_failed AND n_removed <= 0.6 * n_words AS kept FROM f
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality": QUALITY_SQL}
+    return {"op6_shards": shards_sql(), "op9_quality": QUALITY_SQL}
