@@ -163,10 +163,12 @@ def split_plain(df: DataFrame, share: float, key: str, seed: int = 42) -> DataFr
 
 def support_and_query(df: DataFrame, group: str, order: list[Column], k: int, most_query: int, least: int) -> DataFrame:
     """Adds part: the first k rows of groups with `least` or more are support, the next are query, up to most_query."""
-    w = Window.partitionBy(group)
-    t = df.withColumn("__r", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w)).where(F.col("__n") >= least)
+    enough = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select("__g")
+    first = F.row_number().over(Window.partitionBy(group).orderBy(*order))
+    # A group's first rows alone are kept, so Spark drops the others before they meet.
+    t = df.join(enough, F.col(group).eqNullSafe(F.col("__g")), "left_semi").withColumn("__r", first).where(F.col("__r") <= k + most_query)
     part = F.when(F.col("__r") <= k, "support").when(F.col("__r") <= k + most_query, "query")
-    return t.withColumn("part", part).where("part is not null").drop("__r", "__n")
+    return t.withColumn("part", part).drop("__r")
 
 
 def class_weights(df: DataFrame, group: str, power: float) -> DataFrame:
