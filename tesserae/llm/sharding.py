@@ -118,12 +118,13 @@ def shards(docs: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "do
     are not shuffled.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"))
-    rows, n = numbered(narrow, ["id", "crc", "size"])
+    narrow = docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.monotonically_increasing_id().alias("tie"))
+    # Rows that are alike in all else are put in order by where they were read, so that many of them do not meet in one task.
+    rows, n = numbered(narrow, ["id", "crc", "size", "tie"])
 
     def run(batches):
         for b in batches:
-            place = permute(b.column(3).to_numpy(zero_copy_only=False), n, seed)
+            place = permute(b.column(4).to_numpy(zero_copy_only=False), n, seed)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array((place % n_shards).astype(np.int32)), pa.array(place // n_shards)], names=["id", "size", "crc", "shard", "slot"])
 
     placed = rows.mapInArrow(run, f"id {dict(narrow.dtypes)['id']}, size bigint, crc bigint, shard int, slot bigint")

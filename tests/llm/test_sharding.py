@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import sharding
 from tests.llm.cases import SCHEMA, clashing, documents, rows
@@ -46,3 +47,15 @@ def test_reproducible(spark):
 
 def test_empty(spark):
     assert sharding.shards(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_rows_that_are_alike(spark):
+    """They are dealt over tasks and get different places."""
+    from tesserae.llm.sharding import numbered
+
+    docs = spark.range(4000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("same").alias("text")).repartition(4)
+    got = sharding.shards(docs)
+    assert got.select("shard", "slot").distinct().count() == 4000
+    assert [r["count"] for r in got.groupBy("shard").count().collect()] == [100] * 40
+    rows, n = numbered(docs.withColumn("tie", F.monotonically_increasing_id()), ["doc_id", "text", "tie"])
+    assert n == 4000 and rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 2500
