@@ -167,7 +167,7 @@ def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
     out: list[tuple[str, int, bool, bool, bool, int, int]] = []
     stack: list[tuple[str, bool, bool, bool]] = []
     framed = inside = named = 0
-    linked, own = False, ""
+    linked, opened, own = False, 0, ""
     held: list[str] = []
     links: list[str] = []
 
@@ -213,12 +213,14 @@ def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
                 at = size if not end else end.start() if tag == "head" and page[end.start() + 1] != "/" else end.end()
             continue
         if tag == "a":
-            linked = not closing
+            linked, opened = not closing and "href" in m.group(3).lower(), 0
         elif tag == "br":
             put(" ")
         elif tag in BLOCKS:
             close()
-            linked = False
+            # A link holds the blocks that open in it, and ends with the one that it stands in.
+            opened += -1 if closing else 1
+            linked = linked and opened >= 0
             if closing:
                 k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
                 if k is not None and not (tag in {"p", "li"} and any(s[0] not in {"p", "li"} for s in stack[k + 1 :])):

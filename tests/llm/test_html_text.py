@@ -99,6 +99,14 @@ def test_what_surrounds_articles(around, tag):
         assert html_text.main_text(page, TREE) == want
 
 
+def test_links_around_blocks():
+    """A card in a link is all link; a link that nothing closes ends with its block; an anchor is no link."""
+    card = "<a href='/x'><div><h3>A card of some words</h3><p>with one more line of text below it</p></div></a>"
+    page = f"<main><p>{PARA}</p>{card}{card}<p>{PARA}</p></main>"
+    assert [round(b[5] / b[4]) for _, b in html_text.blocks(page)] == [0, 1, 1, 1, 1, 0] and html_text.main_text(page, TREE) == f"{PARA} {PARA}"
+    assert [b[5] for _, b in html_text.blocks("<p><a href='x'>one two</p><p>three</p><p><a name='y'>four</p><h2><a href='z'>five</h2><p>six")] == [2, 0, 0, 1, 0]
+
+
 def test_layout_names_do_not_hide_the_article():
     assert html_text.main_text(f"<body class='sidebar'><div class='page-with-sidebar'><div class='no-comments'><article><p>{PARA}</p><p>{PARA}</p></article></div></div>", TREE) == f"{PARA} {PARA}"
 
