@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.llm import piece_bpe
 from tesserae.llm.byte_bpe import round_trip
 from tesserae.llm.chat import rendered, repaired
 from tesserae.llm.decontaminate import contamination
@@ -67,8 +68,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_secrets, op3_decontamination, op4_chat_format, op5_html_text, op6_shards, op7_token_counts, op8_token_files, op9_quality, op10_byte_bpe)
+    own = (op1_simhash, op2_secrets, op3_decontamination, op4_chat_format, op5_html_text, op6_shards, op7_token_counts, op8_token_files, op9_quality, op10_byte_bpe, op13_sentencepiece)
     return {f.__name__: f for f in own}
 
 
