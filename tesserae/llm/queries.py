@@ -12,7 +12,9 @@ from tesserae.llm.byte_bpe import round_trip
 from tesserae.llm.chat import rendered, repaired
 from tesserae.llm.decontaminate import contamination
 from tesserae.llm.html_text import extract
-from tesserae.llm.oracles import QUALITY_SQL, shards_sql
+from tesserae.llm.lexical import search
+from tesserae.llm.oracles import QUALITY_SQL, SEARCH_SQL, TRIE_SQL, shards_sql
+from tesserae.llm.prefix_trie import prefix_trie
 from tesserae.llm.quality import quality
 from tesserae.llm.secret_scan import secret_spans
 from tesserae.llm.sharding import shards
@@ -68,14 +70,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_simhash, op2_secrets, op3_decontamination, op4_chat_format, op5_html_text, op6_shards, op7_token_counts, op8_token_files, op9_quality, op10_byte_bpe, op13_sentencepiece)
+    own = (op1_simhash, op2_secrets, op3_decontamination, op4_chat_format, op5_html_text, op6_shards, op7_token_counts, op8_token_files, op9_quality, op10_byte_bpe, op11_lexical_search, op12_prefix_trie, op13_sentencepiece)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_shards": shards_sql(), "op9_quality": QUALITY_SQL}
+    return {"op6_shards": shards_sql(), "op9_quality": QUALITY_SQL, "op11_lexical_search": SEARCH_SQL, "op12_prefix_trie": TRIE_SQL}

@@ -1,4 +1,4 @@
-"""The text queries that SQL can express, against DuckDB on the same table."""
+"""The text queries that SQL can express, against DuckDB on the same tables."""
 
 import duckdb
 import pytest
@@ -9,7 +9,8 @@ from tesserae.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "benchmark", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     got, want = queries.queries()[name](spark, sf), con.sql(queries.oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
