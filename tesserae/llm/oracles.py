@@ -81,11 +81,11 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM o JOIN i USING (it
 #: Prefixes grouped by a digest of their turns; what lies below a node is found on the paths of nodes' smallest members.
 TRIE_SQL = f"""
 WITH {_TABLE},
-o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS at, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 s AS (SELECT DISTINCT c, CAST(c AS VARCHAR) AS x FROM o),
 i AS (SELECT c, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x)), lambda i: ascii(substr(x, i + 1, 1))::BIGINT)), lambda s, y: xor(s // 256, t[xor(s, y) % 256 + 1])), 4294967295) % 6 AS h FROM s, tab),
-r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, at) AS d, role, text FROM (
-  SELECT i.c, 0 AS own, at, role, text FROM i JOIN o ON o.c = i.c - i.c % 100 AND at <= h UNION ALL SELECT c, 1, at, role, text FROM i JOIN o USING (c) WHERE at > h)),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d, role, text FROM (
+  SELECT i.c, 0 AS own, pos, role, text FROM i JOIN o ON o.c = i.c - i.c % 100 AND pos <= h UNION ALL SELECT c, 1, pos, role, text FROM i JOIN o USING (c) WHERE pos > h)),
 p AS (SELECT c, d, md5(string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d)) AS k, length(text) AS n FROM r UNION ALL SELECT c, 0, '', 0 FROM i),
 up AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS pk, d = max(d) OVER (PARTITION BY c) AS last FROM p),
 node AS (SELECT k, d, min(c) AS conv, any_value(pk) AS pk, count(*) AS members, (count(*) - 1) * any_value(n) AS own, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends FROM up GROUP BY k, d),
