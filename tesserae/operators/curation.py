@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.functions.ordinals import numbered
 from tesserae.functions.orders import hashed, places, shuffle_key
 
 
@@ -195,10 +196,10 @@ def count_stats(counts: DataFrame, bins: list[int]) -> DataFrame:
 def encode(df: DataFrame, column: str) -> DataFrame:
     """(value, code): sorted distinct values, without nulls and blanks, numbered from zero.
 
-    Distinct values are few next to rows; only they are put in one order.
+    Only distinct values are put in one order, by ranges over tasks.
     """
     values = df.select(F.nullif(F.trim(F.col(column).cast("string")), F.lit("")).alias("value")).where("value is not null").distinct()
-    return values.withColumn("code", F.row_number().over(Window.orderBy("value")) - 1)
+    return numbered(values, "value", out="code").withColumn("code", F.col("code").cast("int"))
 
 
 def apply_code(df: DataFrame, codes: DataFrame, column: str, out: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.functions.ordinals import numbered
+
 
 def per_image(pred: DataFrame, truth: DataFrame, images: DataFrame) -> DataFrame:
     """(image_id, tp, n_pred, n_true) for each of the images, zeros where it has none."""
@@ -115,8 +117,8 @@ def predicted_and_true(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 def head_tail(top1: DataFrame, truth: DataFrame, train: DataFrame, share: float = 0.2) -> DataFrame:
     """(part, n, accuracy) for the classes most frequent in training, a share of all, and the rest."""
-    c = train.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "species_id"))).crossJoin(F.broadcast(train.agg(F.count("*").alias("classes"))))
-    part = c.select("species_id", F.when(F.col("r") <= F.floor(share * F.col("classes")), "head").otherwise("tail").alias("part"))
+    c = numbered(train, F.desc("n"), F.asc("species_id"), out="r")
+    part = c.select("species_id", F.when(F.col("r") < F.floor(F.lit(share) * c.count()), "head").otherwise("tail").alias("part"))
     hit = top1.select("image_id", "species_id", F.lit(1).alias("hit"))
     t = truth.join(hit, ["image_id", "species_id"], "left").join(part, "species_id", "left").fillna("tail", ["part"])
     return t.groupBy("part").agg(F.count("*").alias("n"), F.avg(F.coalesce("hit", F.lit(0))).alias("accuracy"))

@@ -12,6 +12,7 @@ from tesserae.plans.scoring import images
 from tesserae.plans.selecting import BEST, T, base, scored
 from tesserae.plans.views import MANIFEST, manifest, table
 from tesserae.sources import readers as R
+from tesserae.sources import shards as X
 from tesserae.sources import sinks as K2
 
 
@@ -49,10 +50,10 @@ def s08(spark, sf):
     return R.month_csv(spark, out)
 
 
-@query("s09_species_list", "SELECT p_partkey AS species_id, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS code FROM part WHERE p_size < 20")
+@query("s09_species_list", "SELECT p_partkey AS species_id, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS INT) AS code FROM part")
 def s09(spark, sf):
     out = scratch(spark, "species")
-    p = table(spark, sf, "part").where("p_size < 20")
+    p = table(spark, sf, "part")
     p.select(F.concat_ws(";", F.lit("species"), F.col("p_partkey").cast("string"), F.lit("x9")).alias("value")).union(spark.range(1).select(F.lit("species_id header"))).write.text(out)
     return R.species_list(spark, out)
 
@@ -124,6 +125,24 @@ def s18(spark, sf):
     return spark.read.parquet(out).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query("s18_exact_shards", "SELECT key, label, shard, CAST(slot AS INT) AS slot, 'shard-' || lpad(CAST(shard AS VARCHAR), 8, '0') || '.parquet' AS file FROM (SELECT *, o // 2000 AS shard, o % 2000 AS slot FROM (SELECT l_orderkey || '-' || l_linenumber AS key, CAST(l_suppkey AS VARCHAR) AS label, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_suppkey) - 1 AS o FROM lineitem))")
+def s18_exact(spark, sf):
+    """Every shard but the last holds 2,000 rows; file, shard and slot of each row as read back."""
+    out = scratch(spark, "exact")
+    li = table(spark, sf, "lineitem")
+    rows = li.select("l_orderkey", "l_linenumber", "l_suppkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), F.encode(F.col("l_orderkey").cast("string"), "UTF-8").alias("jpg"), F.col("l_suppkey").cast("string").alias("label"))
+    X.write_exact_shards(rows, out, 2_000, "l_orderkey", "l_linenumber", "l_suppkey")
+    return X.read_exact_shards(spark, out).select("key", "label", "shard", "slot", F.col("_metadata.file_name").alias("file"))
+
+
+@query("s06_observations", "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, o_orderpriority AS file_name, CAST(CASE WHEN o_orderkey % 5 < 2 THEN 7 ELSE month(o_orderdate) END AS INT) AS month FROM orders")
+def s06(spark, sf):
+    """An observation list with dates as ISO times, some broken or missing: these are of July."""
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    date = F.when(F.col("o_orderkey") % 5 == 0, "not a date").when(F.col("o_orderkey") % 5 == 1, F.lit(None)).when(F.col("o_orderkey") % 2 == 0, F.concat(day, F.lit("T10:30:00"))).otherwise(day)
+    return R.test_items(table(spark, sf, "orders").select(F.col("o_orderkey").alias("observation_id"), F.col("o_orderpriority").alias("filename"), date.alias("date")), month=True)
+
+
 @query("s19_validation_extract", "SELECT o_orderkey AS image_id, o_custkey AS species_id FROM orders ORDER BY 1 LIMIT 50")
 def s19(spark, sf):
     o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("species_id"), F.lit("x").alias("image_path"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tesserae.functions.lineage import scratch
 from tesserae.operators import boxes as B
+from tesserae.operators import image_hashes as H
 from tesserae.operators import pixels as X
 from tesserae.plans.registry import query, r
 from tesserae.plans.views import table
@@ -15,11 +17,11 @@ PIXELS = """px AS (SELECT vec_id, i - 1 AS at, (i - 1) // 8 AS y, (i - 1) % 8 AS
  CAST(i * 11 % 89 AS INT) AS blue FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)), gray AS (SELECT *, 0.299 * red + 0.587 * green + 0.114 * blue AS g FROM px)"""
 
 
-def pictures(spark, sf):
-    """(image) structs like those of Spark's image reader, three channels with blue first."""
+def pictures(spark, sf, numbers=None):
+    """(image) structs like those of Spark's image reader, three channels with blue first; of other numbers, where given."""
     two = lambda c: F.lpad(F.hex(c.cast("bigint")), 2, "0")
     pixel = lambda v, i: F.concat(two((i + 1) * 11 % 89), two(F.least(F.lit(255), F.floor(F.abs(v.cast("double")) * 400))), two((i + 1) * 5 % 97))
-    data = F.unhex(F.array_join(F.transform("embedding", pixel), ""))
+    data = F.unhex(F.array_join(F.transform("embedding" if numbers is None else numbers, pixel), ""))
     side = F.lit(SIDE)
     return table(spark, sf, "embeddings").select("vec_id", F.struct(F.col("vec_id").cast("string").alias("origin"), side.alias("height"), side.alias("width"), F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), data.alias("data")).alias("image"))
 
@@ -58,3 +60,44 @@ def i08(spark, sf):
     e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("image_id"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), data.alias("data"))
     masks = e.select("image_id", F.struct("height", "width", F.lit(1).alias("nChannels"), "data").alias("image"))
     return X.noise_share(masks, B.grid(e.select("image_id", "width", "height"), 2))
+
+
+#: Up to four pixels of each picture are taken anew: the picture after another download.
+_AGAIN = "(i - 1 + 64 - vec_id * 7 % 64) % 64 % 13 = 0 AND (i - 1 + 64 - vec_id * 7 % 64) % 64 // 13 < vec_id % 5"
+_BITS = "SELECT vec_id, CAST(string_agg(CASE WHEN g > m THEN '1' ELSE '0' END, '' ORDER BY i) AS BIT) AS h FROM (SELECT vec_id, i, g, avg(g) OVER (PARTITION BY vec_id) AS m FROM {0}) GROUP BY 1"
+_GRAY = "SELECT vec_id, i, 0.299 * (i * 5 % 97) + 0.587 * least(255, floor(abs(v) * 400)) + 0.114 * (i * 11 % 89) AS g FROM {0}"
+
+
+def _again():
+    """The numbers of a picture with some of them taken anew."""
+    at = lambda i: (i + 64 - F.col("vec_id") * 7 % 64) % 64
+    return F.transform("embedding", lambda x, i: F.when((at(i) % 13 == 0) & (F.floor(at(i) / 13) < F.col("vec_id") % 5), 0.6 - F.abs(x.cast("double"))).otherwise(x.cast("double")))
+
+
+@query("u08_near_images", f"""WITH n AS (SELECT vec_id, unnest(range(1, 65)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+a AS (SELECT vec_id, i, CASE WHEN {_AGAIN} THEN 0.6 - abs(x) ELSE x END AS v FROM n), b AS (SELECT vec_id, i, x AS v FROM n),
+ga AS ({_GRAY.format('a')}), gb AS ({_GRAY.format('b')}), ha AS ({_BITS.format('ga')}), hb AS ({_BITS.format('gb')}),
+near AS (SELECT ha.vec_id, CAST(hb.vec_id AS VARCHAR) AS old, CAST(4 * bit_count(xor(ha.h, hb.h)) AS INT) AS d FROM ha, hb WHERE 4 * bit_count(xor(ha.h, hb.h)) <= 24),
+best AS (SELECT vec_id, count(*) AS n, min(d) AS d FROM near GROUP BY 1)
+SELECT CAST(ha.vec_id AS VARCHAR) AS path, coalesce(n, 0) AS n_near, best.d AS distance, (SELECT min(old) FROM near WHERE near.vec_id = ha.vec_id AND near.d = best.d) AS nearest FROM ha LEFT JOIN best USING (vec_id)""")
+def u08_near(spark, sf):
+    """Pictures of a second download, with pixels changed, against those of the first."""
+    hashes = lambda p: X.measure(p).select(F.col("origin").alias("path"), "ahash")
+    return H.near_images(hashes(pictures(spark, sf, _again())), hashes(pictures(spark, sf)), 24).drop("ahash")
+
+
+@query("u08_hash_snapshot", "SELECT CAST(vec_id AS VARCHAR) AS path, CAST(192 + CASE WHEN label = 0 THEN 1 ELSE 0 END AS BIGINT) AS length, true AS ok, CAST(CASE WHEN label BETWEEN 1 AND 4 THEN 1 ELSE 2 END AS BIGINT) AS batch, length(embedding) = 64 AS hashed FROM embeddings")
+def u08_snapshot(spark, sf):
+    """A first crawl has the labels below 5; the second has all, and those of label 0 with another length. Only what is new is hashed."""
+    out = scratch(spark, "hashes")
+    crawl = pictures(spark, sf).join(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    crawl = crawl.select("image", "label", F.col("image.origin").alias("path"), F.octet_length("image.data").cast("bigint").alias("length"))
+
+    def hashed(new):
+        seen = X.measure(new).select(F.col("origin").alias("path"), "ahash")
+        exact = new.select("path", "length", F.sha2("image.data", 256).alias("sha256"))
+        return exact.join(seen, "path").select("path", "length", "sha256", "ahash", F.lit(True).alias("ok"), F.lit(None).cast("string").alias("error"))
+
+    H.hash_new(crawl.where("label < 5"), out, 1, hashed)
+    H.hash_new(crawl.withColumn("length", F.col("length") + (F.col("label") == 0).cast("int")), out, 2, hashed)
+    return H.snapshot(spark, out).select("path", "length", "ok", "batch", (F.length("ahash") == 64).alias("hashed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, MapType, StringType, StructField, StructType
 
 from tesserae.functions.columns import norm_species_id
+from tesserae.functions.ordinals import numbered
 from tesserae.operators.curation import ids_in, resolve
 
 #: Other names of a manifest's columns.
@@ -109,10 +110,8 @@ def month_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def species_list(spark: SparkSession, path: str) -> DataFrame:
     """(species_id, code): the first whole number of each line, distinct, sorted and numbered from zero."""
-    from pyspark.sql.window import Window
-
     ids = spark.read.text(path).select(F.nullif(F.regexp_extract("value", r"(-?\d+)", 1), F.lit("")).cast("long").alias("species_id")).where("species_id is not null").distinct()
-    return ids.withColumn("code", F.row_number().over(Window.orderBy("species_id")) - 1)
+    return numbered(ids, "species_id", out="code").withColumn("code", F.col("code").cast("int"))
 
 
 def submission(spark: SparkSession, path: str) -> DataFrame:
