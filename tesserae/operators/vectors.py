@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from tesserae.functions.groups import solve_groups
 from tesserae.functions.lineage import cut
+from tesserae.operators.vector_join import matrix, near_vectors
 
 #: Numbers of a bank that are sent to every task.
 SENT_NUMBERS = 4 << 20
@@ -42,39 +43,39 @@ def prototypes(bank: DataFrame, label: str = "label", vector: str = "embedding")
     return class_means(bank, label, vector).select("label", unit(F.col("mean")).alias("prototype"))
 
 
-def against_all(a: DataFrame, b: DataFrame, blocks: int = 16) -> DataFrame:
-    """Every row of a beside every row of b, joined by blocks of b's rows; whether b is sent is for Spark to judge by its size."""
-    each = a.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return each.join(b.withColumn("__block", F.pmod(F.xxhash64(*b.columns), F.lit(blocks)).cast("int")), "__block").drop("__block")
+def against_all(a: DataFrame, b: DataFrame, rows: int = 2_000) -> DataFrame:
+    """Every row of a beside every row of b, in a two-sided grid: each cell of about rows x rows pairs is a task's part of its own."""
+    nx, ny = (max(1, -(-df.count() // rows)) for df in (a, b))
+    spread = lambda df, own, n, other, m: df.withColumns({own: F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(n)), other: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(m - 1).cast("bigint")))})
+    return spread(a, "__x", nx, "__y", ny).join(spread(b, "__y", ny, "__x", nx), ["__x", "__y"]).drop("__x", "__y")
 
 
-def products(queries: DataFrame, key: str, vector: str, bank: DataFrame, name: str, column: str, out: str, least: float | None = None) -> DataFrame:
+def products(queries: DataFrame, key: str, vector: str, bank: DataFrame, name: str, column: str, out: str, least: float | None = None, sent: int = SENT_NUMBERS) -> DataFrame:
     """(key, name, out): the dot product of every query with every vector of a bank, or those from `least` on.
 
     The bank is a stated set such as class prototypes. It is counted first: up to
-    SENT_NUMBERS numbers it is sent as one matrix and batches of queries are multiplied
-    with it, beyond that its vectors are joined in blocks. Null vectors have no products.
+    `sent` numbers it is sent as one matrix and batches of queries are multiplied
+    with it, beyond that both sides meet in a grid of blocks (near_vectors), which with `least` needs vectors of length 1.
+    Null vectors have no products.
     """
     bank = cut(bank.select(name, column).where(F.col(column).isNotNull()))
     n, width = bank.agg(F.count("*"), F.coalesce(F.max(F.size(column)), F.lit(0))).first()
-    if n * width > SENT_NUMBERS:
-        each = against_all(queries.where(F.col(vector).isNotNull()).select(key, F.col(vector).alias("__q")), bank.select(name, F.col(column).alias("__b")), max(1, n * width // SENT_NUMBERS))
-        each = each.select(key, name, dot(F.col("__q"), F.col("__b")).alias(out))
-        return each if least is None else each.where(F.col(out) >= least)
+    if n * width > sent:
+        return near_vectors(queries.select(key, vector), bank, least, out)
     rows = bank.orderBy(name).collect()
     kinds = dict(queries.dtypes) | {name: dict(bank.dtypes)[name]}
-    names, matrix = [r[name] for r in rows], np.array([r[column] for r in rows], float).reshape(len(rows), -1)
-    sent = queries.sparkSession.sparkContext.broadcast((names, matrix))
+    names, table = [r[name] for r in rows], np.array([r[column] for r in rows], float).reshape(len(rows), -1)
+    held = queries.sparkSession.sparkContext.broadcast((names, table))
     schema = f"`{key}` {kinds[key]}, `{name}` {kinds[name]}, `{out}` double"
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        names, matrix = sent.value
+        names, table = held.value
         step = max(1, (1 << 20) // max(1, len(names)))
         for b in batches:
             for i in range(0, b.num_rows if names else 0, step):
                 part = b.slice(i, step)
-                x = np.array(part.column(1).to_pylist(), float) @ matrix.T
+                x = matrix(part.column(1)) @ table.T
                 row, col = np.indices(x.shape).reshape(2, -1) if least is None else np.nonzero(x >= least)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)).cast(arrow.types[0]), pa.array(names, arrow.types[1]).take(pa.array(col)), pa.array(x[row, col])], schema=arrow)
 
