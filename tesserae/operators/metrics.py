@@ -51,6 +51,33 @@ def label_f1(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return c.agg(F.avg("f").alias("macro"), (F.sum(F.col("f") * F.col("n")) / F.sum("n")).alias("weighted"), micro.alias("micro"))
 
 
+def label_f1_sweep(leveled: DataFrame, truth: DataFrame, grid: list[float]) -> DataFrame:
+    """(threshold, macro, weighted, micro): label_f1 of what each threshold of an ascending grid keeps, from one aggregate.
+
+    leveled: (image_id, species_id, level) of selection.levels, of which a row is kept by the first `level` thresholds. Hits are
+    counted by species and level; a species' F1 changes only at its own levels, so each of its stretches adds its F1 where it
+    begins and takes it off where it ends, and sums along the grid give all thresholds.
+    """
+    size = len(grid)
+    hit = leveled.where("level > 0").join(truth.select("image_id", "species_id", F.lit(1).alias("hit")), ["image_id", "species_id"], "left")
+    per = hit.groupBy("species_id", "level").agg(F.count("*").alias("p"), F.count("hit").alias("tp"))
+    true = truth.groupBy("species_id").agg(F.count("*").alias("n"))
+    down = Window.partitionBy("species_id").orderBy(F.desc("level"))
+    step = per.select("species_id", F.lead("level", 1, 0).over(down).alias("from"), F.col("level").alias("to"), F.sum("p").over(down).alias("p"), F.sum("tp").over(down).alias("tp"))
+    step = step.join(true, "species_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    f = f1_of(F.col("tp"), F.col("p") - F.col("tp"), F.col("n") - F.col("tp"))
+    step = step.withColumns({"f": f, "w": f * F.col("n"), "new": (F.col("n") == 0).cast("int")})
+    values = ["f", "w", "new", "p", "tp"]
+    ends = F.explode(F.array(F.struct(F.col("from").alias("j"), F.lit(1).alias("sign")), F.struct(F.col("to").alias("j"), F.lit(-1).alias("sign")))).alias("e")
+    change = step.select(*values, ends).groupBy("e.j").agg(*[F.sum(F.col(v) * F.col("e.sign")).alias(v) for v in values])
+    totals = true.agg(F.count("*").alias("labels"), F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
+    one = change.agg(F.collect_list(F.struct("j", *values)).alias("changes")).join(totals)  # one row each
+    upto = lambda v: F.aggregate(F.array_sort("changes"), F.lit(0.0), lambda s, c: s + F.when(c["j"] <= F.col("k"), c[v]).otherwise(0))
+    points = F.posexplode(F.array(*[F.lit(float(g)) for g in grid[:size]])).alias("k", "threshold")
+    t = one.select("changes", "labels", "all", points).select("threshold", "labels", "all", *[upto(v).alias(v) for v in values])
+    return t.where("labels + new > 0").select("threshold", (F.col("f") / (F.col("labels") + F.col("new"))).alias("macro"), F.when(F.col("all") > 0, F.col("w") / F.col("all")).alias("weighted"), F.when(F.col("p") + F.col("all") > 0, 2 * F.col("tp") / (F.col("p") + F.col("all"))).otherwise(0.0).alias("micro"))
+
+
 def topk_curve(ranked: DataFrame, truth: DataFrame, images: DataFrame, ks: list[int]) -> DataFrame:
     """(k, accuracy): share of images with a true species among their best k."""
     first = ranked.join(truth, ["image_id", "species_id"]).groupBy("image_id").agg(F.min("rank").alias("first"))

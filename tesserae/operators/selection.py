@@ -187,12 +187,32 @@ def greedy_compatible(scores: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     return rows.select("image_id", F.posexplode(kept).alias("pos", "species_id")).select("image_id", (F.col("pos") + 1).alias("rank"), "species_id")
 
 
+def levels(ranked: DataFrame, grid: list[float], min_k: int) -> DataFrame:
+    """ranked with `level`: how many thresholds of an ascending grid keep a row; the best min_k are kept by all."""
+    if sorted(set(grid)) != list(grid):
+        raise ValueError("a grid is ascending and without repeats")
+    points = F.array(*[F.lit(float(g)) for g in grid])
+    reached = F.size(F.filter(points, lambda g: g <= F.col("score")))
+    return ranked.withColumn("level", F.when(F.col("rank") <= min_k, len(grid)).otherwise(reached))
+
+
 def sweep(scores: DataFrame, grid: list[float], min_k: int, max_k: int) -> DataFrame:
-    """(threshold, mean_k, n_species) for each threshold: one pass over ranks, no rescan."""
-    t = _ranked(scores).where(F.col("rank") <= max_k)
-    each = t.select("image_id", "rank", "species_id", "score", F.explode(F.array(*[F.lit(float(g)) for g in grid])).alias("threshold"))
-    kept = each.where((F.col("score") >= F.col("threshold")) | (F.col("rank") <= min_k))
-    return kept.groupBy("threshold").agg((F.count("*") / F.count_distinct("image_id")).alias("mean_k"), F.count_distinct("species_id").alias("n_species"))
+    """(threshold, mean_k, n_species) for each threshold of a grid that keeps any row, from one aggregate of the scores.
+
+    A row's level tells for which thresholds it is kept. Rows by level, and images and species by their highest
+    level, are counted together; what a threshold keeps is the sum of the levels above it.
+    """
+    grid = sorted({float(g) for g in grid})
+    t = levels(_ranked(scores).where(F.col("rank") <= max_k).select("image_id", "rank", "species_id", "score"), grid, min_k).where("level > 0")
+    of = F.grouping_id()
+    highest = t.groupingSets([["image_id"], ["species_id"], ["level"]], "image_id", "species_id", "level").agg(of.alias("of"), F.count("*").alias("n"), F.max(F.col("level")).alias("top"))
+    # grouping_id has a bit for each column that is not grouped by: 3 by image, 5 by species, 6 by level.
+    per = highest.groupBy("of", F.coalesce("level", "top").alias("level")).agg(F.sum(F.when(F.col("of") == 6, F.col("n")).otherwise(1)).alias("n"))
+    held = per.agg(F.collect_list(F.struct("of", "level", "n")).alias("held"))  # three times the grid at most
+    above = lambda j, kind: F.aggregate("held", F.lit(0).cast("bigint"), lambda s, h: s + F.when((h["of"] == kind) & (h["level"] > j), h["n"]).otherwise(0))
+    points = F.posexplode(F.array(*[F.lit(g) for g in grid])).alias("j", "threshold")
+    out = held.select("held", points).select("threshold", above(F.col("j"), 6).alias("rows"), above(F.col("j"), 3).alias("images"), above(F.col("j"), 5).alias("n_species"))
+    return out.where("rows > 0").select("threshold", (F.col("rows") / F.col("images")).alias("mean_k"), "n_species")
 
 
 SELECTIONS = {"fixed_topk": fixed_topk, "threshold": threshold, "relative": relative, "gap": gap}

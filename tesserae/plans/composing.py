@@ -108,11 +108,8 @@ GRID = [0.016, 0.0165, 0.017, 0.0175]
 @query("m16_threshold_search", f"{BEST}, {TRUTH}, g AS (SELECT unnest({GRID}) AS t), q AS (SELECT t, image_id, species_id FROM k, g WHERE rank <= 5 AND (score >= t OR rank <= 1)), a AS (SELECT t, species_id, count(*) AS p, count(tr.image_id) AS tp FROM q LEFT JOIN truth tr USING (image_id, species_id) GROUP BY 1, 2), n AS (SELECT species_id, count(*) AS n FROM truth GROUP BY 1), f AS (SELECT g.t, s.species_id, CASE WHEN coalesce(tp, 0) > 0 THEN 2.0 * tp / (p + n) ELSE 0 END AS f FROM g CROSS JOIN (SELECT DISTINCT species_id FROM k) s LEFT JOIN a ON a.t = g.t AND a.species_id = s.species_id LEFT JOIN n ON n.species_id = s.species_id WHERE p IS NOT NULL OR n IS NOT NULL) SELECT CAST(t AS DOUBLE) AS threshold, {r('avg(f)', 'macro')} FROM f GROUP BY 1")
 def m16(spark, sf):
     """Macro F1 over labels for each threshold of a grid."""
-    s, t, out = scored(spark, sf), truth(spark, sf), None
-    for g in GRID:
-        one = M.label_f1(K.cap_first(s, g, 5, 1), t).select(F.lit(g).alias("threshold"), "macro")
-        out = one if out is None else out.union(one)
-    return out
+    ranked = K.cap_first(scored(spark, sf), float("-inf"), 5, 1)
+    return M.label_f1_sweep(K.levels(ranked, GRID, 1), truth(spark, sf), GRID).select("threshold", "macro")
 
 
 @query("a17_unseen_species", f"{BEST} SELECT image_id, count(*) AS n FROM k WHERE rank <= 3 AND species_id % 5 = 0 GROUP BY 1")
