@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -47,6 +48,29 @@ def mosaic_plan(spark: SparkSession, manifest: DataFrame, n: int, shares: tuple[
     return m.join(images.select("species_id", "pos", "image"), ["species_id", "pos"]).select("mosaic", "slot", "species_id", "image")
 
 
+def lazy_greedy(probs: np.ndarray, k: int, least: float) -> tuple[list[tuple[int, float]], int]:
+    """(row, gain) of each step, and how many gains were computed.
+
+    Gains only shrink as coverage grows, so a gain computed earlier bounds the one now. A heap holds the bounds; the first row is computed
+    anew until one is first with a gain of this step. Of equal gains the smaller row comes first.
+    """
+    n, covered, steps = len(probs), np.zeros(probs.shape[1]), []
+    bounds = [(-g, i, 0) for i, g in enumerate(np.clip(probs - covered, 0, None).sum(1).tolist())]
+    heapq.heapify(bounds)
+    computed = n
+    while len(steps) < min(k, n):
+        minus, i, step = heapq.heappop(bounds)
+        if step < len(steps):
+            computed += 1
+            heapq.heappush(bounds, (-float(np.clip(probs[i] - covered, 0, None).sum()), i, len(steps)))
+            continue
+        steps.append((i, -minus))
+        covered = np.maximum(covered, probs[i])
+        if n > k and -minus < least:
+            break
+    return steps, computed
+
+
 def greedy_tiles(tiles: DataFrame, k: int = 20, least: float = 0.01) -> DataFrame:
     """(image_id, step, tile_id, gain): tiles by largest gain in coverage, the sum over species of the best score so far.
 
@@ -57,17 +81,7 @@ def greedy_tiles(tiles: DataFrame, k: int = 20, least: float = 0.01) -> DataFram
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("tile_id")
-        probs = np.array(pdf["probs"].tolist(), float)
-        n, covered, steps = len(probs), np.zeros(probs.shape[1]), []
-        added = np.clip(probs - covered, 0, None).sum(1)
-        while len(steps) < min(k, n):
-            best = int(added.argmax())
-            steps.append((best, added[best]))
-            covered = np.maximum(covered, probs[best])
-            if n > k and added[best] < least:
-                break
-            added = np.clip(probs - covered, 0, None).sum(1)
-            added[[i for i, _ in steps]] = -1
+        steps, _ = lazy_greedy(np.array(pdf["probs"].tolist(), float), k, least)
         return pd.DataFrame({"step": np.arange(len(steps), dtype=np.int32), "tile_id": pdf["tile_id"].to_numpy()[[i for i, _ in steps]], "gain": [float(g) for _, g in steps]})
 
     return solve_groups(tiles.select("image_id", "tile_id", "probs"), ["image_id"], solve, f"step int, tile_id {dict(tiles.dtypes)['tile_id']}, gain double")

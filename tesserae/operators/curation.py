@@ -6,6 +6,8 @@ seed and a key, so that they are the same on every cluster and in SQL.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +15,9 @@ from pyspark.sql.window import Window
 from tesserae.functions.ordinals import numbered
 from tesserae.functions.orders import hashed, places, shuffle_key
 
+#: Parts of the largest weight in a line of draws; ten thousand million rows of that weight keep sums in 64 bits.
+LINE_PARTS = 1 << 29
+
 
 def align(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:
     """Exactly these columns in order; missing ones are null."""
@@ -219,18 +224,28 @@ def weighted_draws(df: DataFrame, weight: Column, n: int, key: str, seed: int =
     """(draw, key): n draws with replacement by weight; invalid and negative weights count as zero.
 
     Rows lie side by side on a line in a reproducible random order, each as long as its
-    weight; draw i falls at a reproducible place in the i-th of n equal parts of it. Sums
-    by hash prefix come first, so the line is laid out in parallel, in so many prefixes as
-    the rows ask for; the line is the same however many these are.
+    weight; draw i falls at a reproducible place in the i-th of n equal parts of it. Lengths are whole numbers, parts of the largest
+    weight (a positive weight has one at least), so sums are exact and the line is the same however rows are dealt; sums by hash
+    prefix come first, so that it is laid out by many tasks.
     """
-    w = F.when(weight.isNull() | F.isnan(weight) | (weight < 0), 0.0).otherwise(weight)
-    t = df.select(F.col(key).alias("key"), w.cast("double").alias("w"), shuffle_key(key, seed).alias("h"))
-    digits = next((d for d in range(1, 5) if df.count() <= 50_000 * 16**d), 5)
-    t = t.withColumn("b", F.substring("h", 1, digits))
+    w = F.when(weight.isNull() | F.isnan(weight) | (weight < 0), 0.0).otherwise(weight).cast("double")
+    t = df.select(F.col(key).alias("key"), w.alias("w"), shuffle_key(key, seed).alias("h"))
+    rows, most = t.agg(F.count("*"), F.max("w")).first()
+    if not most:
+        return t.limit(0).select(F.lit(0).cast("bigint").alias("draw"), "key")
+    length = F.when(F.col("w") > 0, F.greatest(F.lit(1), F.round(F.col("w") / F.lit(most) * LINE_PARTS))).otherwise(0).cast("bigint")
+    digits = next((d for d in range(1, 5) if rows <= 50_000 * 16**d), 5)
+    t = t.select("key", "h", length.alias("w"), F.substring("h", 1, digits).alias("b")).where("w > 0")
     per = t.groupBy("b").agg(F.sum("w").alias("s"))
-    before = per.withColumn("start", F.sum("s").over(Window.orderBy("b")) - F.col("s")).withColumn("total", F.sum("s").over(Window.partitionBy()))
+    high = F.substring("b", 1, digits - digits // 2)  # two levels of prefixes, so that no window sees all of them
+    top = {r["c"]: r["s"] for r in per.groupBy(high.alias("c")).agg(F.sum("s").alias("s")).collect()}
+    total, starts = 0, {}
+    for c in sorted(top):
+        starts[c], total = total, total + top[c]
+    first_of = F.element_at(F.from_json(F.lit(json.dumps(starts)), "map<string,bigint>"), F.col("c"))
+    before = per.withColumn("c", high).withColumn("start", F.sum("s").over(Window.partitionBy("c").orderBy("b")) - F.col("s") + first_of).select("b", "start")
     line = t.join(before, "b").withColumn("upto", F.sum("w").over(Window.partitionBy("b").orderBy("h", "key")) + F.col("start")).withColumn("from", F.col("upto") - F.col("w"))
-    first, last = F.floor(F.col("from") / F.col("total") * n), F.floor(F.col("upto") / F.col("total") * n)
-    hit = line.where("w > 0").select("key", "from", "upto", "total", F.explode(F.sequence(first, F.least(last, F.lit(n - 1)))).alias("draw"))
-    place = (F.col("draw") + hashed(F.lit(str(seed)), F.col("draw").cast("string")) / float(1 << 32)) / n * F.col("total")
+    first, last = F.floor(F.col("from") / F.lit(float(total)) * n), F.floor(F.col("upto") / F.lit(float(total)) * n)
+    hit = line.select("key", "from", "upto", F.explode(F.sequence(first, F.least(last, F.lit(n - 1)))).alias("draw"))
+    place = (F.col("draw") + hashed(F.lit(str(seed)), F.col("draw").cast("string")) / float(1 << 32)) / n * float(total)
     return hit.where((place >= F.col("from")) & (place < F.col("upto"))).select("draw", "key")
