@@ -5,11 +5,13 @@ from __future__ import annotations
 import functools
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from tesserae.functions.columns import TINY, log_floor, ranked, softmax
+from tesserae.operators.graphs import Push, on_graph
 
 
 def _image() -> WindowSpec:
@@ -108,7 +110,18 @@ def anchor_filter(scores: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mean_field(scores: DataFrame, edges: DataFrame, weight: str = "w") -> DataFrame:
-    """logit plus each species' centred sum of its neighbours' weighted sigmoids."""
+    """logit plus each species' centred sum of its neighbours' weighted sigmoids.
+
+    A graph that is counted small is sent, and an image is solved in one pass; a larger one is joined.
+    """
+    def centred(x: np.ndarray, present: np.ndarray, push: Push) -> np.ndarray:
+        force = push(np.where(present, 1 / (1 + np.exp(-x)), 0.0))
+        mean = (force * present).sum(1) / np.maximum(1, present.sum(1))
+        return x + force - mean[:, None]
+
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col(weight).alias("w"))
+    if (sent := on_graph(scores, "logit", turned, centred, "score")) is not None:
+        return sent
     s = scores.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
     push = s.join(edges.withColumnRenamed("b", "species_id"), "species_id").groupBy("image_id", F.col("a").alias("species_id")).agg(F.sum(F.col(weight) * F.col("p")).alias("f"))
     t = s.join(push, ["image_id", "species_id"], "left").withColumn("f", F.coalesce("f", F.lit(0.0)))
@@ -130,10 +143,20 @@ def repulsion(taxonomy: DataFrame, inside: DataFrame, value: float = -0.1) -> Da
 def random_walk(scores: DataFrame, edges: DataFrame, keep: float = 0.85, steps: int = 5) -> DataFrame:
     """Scores after a walk with restart: each step moves along row-normalised edges, and restarts by 1 - keep.
 
-    Each step joins and groups; the steps are few, so one plan holds them all.
+    A graph that is counted small is sent, and an image takes all its steps in one pass; with a larger one each step joins and
+    groups.
     """
     out = Window.partitionBy("a")
     moves = edges.withColumn("w", F.col("w") / F.sum("w").over(out)).select("a", "b", "w")
+
+    def walked(x: np.ndarray, present: np.ndarray, push: Push) -> np.ndarray:
+        at = x
+        for _ in range(steps):
+            at = np.where(present, keep * push(at) + (1 - keep) * x, 0.0)
+        return at
+
+    if (sent := on_graph(scores, "prob", moves, walked, "score")) is not None:
+        return sent
     start = scores.select("image_id", "species_id", F.col("prob").alias("s0"))
     at = start.withColumn("s", F.col("s0"))
     for _ in range(steps):
