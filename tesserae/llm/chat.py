@@ -6,7 +6,7 @@ assistant's. Each turn is kept, given another role, or merged into the
 message before it; messages without text are put in where a role is missing. Costs add
 up along a path through the automaton of legal turns, so a stretch of turns is a square
 table of least costs between states, and tables of neighbouring stretches combine: a
-conversation too long for one task is repaired in stretches, whose tables alone meet.
+conversation too long for one task is repaired in stretches, whose tables and entries alone meet.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ NAMES = {"system": SYSTEM, "developer": SYSTEM, "user": USER, "human": USER, "pr
 #: unknown role, and of another role where one of both is a tool: its output does not become speech, nor speech its output.
 MERGE, RELABEL, INSERT, NAME, RELABEL_TOOL = 1, 4, 3, 1, 9
 FAR = 1 << 40
+#: Costs of the states in which a conversation begins.
+BEGIN = [0, *[FAR] * (N - 1)]
 #: Which role may follow which state.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER, TOOL), TOOL: (TOOL, ASSISTANT)}
 #: Turns of a conversation that one task repairs at once, and of a stretch of a longer one.
@@ -97,9 +99,12 @@ def table_of(turns: list[int]) -> np.ndarray:
     return out
 
 
-def path_between(turns: list[int], begin: int, end: int | None) -> list[int]:
-    """States after each turn on the cheapest path; of equal ones the smallest states, last first."""
-    best, back = [0 if s == begin else FAR for s in range(N)], []
+def path_from(turns: list[int], begin: list[int], end: int | None) -> tuple[list[int], int]:
+    """States after each turn on the cheapest path from entry states of the given costs, and its entry state.
+
+    Of equal paths the one whose state is the smallest before each turn, the last turn first.
+    """
+    best, back = list(begin), []
     for t in turns:
         now, how = [FAR] * N, [0] * N
         for s, x in itertools.product(range(N), range(N)):
@@ -113,7 +118,12 @@ def path_between(turns: list[int], begin: int, end: int | None) -> list[int]:
     for how in reversed(back):
         states.append(at)
         at = how[at]
-    return states[::-1]
+    return states[::-1], at
+
+
+def path_between(turns: list[int], begin: int, end: int | None) -> list[int]:
+    """States after each turn on the cheapest path from one state."""
+    return path_from(turns, [0 if s == begin else FAR for s in range(N)], end)[0]
 
 
 def piece(role: int, text: str | None, inserted: tuple[int, ...], merged: bool, first: bool, last: bool) -> str:
@@ -152,7 +162,7 @@ def _whole(batches):
 
     def close():
         turns = [role_of(r[2]) for r in rows]
-        states = path_between(turns, START, None)
+        states, _ = path_from(turns, BEGIN, None)
         made = actions(turns, START, states, -1)
         return [(*r[:3], i, m, ROLES[s], a, piece(s, r[3], ins, mg, i == 0, i == len(rows) - 1)) for i, (r, (m, a, s, ins, mg)) in enumerate(zip(rows, made, strict=True))]
 
@@ -185,8 +195,9 @@ def repaired(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn",
     equal numbers, or none, are ordered by role, then text; a null text is empty; a null or
     unknown role costs a name only; rows with a null id are one conversation; repeated
     rows are turns of their own; an empty table gives an empty result; other columns are
-    ignored. Conversations of more than whole_turns turns are dealt by ranges of turns: the
-    same least cost, by tables of stretches that alone meet.
+    ignored. Conversations of more than whole_turns turns are dealt by ranges of turns and come out
+    the same, row by row: tables of their stretches meet and give each stretch what it costs to enter it in each state,
+    then the entry that belongs to each exit of a stretch meets the others'.
     """
     spark = turns.sparkSession
     reachable(spark)
@@ -248,40 +259,67 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
     own_kinds = [to_arrow_type(placed.schema[c].dataType) for c in ("id", "turn", "role")]
     summaries = cut(placed.select("id", "role", "at").mapInArrow(tables, f"at bigint, id {dict(placed.dtypes)['id']}, costs array<bigint>"))
 
-    def meet(pdf):
-        """Entry and exit states of each stretch of a conversation, from its tables alone."""
+    def enter(pdf):
+        """What it costs to enter each stretch of a conversation in each state, from the tables before it."""
         pdf = pdf.sort_values("at")
-        best, back = np.array([0, *[FAR] * (N - 1)]), []
+        best, found = np.array(BEGIN), []
         for costs in pdf["costs"]:
-            grid = best[:, None] + np.asarray(costs, np.int64).reshape(N, N)
-            back.append(grid.argmin(0))
-            best = np.minimum(grid.min(0), FAR)
-        at = min(range(N), key=lambda s: (int(best[s]) + ENDS[s], s))
-        ends = []
-        for how in reversed(back):
-            ends.append((int(how[at]), at))
-            at = int(how[at])
-        ends = ends[::-1]
-        pdf["enter"], pdf["leave"] = [e[0] for e in ends], [e[1] for e in ends]
+            found.append(best.tolist())
+            best = np.minimum((best[:, None] + np.asarray(costs, np.int64).reshape(N, N)).min(0), FAR)
+        pdf["begin"] = found
         pdf["first"], pdf["last"] = [i == 0 for i in range(len(pdf))], [i == len(pdf) - 1 for i in range(len(pdf))]
-        return pdf[["at", "enter", "leave", "first", "last"]]
+        return pdf[["id", "at", "begin", "first", "last"]]
 
-    bounds = cut(summaries.groupBy("id").applyInPandas(meet, "at bigint, enter int, leave int, first boolean, last boolean"))
-    # Each stretch's first row carries its states; a stretch is never parted.
-    marked = placed.join(F.broadcast(bounds) if bounds.count() <= 100_000 else bounds, "at", "left")
-    marked = marked.repartition(partitions(spark), F.shiftright("at", 33)).sortWithinPartitions("at") if bounds.count() > 100_000 else marked
+    id_type = dict(placed.dtypes)["id"]
+    begins = cut(summaries.groupBy("id").applyInPandas(enter, f"id {id_type}, at bigint, begin array<bigint>, first boolean, last boolean"))
+    few_stretches = begins.count() <= 100_000
 
-    def render(batches, count_only: bool):
+    def marked(stretches: DataFrame, columns: list[str]) -> DataFrame:
+        """Rows, of which each stretch's first carries the stretch's columns; a stretch is never parted."""
+        t = placed.join(F.broadcast(stretches) if few_stretches else stretches, "at", "left")
+        t = t if few_stretches else t.repartition(partitions(spark), F.shiftright("at", 33)).sortWithinPartitions("at")
+        return t.select("id", "turn", "role", "text", "at", *columns)
+
+    def opened(batches, given: int):
+        """(a stretch's columns, its rows); the column `given` is null but in a first row."""
         held, mark = [], None
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[given] is not None:
+                    if held:
+                        yield mark, held
+                    held, mark = [], row[5:]
+                held.append(row[:5])
+        if held:
+            yield mark, held
 
-        def close():
-            turns = [role_of(r[2]) for r in held]
-            enter, leave, first, last = mark
-            made = actions(turns, enter, path_between(turns, enter, leave), -1 if first else 0)
-            return turns, made, first, last
+    def entries(batches):
+        for (begin, last), run in opened(batches, 5):
+            turns = [role_of(r[2]) for r in run]
+            leave = path_from(turns, begin, None)[0][-1] if last else None
+            at = [path_from(turns, begin, x)[1] for x in range(N)]
+            yield pa.RecordBatch.from_arrays([pa.array([run[0][0]], id_kind), pa.array([run[0][4]], pa.int64()), pa.array([at], pa.list_(pa.int32())), pa.array([leave], pa.int32())], names=["id", "at", "entries", "leave"])
 
-        def out():
-            _, made, first, last = close()
+    def meet(pdf):
+        """The exit of each stretch on the conversation's path, the last one first."""
+        pdf = pdf.sort_values("at")
+        at, ends = int(pdf["leave"].iloc[-1]), []
+        for found in reversed(pdf["entries"].tolist()):
+            ends.append(at)
+            at = int(found[at])
+        pdf["leave"] = ends[::-1]
+        return pdf[["at", "leave"]]
+
+    lead = marked(begins.select("at", "begin", "last"), ["begin", "last"]).mapInArrow(entries, f"id {id_type}, at bigint, entries array<int>, leave int")
+    exits = lead.groupBy("id").applyInPandas(meet, "at bigint, leave int")
+    fields = marked(cut(begins.drop("id").join(exits, "at")), ["begin", "leave", "first", "last"])
+
+    def render(batches, count_only: bool):
+        def out(mark, held):
+            begin, leave, first, last = mark
+            turns = [role_of(r[2]) for r in held]
+            states, enters = path_from(turns, begin, leave)
+            made = actions(turns, enters, states, -1 if first else 0)
             if count_only:
                 return [(held[0][0], held[0][4], made[-1][0] + first, len(held))]
             return [(*r[:3], r[4], held[0][4], i, m, ROLES[s], a, piece(s, r[3], ins, mg, first and i == 0, last and i == len(held) - 1)) for i, (r, (m, a, s, ins, mg)) in enumerate(zip(held, made, strict=True))]
@@ -294,17 +332,9 @@ def _stretched(rows: DataFrame, order: list[str], schema: str, stretch: int) ->
                 names = ["id", "turn", "role", "at", "stretch", "position", "message", "new_role", "action", "piece"]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        for b in batches:
-            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                if row[5] is not None:
-                    if held:
-                        yield batch(out())
-                    held, mark = [], row[5:9]
-                held.append(row[:5])
-        if held:
-            yield batch(out())
+        for mark, held in opened(batches, 5):
+            yield batch(out(mark, held))
 
-    fields = marked.select("id", "turn", "role", "text", "at", "enter", "leave", "first", "last")
     kinds = dict(placed.dtypes)
     counts = fields.mapInArrow(lambda bs: render(bs, True), f"id {kinds['id']}, stretch bigint, n bigint, rows bigint")
     from pyspark.sql import Window as W

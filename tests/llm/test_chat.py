@@ -128,6 +128,16 @@ def test_stretches_give_what_whole_conversations_give(spark):
         assert ",".join(r.actions for r in one).split(",") == [p[6] for p in parts if p[0] == 1] and sum(r.n_changed for r in one) == sum(p[6] != "keep" for p in parts if p[0] == 1)
 
 
+@pytest.mark.parametrize("stretch", [3, 7, 50])
+def test_stretches_and_whole_conversations_are_equal_row_by_row(spark, stretch):
+    """Where costs tie too: random roles of all kinds, in conversations of many lengths."""
+    rng = random.Random(stretch)
+    names = ["user", "assistant", "system", "tool", None]
+    rows = [(c, t, rng.choice(names), f"t{c} {t}") for c in range(60) for t in range(rng.choice([11, 23, 40, 70]))]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(3)
+    assert sorted(map(tuple, chat.repaired(df, whole_turns=10, stretch=stretch).collect())) == sorted(map(tuple, chat.repaired(df).collect()))
+
+
 def test_tool_turns_stay_tools(spark):
     rows = [(1, t, r, r) for t, r in enumerate(["user", "assistant", "tool", "function", "assistant"])] + [(2, 0, "tool", "late"), (2, 1, "assistant", "a")]
     got = {r.conv_id: r for r in chat.rendered(chat.repaired(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string"))).collect()}
