@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 
 from tesserae.llm.common import map_texts
 
-_MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*+"|'[^']*+'|[^>"'])*+)>|<[!?][^>]*>""", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)")
+_STOP = re.compile("[\"'>]")
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 #: Elements whose content is no text of the page.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "canvas", "textarea", "select", "title", "head"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "annotation", "annotation-xml", "canvas", "textarea", "select", "title", "head"}
+#: Of these, what holds the rest of the page if it is not closed; the others end where they begin.
+OPEN_ENDED = {"script", "style"}
 #: Elements that end a text block.
 BLOCKS = set("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements and class words of what surrounds an article, and of the article itself.
@@ -94,6 +97,24 @@ LABELLED = [
     # Long terms of use in a footer, long prose in sidebars and between links, links after long paragraphs.
     [(HEAD, 0, IN, 0, 5, 0, 1), (PARA, 0, IN, 0, 80, 0, 1), (PARA, 1, IN, 0, 70, 0, 0), (PARA, 0, IN, 0, 30, 0, 1), (DIV, 0, IN, 0, 3, 3, 0), (PARA, 0, IN, 0, 75, 2, 1), (CELL, 0, IN, 0, 2, 2, 0), (DIV, 0, OUT, 0, 2, 2, 0), (DIV, 0, OUT, 0, 90, 2, 0),
      (DIV, 0, OUT, 0, 3, 3, 0), (PARA, 1, OUT, 0, 120, 1, 0), (PARA, 1, OUT, 0, 85, 0, 0), (DIV, 1, OUT, 0, 2, 0, 0)],
+    # Text in plain containers alone, of even lengths, with and without links around it.
+    [(DIV, 0, NONE, 0, 31, 0, 1), (DIV, 0, NONE, 0, 30, 0, 1), (DIV, 0, NONE, 0, 28, 0, 1), (DIV, 0, NONE, 0, 33, 1, 1), (DIV, 0, NONE, 0, 30, 0, 1), (DIV, 0, NONE, 0, 25, 0, 1), (DIV, 0, NONE, 0, 32, 0, 1), (DIV, 0, NONE, 0, 30, 0, 1)],
+    [(DIV, 0, NONE, 0, 1, 1, 0), (DIV, 0, NONE, 0, 2, 2, 0), (DIV, 0, NONE, 0, 35, 0, 1), (DIV, 0, NONE, 0, 38, 0, 1), (DIV, 0, NONE, 0, 1, 1, 0)],
+    [(DIV, 0, NONE, 0, 36, 0, 1), (DIV, 0, NONE, 0, 38, 1, 1)],
+    [(CELL, 1, NONE, 0, 1, 1, 0), (CELL, 1, NONE, 0, 1, 1, 0), (DIV, 0, NONE, 0, 26, 0, 1), (DIV, 0, NONE, 0, 34, 0, 1), (DIV, 0, NONE, 0, 41, 1, 1), (DIV, 0, NONE, 0, 29, 0, 1), (DIV, 0, NONE, 0, 2, 2, 0), (DIV, 1, NONE, 0, 8, 1, 0)],
+    [(HEAD, 0, NONE, 0, 6, 0, 1), (DIV, 0, NONE, 0, 44, 0, 1), (DIV, 0, NONE, 0, 27, 0, 1), (DIV, 0, NONE, 0, 31, 2, 1), (DIV, 0, NONE, 0, 9, 9, 0), (DIV, 0, NONE, 0, 3, 0, 0)],
+    # Sidebars and forms in the article, short and long, whatever stands beside them.
+    [(PARA, 0, IN, 0, 60, 0, 1), (PARA, 1, IN, 0, 25, 0, 0), (PARA, 0, IN, 0, 90, 0, 1), (HEAD, 1, IN, 0, 3, 0, 0), (PARA, 1, IN, 0, 44, 0, 0), (PARA, 0, IN, 0, 70, 1, 1)],
+    [(HEAD, 0, IN, 0, 6, 0, 1), (PARA, 0, IN, 0, 30, 0, 1), (DIV, 1, IN, 0, 12, 0, 0), (PARA, 0, IN, 0, 55, 0, 1), (CELL, 1, IN, 0, 2, 0, 0), (CELL, 1, IN, 0, 1, 0, 0), (PARA, 0, IN, 0, 110, 2, 1)],
+    [(PARA, 0, IN, 0, 100, 0, 1), (PARA, 1, IN, 0, 9, 0, 0), (DIV, 1, IN, 0, 2, 0, 0), (PARA, 0, IN, 0, 58, 0, 1), (PARA, 1, IN, 0, 80, 1, 0), (PARA, 0, IN, 0, 35, 0, 1), (DIV, 1, OUT, 0, 4, 0, 0)],
+    [(PARA, 0, IN, 0, 40, 0, 1), (PARA, 1, IN, 0, 61, 0, 0), (PARA, 1, IN, 0, 64, 0, 0), (PARA, 0, IN, 0, 62, 0, 1)],
+    # Headlines that link to their own page, above long text; and such of other pages, in lists and between paragraphs.
+    [(CELL, 1, OUT, 0, 1, 1, 0), (CELL, 1, OUT, 0, 2, 2, 0), (HEAD, 0, IN, 0, 7, 7, 1), (PARA, 0, IN, 0, 62, 0, 1), (PARA, 0, IN, 0, 48, 2, 1)],
+    [(HEAD, 0, IN, 0, 4, 4, 1), (PARA, 0, IN, 0, 41, 0, 1), (PARA, 0, IN, 0, 77, 1, 1), (DIV, 1, OUT, 0, 5, 1, 0)],
+    [(DIV, 0, OUT, 0, 2, 2, 0), (HEAD, 0, IN, 0, 11, 11, 1), (PARA, 0, IN, 0, 90, 0, 1), (HEAD, 0, IN, 0, 3, 0, 1), (PARA, 0, IN, 0, 55, 0, 1), (HEAD, 0, IN, 0, 6, 6, 0), (HEAD, 0, IN, 0, 5, 5, 0), (HEAD, 0, IN, 0, 8, 8, 0)],
+    [(HEAD, 0, IN, 0, 5, 0, 1), (PARA, 0, IN, 0, 64, 0, 1), (HEAD, 0, IN, 0, 7, 7, 0), (PARA, 0, IN, 0, 52, 0, 1), (HEAD, 0, IN, 0, 4, 4, 0), (PARA, 0, IN, 0, 80, 2, 1)],
+    [(PARA, 0, NONE, 0, 5, 5, 0), (PARA, 0, NONE, 0, 4, 4, 0), (PARA, 0, NONE, 0, 6, 6, 0), (PARA, 0, NONE, 0, 47, 0, 1), (PARA, 0, NONE, 0, 52, 0, 1), (PARA, 0, NONE, 0, 5, 5, 0), (PARA, 0, NONE, 0, 4, 4, 0)],
+    [(HEAD, 0, OUT, 0, 9, 9, 1), (DIV, 0, IN, 0, 66, 0, 1), (DIV, 0, IN, 0, 71, 0, 1), (HEAD, 0, OUT, 0, 5, 5, 0), (PARA, 0, OUT, 0, 16, 12, 0), (HEAD, 0, OUT, 0, 6, 6, 0), (PARA, 0, OUT, 0, 14, 10, 0)],
 ]
 
 
@@ -137,6 +158,62 @@ def decide(tree, features: tuple) -> int:
     return tree
 
 
+class _Markup:
+    """Finds a page's markup from left to right, in time that grows with the page however broken it is.
+
+    A tag ends at the first > outside of quotes. Where quotes do not close before the page ends, they no longer count from there on;
+    without any further > the rest is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.unclosed = page, True, set()
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+
+    def _end(self, at: int) -> int:
+        """The place after a tag whose attributes begin at `at`, or -1."""
+        if self.quotes:
+            stop = at
+            while m := _STOP.search(self.page, stop):
+                c = m.group()
+                if c == ">":
+                    return m.end()
+                if m.start() >= self.last[c]:
+                    break
+                stop = self.page.index(c, m.end()) + 1
+            self.quotes = False
+        return self.page.index(">", at) + 1 if at <= self.last[">"] else -1
+
+    def next(self, at: int) -> tuple[int, int, str, bool, str] | None:
+        """(start, end, tag, closing, attributes) of the next piece of markup; the tag is empty for comments and declarations."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, "", False, ""
+            if start > self.last[">"]:
+                rest = page.find("<!--", start)
+                if rest < 0:
+                    return None
+                at = rest
+                continue
+            if m := _TAG.match(page, start):
+                end = self._end(m.end())
+                if end >= 0:
+                    return start, end, m.group(2).lower(), bool(m.group(1)), page[m.end() : end - 1]
+            elif page.startswith(("<!", "<?"), start):
+                return start, page.index(">", start) + 1, "", False, ""
+            at = start + 1
+        return None
+
+    def after(self, tag: str, at: int) -> int:
+        """The place after what a raw element holds; `at` if it is not closed and does not hold the rest."""
+        if tag not in self.unclosed:
+            if end := re.compile(rf"</{tag}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(self.page, at):
+                return end.start() if tag == "head" and self.page[end.start() + 1] != "/" else end.end()
+            self.unclosed.add(tag)
+        return len(self.page) if tag in OPEN_ENDED else at
+
+
 def _context(tag: str, attributes: str) -> tuple[bool, bool, bool]:
     """(framed, article, named) of an element."""
     framed, article, named = tag in AROUND, tag in ARTICLE, False
@@ -165,8 +242,8 @@ def blocks(page: str) -> list[tuple[str, tuple[int, int, int, int, int, int]]]:
 def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
     """(text, kind, framed, inside, named, words, words in links) of each block."""
     out: list[tuple[str, int, bool, bool, bool, int, int]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []
-    framed = inside = named = 0
+    stack: list[tuple[str, bool, bool, bool, int]] = []
+    framed = inside = named = forms = outer = 0  # outer: forms around the innermost article, which are no frame of it
     linked, opened, own = False, 0, ""
     held: list[str] = []
     links: list[str] = []
@@ -178,7 +255,7 @@ def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
             if text:
                 words = len(text.split())
                 in_links = len(html.unescape("".join(links)).split()) if links else 0
-                out.append((text, KINDS.get(own, DIV), framed > 0, inside > 0, named > 0, words, min(words, in_links)))
+                out.append((text, KINDS.get(own, DIV), framed > 0 or forms > outer, inside > 0, named > 0, words, min(words, in_links)))
         held, links = [], []
 
     def put(text: str) -> None:
@@ -188,32 +265,32 @@ def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
                 links.append(text + " ")
 
     def pop(upto: int) -> None:
-        nonlocal framed, inside, named
+        nonlocal framed, inside, named, forms, outer
         while len(stack) > upto:
-            _, a, b, c = stack.pop()
-            framed -= a
+            tag, a, b, c, around = stack.pop()
+            forms -= a and tag == "form"
+            framed -= a and tag != "form"
             inside -= b
             named -= c
+            outer = around
 
-    at, size = 0, len(page)
+    markup, at, size = _Markup(page), 0, len(page)
     while at < size:
-        m = _MARKUP.search(page, at)
-        if not m:
+        found = markup.next(at)
+        if not found:
             put(page[at:])
             break
-        put(page[at : m.start()])
-        at = m.end()
-        tag = (m.group(2) or "").lower()
+        start, end, tag, closing, attributes = found
+        put(page[at:start])
+        at = end
         if not tag:
             continue
-        closing = bool(m.group(1))
         if tag in RAW:
-            if not closing and not m.group(3).endswith("/"):
-                end = re.compile(rf"</{tag}\s*>" + (r"|<body\b" if tag == "head" else ""), re.I).search(page, at)
-                at = size if not end else end.start() if tag == "head" and page[end.start() + 1] != "/" else end.end()
+            if not closing and not attributes.endswith("/"):
+                at = markup.after(tag, at)
             continue
         if tag == "a":
-            linked, opened = not closing and "href" in m.group(3).lower(), 0
+            linked, opened = not closing and "href" in attributes.lower(), 0
         elif tag == "br":
             put(" ")
         elif tag in BLOCKS:
@@ -226,14 +303,16 @@ def _flat(page: str) -> list[tuple[str, int, bool, bool, bool, int, int]]:
                 if k is not None and not (tag in {"p", "li"} and any(s[0] not in {"p", "li"} for s in stack[k + 1 :])):
                     pop(k)
                 own = stack[-1][0] if stack else ""
-            elif tag in _HOLDS and not m.group(3).endswith("/"):
+            elif tag in _HOLDS and not attributes.endswith("/"):
                 if stack and stack[-1][0] == "p":
                     pop(len(stack) - 1)
                 if tag == "li" and stack and stack[-1][0] == "li":
                     pop(len(stack) - 1)
-                a, b, c = _context(tag, m.group(3))
-                stack.append((tag, a, b, c))
-                framed += a
+                a, b, c = _context(tag, attributes)
+                stack.append((tag, a, b, c, outer))
+                outer = forms if b else outer
+                forms += a and tag == "form"
+                framed += a and tag != "form"
                 inside += b
                 named += c
                 own = tag

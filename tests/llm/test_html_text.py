@@ -130,3 +130,71 @@ def test_edges_through_extract(spark):
     assert [b[0] for b in by] == [0, 1, 2, 3, 4, 4, 6, 7]
     assert [b[2] for b in by if b[0] in (0, 1, 2, 4)] == [PARA, "", "", PARA, PARA]
     assert next(b[2] for b in by if b[0] == 3) == " ".join(f"{PARA} {i}" for i in range(20_000))
+
+
+def prose(n, k=0):
+    words = (f"{PARA} {PARA} {PARA} {PARA} {PARA}").replace(".", "").replace(",", "").split()
+    return " ".join(words[k : k + n]) + "."
+
+
+@pytest.mark.parametrize("n", [28, 30, 35, 44])
+def test_plain_containers(n):
+    texts = [prose(n + i % 4, i) for i in range(10)]
+    for some in (texts, texts[:2]):
+        body = "".join(f"<div>{t}</div>" for t in some)
+        for page in (body, f"<div id=content>{body}</div>", f"<div><a href=/>Home</a></div><div><a href=/n>News</a></div>{body}<div><a href=/c>Contact</a></div>"):
+            assert html_text.main_text(page, TREE) == " ".join(some)
+
+
+@pytest.mark.parametrize("tag", ["aside", "form"])
+@pytest.mark.parametrize("inner", [9, 25, 44])
+def test_sidebars_and_forms_in_the_article(tag, inner):
+    for before in (30, 60, 90):
+        for after in (20, 53, 60, 100):
+            page = f"<article><p>{prose(before)}</p><{tag}><p>{prose(inner, 3)}</p></{tag}><p>{prose(after, 7)}</p></article>"
+            assert html_text.main_text(page, TREE) == f"{prose(before)} {prose(after, 7)}"
+
+
+def test_a_form_around_the_article_is_no_frame_of_it():
+    page = f"<form id=page><nav><a href=/>Home</a></nav><article><p>{prose(60)}</p><form><label>Name</label><p>{prose(12)}</p></form><p>{prose(40)}</p></article></form>"
+    assert html_text.main_text(page, TREE) == f"{prose(60)} {prose(40)}"
+
+
+@pytest.mark.parametrize("words", [4, 8, 12])
+def test_headlines_that_link_to_their_page(words):
+    for n in (40, 60, 90):
+        page = f"<nav><a href='/'>Home</a></nav><article><h1><a href='/this'>{prose(words, 2)}</a></h1><p>{prose(n)}</p><p>{prose(60, 5)}</p></article>"
+        assert html_text.main_text(page, TREE) == f"{prose(words, 2)} {prose(n)} {prose(60, 5)}"
+
+
+@pytest.mark.parametrize("tag", ["select", "textarea", "svg", "object", "title"])
+def test_raw_elements_that_nothing_closes(tag):
+    page = f"<article><p>{prose(60)}</p><p>{prose(50, 2)}</p><{tag}><p>{prose(55, 4)}</p></article>"
+    assert html_text.main_text(page, TREE) == f"{prose(60)} {prose(50, 2)} {prose(55, 4)}"
+
+
+def test_heads_without_an_end():
+    assert html_text.main_text(f"<head><title>T</title><p>{prose(60)}</p><p>{prose(40, 4)}</p>", TREE) == f"{prose(60)} {prose(40, 4)}"
+    assert html_text.main_text(f"<head><title>T</title><body><p>{prose(60)}</p>", TREE) == prose(60)
+
+
+def test_formulas_are_text():
+    page = f"<article><p>{prose(40)} <math><mi>x</mi><mo>=</mo><annotation>x \\eq 2</annotation><mn>2</mn></math> {prose(20)}</p><p>{prose(50)}</p></article>"
+    assert html_text.main_text(page, TREE) == f"{prose(40)} x=2 {prose(20)} {prose(50)}"
+
+
+@pytest.mark.parametrize("broken", ['<a href="x ', "<a href='x ", "<x ", "<textarea>", "<svg>", "<!", "<!-- ", '</a "', "<select><p>", "<script>", "< ", "<a \"'>'", "<div class=\"a'><p>"])
+@pytest.mark.parametrize("tail", ["", ">", '">'])
+def test_broken_pages_take_time_in_proportion(broken, tail):
+    import time
+
+    page = f"<article><p>{prose(60)}</p>" + broken * (220_000 // len(broken)) + tail
+    start = time.process_time()
+    assert html_text.main_text(page, TREE).startswith(prose(60)[:20])
+    assert time.process_time() - start < 2
+
+
+def test_quotes_that_do_not_close():
+    """They count no more from there on; the text before and after stays."""
+    page = f"<article><p>{prose(60)}</p><p title=\"open>{prose(50, 3)}</p><p class='x'>{prose(45, 5)}</p></article>"
+    assert html_text.main_text(page, TREE) == f"{prose(60)} {prose(50, 3)} {prose(45, 5)}"
