@@ -1,4 +1,9 @@
-"""Benchmark passages in documents: one Aho-Corasick automaton over the items' word windows."""
+"""Benchmark passages in documents: one Aho-Corasick automaton over the items' word windows.
+
+Of a benchmark that is too large for one automaton, only the windows that occur in the documents go on: windows'
+hashes are put into a bitmap of fixed size, the documents' windows that it lets through meet the benchmark's by their hashes,
+and the stretches of items that are left make up the automaton.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +12,20 @@ import uuid
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import SLICE_BYTES, held, map_texts
+from tesserae.llm.common import SLICE_BYTES, cut, held, map_texts, partitions, reachable, slices
 
 WINDOW = 13
 #: Benchmark words in one automaton; more items are scanned for in further blocks.
 BLOCK_WORDS = 400_000
+#: Bits of the bitmap of windows, and of a part of it that one task fills.
+BITMAP_BITS, PART_BITS = 27, 20
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text that meet all blocks before the next ones do, where there are several.
 BLOCKS_SLICE_BYTES = 32 << 20
 #: Maps A-Z to a-z, keeps digits, a-z and all bytes of other characters, and turns the rest into spaces.
@@ -90,6 +101,86 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i, j) for i, j in out]
 
 
+def hashes(words: list[bytes], size: int) -> np.ndarray:
+    """A hash of each window of `size` words, in order."""
+    if len(words) < size:
+        return np.zeros(0, np.uint64)
+    digest = xxhash.xxh64_intdigest
+    each = np.fromiter((digest(w, 5) for w in words), np.uint64, len(words))
+    n, out, power = len(words) - size + 1, np.zeros(len(words) - size + 1, np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for k in range(size):
+            power = power * _STEP
+            out += each[k : k + n] * power
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _bitmap(windows_: DataFrame) -> np.ndarray:
+    """A bitmap of 2 ** BITMAP_BITS bits, one set for each hash; filled in parts, so what the driver gets has a fixed size."""
+    place = F.shiftrightunsigned("hash", 64 - BITMAP_BITS)
+
+    def fill(key, table):
+        bits = np.zeros(1 << PART_BITS, bool)
+        bits[table.column("at").to_numpy() & ((1 << PART_BITS) - 1)] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    parts = windows_.select(place.alias("at")).distinct().groupBy(F.shiftright("at", PART_BITS).alias("part")).applyInArrow(fill, "part bigint, bits binary")
+    out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+    for r in parts.toLocalIterator():
+        out[r.part << (PART_BITS - 3) : (r.part + 1) << (PART_BITS - 3)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def occurring(docs: DataFrame, bench: DataFrame, text_col: str, size: int = WINDOW) -> DataFrame:
+    """(item, text) of the stretches of bench (item, text) whose windows occur in docs, and perhaps a few more.
+
+    Stretches have normalised words. Items' and documents' windows meet by 64-bit hashes; nothing but the bitmap passes the driver.
+    """
+    spark = docs.sparkSession
+    reachable(spark)
+
+    def of_items(batches):
+        for b in slices(batches, 1):
+            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                if words:
+                    n = min(size, len(words))
+                    found = hashes(words, n)
+                    k = len(found)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array([row] * k, pa.int64()), pa.array(np.arange(k)), pa.array([n] * k, pa.int32())], names=["hash", "row", "at", "n"])
+
+    items = cut(bench.select(F.monotonically_increasing_id().alias("row"), "item", "text").where("text is not null"))
+    own = cut(items.select("row", "text").mapInArrow(of_items, "hash bigint, row bigint, at bigint, n int"))
+    sizes = sorted(r.n for r in own.select("n").distinct().collect())
+    sent = spark.sparkContext.broadcast(_bitmap(own))
+
+    def of_texts(batches):
+        for b in slices(batches, 0):
+            passed = [np.zeros(0, np.uint64)]
+            for text in b.column(0).to_pylist():
+                words = words_of(text)
+                for n in sizes:
+                    x = hashes(words, n)
+                    at = x >> np.uint64(64 - BITMAP_BITS)
+                    passed.append(x[(sent.value[at >> np.uint64(3)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1 > 0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(passed)).view(np.int64))], names=["hash"])
+
+    seen = docs.select(F.col(f"`{text_col}`").cast("string")).mapInArrow(of_texts, "hash bigint").distinct()
+    kept = own.join(seen, "hash", "left_semi").groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("at"), F.first("n").alias("n"))
+
+    def stretches(batches):
+        for b in batches:
+            out = []
+            for item, text, at, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                words = words_of(text)
+                for i, j in merged([(k, k + n) for k in at]):
+                    out.append((item, b" ".join(words[i:j]).decode()))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], b.column(0).type), pa.array([o[1] for o in out], pa.string())], names=["item", "text"])
+
+    return items.join(kept, "row").select("item", "text", "at", "n").repartition(partitions(spark)).mapInArrow(stretches, "item string, text string")
+
+
 def benchmark_blocks(bench: DataFrame, id_col: str, text_col: str, size: int, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The items' words in blocks of about block_words, one at a time.
 
@@ -120,13 +211,16 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     contaminated if it has a hit and hits are a twentieth of its words or more. Null
     texts and items have no words; repeated rows each get a row; an empty benchmark
     hits nothing; an item with a null id hits like any other, but is not listed; other
-    columns are ignored. The benchmark is sent in blocks of block_words, of which the
-    driver and a worker hold one at a time; all texts are read once, and a slice of
-    them meets one block after the other.
+    columns are ignored. The benchmark is counted first. Up to block_words it is sent and texts are read once; of a larger one
+    only what occurs in the texts is sent (see occurring), in blocks of block_words, so what passes the driver is bounded by hits.
     """
     sc = docs.sparkSession.sparkContext
     key = uuid.uuid4().hex
-    sent = [sc.broadcast(block) for block in benchmark_blocks(bench, item_col, item_text, size, block_words)]
+    bench = bench.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text}`").cast("string").alias("text"))
+    words = F.size(F.split(F.coalesce("text", F.lit("")), "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")).cast("bigint")
+    if (bench.agg(F.sum(words)).first()[0] or 0) > block_words:
+        bench = cut(occurring(docs, bench, text_col, size))
+    sent = [sc.broadcast(block) for block in benchmark_blocks(bench, "item", "text", size, block_words)]
 
     def make():
         def apply(texts):

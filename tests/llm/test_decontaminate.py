@@ -56,6 +56,20 @@ def test_all_documents(spark, sf, block_words):
         assert sum(len(dec.words_of(texts[r.doc_id][c.start : c.end])) for c in r["chars"]) == len(hit)
 
 
+def test_a_large_benchmark_leaves_what_occurs(spark, monkeypatch):
+    """Of a benchmark of many blocks, one block of what the documents hold is sent; shorter items and null ids are kept."""
+    items = [(i, long_text(120, 10_000 + i)) for i in range(300)] + [(None, long_text(90, 7)), (900, "three little words"), (901, "little absent"), (902, None)]
+    docs = [(k, long_text(200, 50 + k) + " " + " ".join(items[5 * k][1].upper().split()[20:60]) + " " + long_text(40, 90 + k)) for k in range(12)]
+    docs += [(50, long_text(90, 7)), (51, "x Three, little WORDS y"), (52, None)]
+    made = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    sent, blocks = [], dec.benchmark_blocks
+    monkeypatch.setattr(dec, "benchmark_blocks", lambda *a: sent.extend(x := list(blocks(*a))) or x)
+    few = {r.doc_id: tuple(r) for r in dec.contamination(*made, block_words=3000).collect()}
+    assert len(sent) == 1 and sum(len(w) for _, w in sent[0]) < 800
+    assert few == {r.doc_id: tuple(r) for r in dec.contamination(*made).collect()}
+    assert few[50][2] == 90 and few[51][2:4] == (3, 1)
+
+
 def test_items_longer_than_a_block(spark):
     item = long_text(500, 3)
     docs = [(1, long_text(20, 9) + " " + " ".join(item.split()[90:110])), (2, item.upper()), (3, " ".join(item.split()[:12]))]
