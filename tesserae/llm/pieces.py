@@ -10,6 +10,7 @@ the library finds before it does anything else, so each piece is encoded as if b
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -28,6 +29,9 @@ SLICE_BYTES = 4 << 20
 REMEMBERED, REMEMBERED_CHARS = 600_000, 16 << 20
 #: Pieces in one text for the library, and characters in one call of it.
 RUN, CALL_CHARS = 200, 256 << 10
+#: The pattern and the normalisers of vocabularies whose texts can be split as above; texts of others are encoded whole.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 #: What is split off at a piece's end.
 _TAIL, _TAILED, _LONG = ".,", r"[A-Za-z][.,]+$", r"[.,]{2}$"
 
@@ -45,14 +49,23 @@ def _batches(texts: list[str]) -> Iterator[list[str]]:
         yield held
 
 
+def splits(library: Tokenizer) -> bool:
+    """Whether a tokenizer drops white space and parts letters from signs, so that its texts can be split into pieces."""
+    spec = json.loads(library.to_str())
+    flat = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+    first = next(iter(flat(spec["pre_tokenizer"], "pretokenizers")), {})
+    by_pattern = first.get("type") == "Split" and first["pattern"] == {"Regex": _PATTERN} and (first["behavior"], first["invert"]) == ("Removed", True)
+    return by_pattern and flat(spec["normalizer"], "normalizers") == _NORMALISERS
+
+
 class Pieces:
-    """Encodes texts by a tokenizers .json file; see the module."""
+    """Encodes texts by a tokenizers .json file; see the module. A file of another kind is taken by the library, text by text."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.remembered = remembered
+        self.remembered, self.parted = remembered, splits(self.library)
         added = self.library.get_added_tokens_decoder()
         self.special = [t.content for t in added.values()]
         # A special token that is found before anything else is done to a text parts it for good.
@@ -129,12 +142,22 @@ class Pieces:
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """How many ids each text has. Null is empty."""
+        if not self.parted:
+            return np.array([len(x) for x in self._whole(texts)], np.int64)
         bounds, which = self._numbered(texts)
         upto = np.concatenate([[0], np.cumsum(self.number[which])])
         return np.diff(upto[bounds])
 
+    def _whole(self, texts: pa.Array) -> list[np.ndarray]:
+        out = []
+        for some in _batches([t or "" for t in texts.to_pylist()]):
+            out += [np.array(e.ids, np.uint32) for e in self.library.encode_batch(some, add_special_tokens=False)]
+        return out
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids, unsigned 32-bit. Null is empty."""
+        if not self.parted:
+            return self._whole(texts)
         bounds, which = self._numbered(texts)
         which, kept = which[which > 0], np.concatenate([[0], np.cumsum(which > 0)])
         bounds = kept[bounds]

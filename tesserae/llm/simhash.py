@@ -205,7 +205,7 @@ def links(fps: DataFrame, distance: int = 4, bucket_limit: int = BUCKET_LIMIT) -
     Two fingerprints are within distance exactly if one value lies within half
     of it, rounded up, from one and half, rounded down, from the other; joining
     each member's surroundings to the smallest member there keeps components
-    whole with rows in proportion to the members. Odd distances verify the pair.
+    whole with rows in proportion to the members.
     """
     spark = fps.sparkSession
     reachable(spark)
@@ -250,12 +250,12 @@ def links(fps: DataFrame, distance: int = 4, bucket_limit: int = BUCKET_LIMIT) -
 
 def midpoint_links(fps: DataFrame, distance: int) -> DataFrame:
     """Connecting pairs by shared midpoints: exact components at any density, no pairs of a group."""
-    if distance % 2:
-        raise ValueError("midpoints need an even distance")
-    ball = [_signed(_mask(c)) for k in range(distance // 2 + 1) for c in itertools.combinations(range(BITS), k)]
-    around = fps.select("fp", F.explode(F.lit(ball)).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
-    least = around.groupBy("z").agg(F.min("fp").alias("m"), F.count("*").alias("c")).where("c > 1").drop("c")
-    return around.join(least, "z").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
+    around = lambda r: fps.select("fp", F.explode(F.lit([_signed(_mask(c)) for k in range(r + 1) for c in itertools.combinations(range(BITS), k)])).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("z"))
+    near, far = around(distance // 2), around((distance + 1) // 2)
+    least = near.groupBy("z").agg(F.min("fp").alias("m"), F.count("*").alias("c"))
+    # All that lie within the larger half of a value are within distance of the least one within the smaller half.
+    least = (least if distance % 2 else least.where("c > 1")).drop("c")
+    return far.join(least, "z").where("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:

@@ -80,6 +80,18 @@ def test_links_connect_what_pairs_connect(spark, limit):
     assert same(got) == same(want)
 
 
+@pytest.mark.parametrize("limit", [20_000, 2])
+@pytest.mark.parametrize("distance", [1, 3])
+def test_odd_distances(spark, distance, limit):
+    """In crowded buckets too: the least value in the smaller half is met by all in the larger one."""
+    fps = planted(60, 11)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    roots = dict(components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp bigint"), distance, limit)).collect())
+    want = brute_components(list(enumerate(fps)), lambda a, b: (a ^ b).bit_count() <= distance)
+    same = lambda xs: [xs.index(x) for x in xs]
+    assert same([roots.get(f, f) for f in signed]) == same(want)
+
+
 @pytest.mark.parametrize("n", [10, 10_000, 10**6, 10**9, 10**11])
 def test_plan_keeps_the_pigeonhole_bound(n):
     order = simhash.bit_order(np.eye(64).ravel() * n / 2 + n / 4, n)

@@ -141,3 +141,13 @@ def test_single_ids_decode_to_raw_bytes():
     enc = byte_bpe.encoding(public_tokenizers.path(byte_bpe.RANKS))
     ids = enc.encode_ordinary("東🙂")
     assert b"".join(byte_bpe.decode(enc, byte_bpe.packed([i])) for i in ids) == "東🙂".encode()
+
+
+def test_other_vocabularies_are_encoded_whole():
+    """A byte-level file keeps spaces in its pieces, so its texts are not split."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, library = Pieces(path), Tokenizer.from_file(path)
+    texts = [None, "", "Two  words, and more.\n\tLines here.", long_text(300), "<|endoftext|> x"]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not own.parted and pieces(PATH).parted
+    assert [x.tolist() for x in own.encode(pa.array(texts))] == want and own.counts(pa.array(texts)).tolist() == list(map(len, want))
