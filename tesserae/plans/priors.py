@@ -195,6 +195,13 @@ def v08(spark, sf):
     return V.principal(bank(spark, sf), "vec_id", "embedding", 8)
 
 
+@query("v08_principal_energy", f"WITH n AS (SELECT vec_id, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT i, avg(x) AS m FROM n GROUP BY 1) SELECT vec_id, {r('sum((x - m) * (x - m))', 'energy')} FROM n JOIN m USING (i) GROUP BY 1")
+def v08_energy(spark, sf):
+    """All principal axes together keep each vector's distance from the mean, whatever their signs."""
+    t = V.principal(bank(spark, sf), "vec_id", "embedding", 64)
+    return t.select("vec_id", V.dot(F.col("components"), F.col("components")).alias("energy"))
+
+
 @query("v09_concatenated", f"SELECT vec_id, CAST(128 AS INT) AS n, {r('list_sum(embedding) * 2', 's')} FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
 def v09(spark, sf):
     b = bank(spark, sf).select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))

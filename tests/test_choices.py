@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import orders
 from tesserae.operators import compose, curation
 
 
@@ -26,6 +27,16 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert curation.weighted_draws(made.where("w <= 0"), F.col("w"), 10, "key").count() == 0
 
 
+def test_places_of_small_and_large_groups(spark, monkeypatch):
+    """Groups that one task orders and such that hash prefixes part have the same places."""
+    rows = spark.createDataFrame([(i % 7 if i % 11 else None, i) for i in range(2000)], "g int, k int").repartition(5)
+    found = []
+    for few in (orders.FEW_ROWS, 0):
+        monkeypatch.setattr(orders, "FEW_ROWS", few)
+        found.append(sorted(map(tuple, orders.places(rows, ["g"], "k").collect()), key=str))
+    assert found[0] == found[1] and len(found[0]) == 2000
+
+
 def plain_greedy(probs, k, least):
     """All gains computed anew in each step."""
     covered, steps = np.zeros(probs.shape[1]), []
