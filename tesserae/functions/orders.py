@@ -10,8 +10,8 @@ from pyspark.sql.window import Window
 
 from tesserae.functions.lineage import cut
 
-#: Parts of a range that are counted at a time, values that are put in order at once, and rows of a group that one task orders.
-PARTS, FEW_VALUES, FEW_ROWS = 4096, 100_000, 250_000
+#: Parts of a range that are counted at a time, values that are put in order at once, and rows of a prefix.
+PARTS, FEW_VALUES, FEW_ROWS = 4096, 100_000, 20_000
 
 
 def shuffle_key(key: Column | str, seed: int = 42) -> Column:
@@ -27,17 +27,13 @@ def hashed(*parts: Column) -> Column:
 def places(df: DataFrame, groups: list[str], key: str, seed: int = 42, place: str = "__at", size: str = "__of") -> DataFrame:
     """df with each row's place, from 1, in its group's reproducible random order, and the group's size.
 
-    Groups are counted first. Where all are small, each is ordered as it is. Otherwise rows are counted by group and hash
-    prefix; a row's place is the sum of the counts
-    before its prefix and its rank inside it. So a group that holds most rows is
-    ordered by 65,536 tasks' worth of prefixes. Null groups are groups.
+    Rows are counted by group and hash prefix; a row's place is the sum of the counts
+    before its prefix and its rank inside it. Prefixes are as long as the largest group asks for, up to
+    65,536 of them, so a group that holds most rows is ordered by many tasks. Null groups are groups.
     """
-    t = df.withColumn("__h", shuffle_key(key, seed))
-    if groups and (df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0) <= FEW_ROWS:
-        own = Window.partitionBy(*groups)
-        t = t.withColumn(place, F.row_number().over(own.orderBy("__h", key)).cast("bigint")).withColumn(size, F.count("*").over(own))
-        return t.select(*df.columns, place, size)
-    t = t.withColumn("__p", F.substring("__h", 1, 4))
+    most = df.groupBy(*groups).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    digits = next((d for d in range(1, 4) if most <= FEW_ROWS * 16**d), 4)
+    t = df.withColumn("__h", shuffle_key(key, seed)).withColumn("__p", F.substring("__h", 1, digits))
     per = t.groupBy(*groups, "__p").agg(F.count("*").alias("__c"))
     whole = Window.partitionBy(*groups)
     per = per.withColumn(size, F.sum("__c").over(whole)).withColumn("__before", F.sum("__c").over(whole.orderBy("__p")) - F.col("__c"))

@@ -109,23 +109,26 @@ def _cells(side: DataFrame, pivots: np.ndarray) -> DataFrame:
 def near_vectors(a: DataFrame, b: DataFrame, least: float | None, out: str = "cosine", numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """(a's key, b's key, out): every pair of unit vectors whose dot product is `least` or more; all pairs if least is None.
 
-    a and b have two columns each, a key and an array<double> of one length, of length 1 or all zeros; rows without a vector
-    have no pairs. Keys' names must differ. A block has `numbers` numbers at most, on average, whatever its cell holds.
+    a and b have two columns each, a key and an array<double>, all of the same size; rows without a vector have no pairs. Vectors of
+    another length than 1, but for zeros, are found by a count, and then nothing is pruned. Keys' names must differ. A block has `numbers` numbers at most, on average, whatever its cell holds.
     """
     spark = a.sparkSession
     names = [a.columns[0], b.columns[0]]
     sides = [cut(df.select(F.col(df.columns[0]), F.col(df.columns[1]).cast("array<double>").alias("v")).where("v is not null")) for df in (a, b)]
     kinds = [df.dtypes[0][1] for df in sides]
     schema = f"`{names[0]}` {kinds[0]}, `{names[1]}` {kinds[1]}, `{out}` double"
-    width = sides[1].agg(F.max(F.size("v"))).first()[0]
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    about = [df.agg(F.max(F.size("v")).alias("width"), F.max(F.when(norm > 0, F.abs(norm - 1))).alias("off")).first() for df in sides]
+    width = about[1]["width"]
     if not width:
         return spark.createDataFrame([], schema)
+    unit = all((r["off"] or 0.0) < SLIP / 10 for r in about)
     drawn = sides[0].select("v").union(sides[1].select("v")).where(F.exists("v", lambda x: x != 0)).orderBy(F.xxhash64("v")).limit(PIVOTS).collect()
     pivots = np.array([r.v for r in drawn], float).reshape(-1, width) if drawn else np.eye(1, width)
     sides = [_cells(df, pivots) for df in sides]
     of = [{r["cell"]: (-(-r["n"] * width // numbers), r["far"]) for r in df.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("far")).collect()} for df in sides]
     apart = angles(pivots, pivots)
-    limit = math.pi if least is None or least <= 0 else math.acos(min(1.0, least)) + SLIP
+    limit = math.pi if least is None or least <= 0 or not unit else math.acos(min(1.0, least)) + SLIP
     met = [(x, y) for x in of[0] for y in of[1] if apart[x, y] - of[0][x][1] - of[1][y][1] <= limit]  # 64 x 64 at most
     routes = [[[y for i, y in met if i == c] for c in range(len(pivots))], [[x for x, j in met if j == c] for c in range(len(pivots))]]
     parts = [[of[s].get(c, (1, 0))[0] for c in range(len(pivots))] for s in (0, 1)]
@@ -145,7 +148,7 @@ def near_vectors(a: DataFrame, b: DataFrame, least: float | None, out: str = "co
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         made = [pa.table([pa.array([], t) for t in arrow.types], schema=arrow)]
         x, y = matrix(left.column("v")), matrix(right.column("v"))
-        for i, j, p, _ in pruned_products(x, y, pivots, least):
+        for i, j, p, _ in pruned_products(x, y, pivots if unit else pivots[:0], least):
             made.append(pa.table([left.column(names[0]).take(pa.array(i)).cast(arrow.types[0]), right.column(names[1]).take(pa.array(j)).cast(arrow.types[1]), pa.array(p)], schema=arrow))
         return pa.concat_tables(made)
 

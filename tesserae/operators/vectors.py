@@ -50,17 +50,17 @@ def against_all(a: DataFrame, b: DataFrame, rows: int = 2_000) -> DataFrame:
     return spread(a, "__x", nx, "__y", ny).join(spread(b, "__y", ny, "__x", nx), ["__x", "__y"]).drop("__x", "__y")
 
 
-def products(queries: DataFrame, key: str, vector: str, bank: DataFrame, name: str, column: str, out: str, least: float | None = None, sent: int = SENT_NUMBERS) -> DataFrame:
+def products(queries: DataFrame, key: str, vector: str, bank: DataFrame, name: str, column: str, out: str, least: float | None = None, sent: int | None = None) -> DataFrame:
     """(key, name, out): the dot product of every query with every vector of a bank, or those from `least` on.
 
     The bank is a stated set such as class prototypes. It is counted first: up to
-    `sent` numbers it is sent as one matrix and batches of queries are multiplied
-    with it, beyond that both sides meet in a grid of blocks (near_vectors), which with `least` needs vectors of length 1.
+    `sent` numbers, by default SENT_NUMBERS, it is sent as one matrix and batches of queries are multiplied
+    with it, beyond that both sides meet in a grid of blocks (near_vectors).
     Null vectors have no products.
     """
     bank = cut(bank.select(name, column).where(F.col(column).isNotNull()))
     n, width = bank.agg(F.count("*"), F.coalesce(F.max(F.size(column)), F.lit(0))).first()
-    if n * width > sent:
+    if n * width > (SENT_NUMBERS if sent is None else sent):
         return near_vectors(queries.select(key, vector), bank, least, out)
     rows = bank.orderBy(name).collect()
     kinds = dict(queries.dtypes) | {name: dict(bank.dtypes)[name]}

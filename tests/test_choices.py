@@ -28,7 +28,7 @@ def test_draws_do_not_depend_on_partitions(spark):
 
 
 def test_places_of_small_and_large_groups(spark, monkeypatch):
-    """Groups that one task orders and such that hash prefixes part have the same places."""
+    """Short and long prefixes give the same places."""
     rows = spark.createDataFrame([(i % 7 if i % 11 else None, i) for i in range(2000)], "g int, k int").repartition(5)
     found = []
     for few in (orders.FEW_ROWS, 0):
