@@ -4,7 +4,8 @@ The vocabulary drops white space before its merges and parts letters from signs,
 can be split at spaces, tabs and line ends, and before the full stops and commas that end
 a piece after an ASCII letter: a text's ids are the ids of these pieces, in order. Arrow
 splits a batch's texts and numbers the distinct pieces; only those that the worker has not
-met are encoded, by the library alone: in runs with a special token between pieces, which
+met are encoded, by the library alone: pieces of letters by its BPE model, to which they come as one word
+whatever else the library does; others in runs with a special token between pieces, which
 the library finds before it does anything else, so each piece is encoded as if by itself.
 """
 
@@ -12,7 +13,9 @@ from __future__ import annotations
 
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,9 @@ RUN, CALL_CHARS = 200, 256 << 10
 #: The pattern and the normalisers of vocabularies whose texts can be split as above; texts of others are encoded whole.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The signs that stand for bytes: printable ones for themselves, the others in order from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 #: What is split off at a piece's end.
 _TAIL, _TAILED, _LONG = ".,", r"[A-Za-z][.,]+$", r"[.,]{2}$"
 
@@ -53,8 +59,11 @@ def splits(library: Tokenizer) -> bool:
     """Whether a tokenizer drops white space and parts letters from signs, so that its texts can be split into pieces."""
     spec = json.loads(library.to_str())
     flat = lambda x, inner: [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
-    first = next(iter(flat(spec["pre_tokenizer"], "pretokenizers")), {})
-    by_pattern = first.get("type") == "Split" and first["pattern"] == {"Regex": _PATTERN} and (first["behavior"], first["invert"]) == ("Removed", True)
+    steps = flat(spec["pre_tokenizer"], "pretokenizers")
+    if [x["type"] for x in steps] != ["Split", "ByteLevel"] or spec["model"]["type"] != "BPE":
+        return False
+    first, second = steps
+    by_pattern = first["pattern"] == {"Regex": _PATTERN} and (first["behavior"], first["invert"]) == ("Removed", True) and not second["add_prefix_space"] and not second["use_regex"]
     return by_pattern and flat(spec["normalizer"], "normalizers") == _NORMALISERS
 
 
@@ -78,15 +87,36 @@ class Pieces:
         self.known, self.chars, self.at = {"": 0}, 0, 0
         self.ids, self.start, self.number = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def _words(self, new: list[str]) -> tuple[list[str], list[np.ndarray]]:
+        """The pieces that are one word of letters in normal form, and their ids."""
+        found, flat = [], []
+        tokenize = self.library.model.tokenize
+        for p in new:
+            if not p.isalpha():
+                continue
+            if p.isascii():
+                word = p.lower()
+            elif p.islower() and unicodedata.is_normalized("NFC", p):  # what changes case beyond ASCII is left to the library
+                word = "".join(map(_SIGNS.__getitem__, p.encode()))
+            else:
+                continue
+            found.append(p)
+            flat.append([t.id for t in tokenize(word)])
+        return found, flat
+
     def _learn(self, new: list[str]) -> None:
-        """Encodes pieces that are not known: in runs with a special token between them, or by themselves."""
+        """Encodes pieces that are not known: words by the model, others in runs with a special token between them, or by themselves."""
+        words, word_ids = self._words(new)
+        if words:
+            as_words = set(words)
+            new = [p for p in new if p not in as_words]
         some = set(self.special) and set.intersection(*map(set, self.special))
         sign = min(some, default="")  # a sign that all special tokens have, so most pieces take one look
         alone = [p for p in new if not self.between or sign in p and any(t in p for t in self.special)]
         if alone:
             with_special = set(alone)
             new = [p for p in new if p not in with_special]
-        flat, sizes = [], []
+        flat, sizes = [], [np.fromiter(map(len, word_ids), np.int64, len(words))]
         for texts in _batches([self.between.join(new[i : i + RUN]) for i in range(0, len(new), RUN)]):
             for e in self.library.encode_batch_fast(texts, add_special_tokens=False):
                 flat.append(np.array([*e.ids, self.mark], np.uint32))
@@ -101,8 +131,9 @@ class Pieces:
             found = [np.array(e.ids, np.uint32) for e in self.library.encode_batch(texts, add_special_tokens=False)]
             sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
             flat += found
+        flat = [np.fromiter(chain.from_iterable(word_ids), np.uint32), *flat]
         sizes = np.concatenate(sizes)
-        for k, p in enumerate([*new, *alone], len(self.known)):
+        for k, p in enumerate([*words, *new, *alone], len(self.known)):
             self.known[p] = k
             self.chars += len(p)
         self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(sizes) - sizes])
