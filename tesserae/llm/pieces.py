@@ -4,8 +4,8 @@ The vocabulary drops white space before its merges and parts letters from signs,
 can be split at spaces, tabs and line ends, and before the full stops and commas that end
 a piece after an ASCII letter: a text's ids are the ids of these pieces, in order. Arrow
 splits a batch's texts and numbers the distinct pieces; only those that the worker has not
-met are encoded, by the library alone: pieces of letters by its BPE model, to which they come as one word
-whatever else the library does; others in runs with a special token between pieces, which
+met are encoded, by the library alone: printable ASCII and letters by its BPE model, word by word as its
+pattern parts them; others in runs with a special token between pieces, which
 the library finds before it does anything else, so each piece is encoded as if by itself.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -35,6 +36,8 @@ RUN, CALL_CHARS = 200, 256 << 10
 #: The pattern and the normalisers of vocabularies whose texts can be split as above; texts of others are encoded whole.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: The pattern on printable ASCII in lower case.
+_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 #: The signs that stand for bytes: printable ones for themselves, the others in order from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
@@ -85,23 +88,31 @@ class Pieces:
     def _forget(self) -> None:
         """No piece but the empty one, number 0."""
         self.known, self.chars, self.at = {"": 0}, 0, 0
+        self.parts: dict[str, list[int]] = {}
         self.ids, self.start, self.number = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def _words(self, new: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        """The pieces that are one word of letters in normal form, and their ids."""
-        found, flat = [], []
+    def _words(self, new: list[str]) -> tuple[list[str], list[list[int]]]:
+        """The pieces whose words the model can take one by one, and their ids: printable ASCII, and letters in normal form."""
+        found, flat, known = [], [], self.parts
         tokenize = self.library.model.tokenize
         for p in new:
-            if not p.isalpha():
-                continue
             if p.isascii():
-                word = p.lower()
-            elif p.islower() and unicodedata.is_normalized("NFC", p):  # what changes case beyond ASCII is left to the library
-                word = "".join(map(_SIGNS.__getitem__, p.encode()))
+                if not p.isprintable() or any(t in p for t in self.special if t[0] in p):
+                    continue
+                words = [p.lower()] if p.isalpha() else _PARTS.findall(p.lower())
+            elif p.isalpha() and p.islower() and unicodedata.is_normalized("NFC", p):  # what changes case beyond ASCII is left to the library
+                words = ["".join(map(_SIGNS.__getitem__, p.encode()))]
             else:
                 continue
+            ids: list[int] = []
+            for w in words:
+                if (own := known.get(w)) is None:
+                    own = [t.id for t in tokenize(w)]
+                    if len(w) <= 3:  # digits, signs and endings come again and again
+                        known[w] = own
+                ids += own
             found.append(p)
-            flat.append([t.id for t in tokenize(word)])
+            flat.append(ids)
         return found, flat
 
     def _learn(self, new: list[str]) -> None:
