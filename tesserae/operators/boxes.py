@@ -62,12 +62,12 @@ def centred_grid(images: DataFrame, scale: float, n: int = 4) -> DataFrame:
     """n x n cells of the central part of an image at a scale, one pixel wide at least."""
     W, H = _size()  # noqa: N806
     sw, sh = _even(W * scale), _even(H * scale)
-    ox, oy = F.floor((W - sw) / 2), F.floor((H - sh) / 2)
-    cw, ch = sw / n, sh / n
-    t = _boxes(images, F.array(*[_box(ox + c * cw, oy + r * ch, ox + (c + 1) * cw, oy + (r + 1) * ch) for r, c in _cells(n)]), f"centred_{n}x{n}", clip=False)
-    sized = t.join(images, "image_id")
+    cells = images.select("image_id", "width", "height", sw.alias("sw"), sh.alias("sh"), F.explode(F.sequence(F.lit(0), F.lit(n * n - 1))).alias("tile_id"))
+    r, c = F.floor(F.col("tile_id") / n), F.col("tile_id") % n
+    side = lambda whole, part, i: _even(F.floor((whole - F.col(part)) / 2) + i * (F.col(part) / n))
+    t = cells.select("image_id", F.lit(f"centred_{n}x{n}").alias("mode"), "tile_id", "width", "height", side(W, "sw", c).alias("x0"), side(H, "sh", r).alias("y0"), side(W, "sw", c + 1).alias("x1"), side(H, "sh", r + 1).alias("y1"))
     wide = lambda low, high, most: F.greatest(F.col(low) + 1, F.least(most, F.col(high))).cast("int").alias(high)
-    return sized.select("image_id", "mode", "tile_id", "x0", "y0", wide("x0", "x1", W), wide("y0", "y1", H))
+    return t.select("image_id", "mode", "tile_id", "x0", "y0", wide("x0", "x1", W), wide("y0", "y1", H))
 
 
 def centre_crop(images: DataFrame, size: int) -> DataFrame:

@@ -328,3 +328,8 @@ def test_stale_transitions_against_gaps(spark, sf):
     cut = {(run, rank) for run, rank, _ in got}
     assert len(cut) == len(got)
     assert {(a, b, c.replace(microsecond=c.microsecond // 1000 * 1000)) for a, b, c in silent} <= got
+
+
+def test_tilings_hold_no_table_of_images(spark, sf):
+    """Sizes go along with the boxes: no tiling joins the images again, however many there are."""
+    assert "Join" not in RUN["f01_tiling_registry"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
