@@ -333,3 +333,10 @@ def test_stale_transitions_against_gaps(spark, sf):
 def test_tilings_hold_no_table_of_images(spark, sf):
     """Sizes go along with the boxes: no tiling joins the images again, however many there are."""
     assert "Join" not in RUN["f01_tiling_registry"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_centred_cells_of_repeated_images(spark):
+    """Every row of images has its own cells, also one that comes twice or has no id."""
+    im = spark.createDataFrame([(1, 100, 60), (1, 100, 60), (None, 3, 2)], "image_id int, width int, height int")
+    got = boxes.centred_grid(im, 0.8, 2)
+    assert sorted(((r.image_id, r.tile_id, r.x0, r.y0, r.x1, r.y1) for r in got.collect()), key=str)[::2] == [(1, 0, 10, 6, 50, 30), (1, 1, 50, 6, 90, 30), (1, 2, 10, 30, 50, 54), (1, 3, 50, 30, 90, 54), (None, 0, 0, 0, 1, 1), (None, 2, 0, 1, 1, 2)]
