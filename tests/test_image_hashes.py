@@ -36,6 +36,26 @@ def test_near_hashes(spark, monkeypatch, bits, slack, crowded):
     assert H.near_hashes(frame([]), frame(right), bits, slack=slack).count() == 0
 
 
+@pytest.mark.parametrize(("side", "bits"), [(8, 24), (2, 24), (16, 10)])
+def test_enlarged_pictures(spark, monkeypatch, side, bits):
+    """Hashes of pictures of few pixels have each of their bits many times; the tables' entries do not grow with the copies of a bit."""
+    made, keep = [0], H.cut
+    monkeypatch.setattr(H, "cut", lambda df: made.append((out := keep(df)).count()) or out)
+    rng, k = random.Random(side), 16 // side
+
+    def enlarged(n):
+        base = rng.getrandbits(side * side)
+        pixels = [base ^ sum(1 << rng.randrange(side * side) for _ in range(rng.randint(0, 8))) if i % 2 else rng.getrandbits(side * side) for i in range(n)]
+        at = [(y // k) * side + x // k for y in range(16) for x in range(16)]
+        return [f"{int(''.join(str(p >> i & 1) for i in at), 2):064x}" for p in pixels]
+
+    left, right = enlarged(300), enlarged(300)
+    frame = lambda x: spark.createDataFrame([(h,) for h in x], "h string")
+    got = H.near_hashes(frame(left), frame([*right, *left[:50]]), bits, crowded=100)
+    assert sorted(map(tuple, got.collect())) == brute(left, [*right, *left[:50]], bits)
+    assert sum(made) < 300 * 1000
+
+
 def test_too_many_bits(spark):
     with pytest.raises(ValueError, match="do not fit"):
         H.near_hashes(spark.createDataFrame([("0",)], "h string"), spark.createDataFrame([("0",)], "h string"), 62)
