@@ -1,7 +1,8 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands find candidates, sets decide.
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash bands find candidates, sets decide.
 
 A text is the set of its five-word shingles, as 64-bit hashes. Rows with the same set are
-one node. Nodes that agree in all ROWS least values of one of BANDS bands are candidates:
+one node. Nodes whose SimHash fingerprints are linked by the generalised pigeonhole of simhash.py are
+candidates. Many similar sets have fingerprints further apart, so bands find the others: nodes that agree in all ROWS least values of one of BANDS bands are candidates:
 two sets of similarity s are missed with a chance of (1 - s^ROWS)^BANDS, 5e-8 at 0.8 and less
 above. A pair is a link if the exact similarity of its sets is LEAST or more.
 """
@@ -13,6 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm import simhash
 from tesserae.llm.common import cut, map_texts
 from tesserae.llm.components import components
 
@@ -23,6 +25,8 @@ LEAST = (4, 5)
 BROADCAST_ROWS, BROADCAST_HASHES = 100_000, 2 << 20
 #: Shingles that so many open nodes or fewer have lead to the pairs that share them.
 RARE = 8
+#: Differing bits at which fingerprints are linked, and parts of a set whose shingles are counted for a bound.
+DISTANCE, PARTS = 4, 64
 _DRAWN = np.random.default_rng(20).integers(0, 1 << 32, (2, 1, BANDS * ROWS), dtype=np.uint32)
 _TIMES, _PLUS = _DRAWN[0] | np.uint32(1), _DRAWN[1]
 
@@ -64,7 +68,7 @@ def _signed_texts():
         out = []
         for t in texts:
             found = shingles(t)
-            out.append((node(found), len(found), bands(found)))
+            out.append((node(found), len(found), bands(found), simhash._signed(simhash.signature(found)) if len(found) else 0))
         return out
 
     return apply
@@ -97,24 +101,46 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where((F.col("p") != F.col("q")) & near).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def _close(nodes: DataFrame) -> DataFrame:
+    """(p, q), structs of node, n and key, that connect the nodes whose fingerprints are linked."""
+    nodes = nodes.where("n > 0").select("fp", F.struct("node", "n", "key").alias("p"))
+    heads = cut(nodes.groupBy("fp").agg(F.min("p").alias("q")))
+    found = simhash.links(heads.select("fp"), DISTANCE)
+    apart = found.join(heads.select(F.col("fp").alias("a"), F.col("q").alias("p")), "a").join(heads.select(F.col("fp").alias("b"), "q"), "b")
+    return cut(nodes.join(heads, "fp").select("p", "q").unionByName(apart.select("p", "q")).where("p.node <> q.node"))
+
+
+def _counted(sets: DataFrame, lone: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, parts): of members' nodes, how many shingles that are not in lone stand in each of PARTS parts by hash."""
+    part = F.pmod("h", F.lit(PARTS)).alias("part")
+    of = _sent(cut(members.select("node").distinct()))
+    rows = sets.join(of, "node", "left_semi").select("node", F.explode("hashes").alias("h")).select("node", part, F.lit(1).alias("c"))
+    rows = rows.unionByName(lone.join(of, "node", "left_semi").select("node", part, F.lit(-1).alias("c")))
+    counts = rows.groupBy("node", "part").agg(F.sum("c").alias("c")).groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("part", "c"))).alias("m"))
+    return counts.select("node", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint")), lambda k: F.coalesce(F.col("m")[k], F.lit(0)).cast("int")).alias("parts"))
+
+
 def links(base: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """Nodes' components (node, root) over links; base has node, n, bands and key for each row.
 
-    In every bucket all members are held against one of them, drawn anew in each bucket, so
+    Nodes linked by fingerprints are held against each other. In every bucket all members are held against one of them, drawn anew in each bucket, so
     that large groups of near copies are joined in rows in proportion to their members. Where
     a bucket still has several components, shingles that no other open node has tell how much
     two nodes can share at most: nodes that can be alike to none are left out, the others are held
     against the one with the least share of such shingles. At last nodes of different
     components meet each other where they share a shingle that RARE nodes or fewer have, or
-    where they can be alike by their other shingles alone.
+    where they can be alike by their other shingles alone: by the lesser counts in each part of these, which
+    add up to what two sets can share at most.
     """
-    nodes = base.groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("bands").alias("bands"))
+    nodes = cut(base.groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
+    close = _close(nodes)
     members = cut(nodes.select("node", "n", "key", F.explode("bands").alias("bucket")))
     draw = F.xxhash64("bucket", "node")
     drawn = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), draw).alias("head")).where("c > 1")
     shared = cut(members.join(drawn.drop("c"), "bucket").select("bucket", "node", "n", "key", F.col("head.node").alias("q"), F.col("head.n").alias("nq")))
-    first = cut(_pairs(shared.select(F.col("node").alias("p"), F.col("n").alias("np"), "q", "nq")))
-    wanted = cut(shared.select("node", "n", "key").distinct())
+    first = shared.select(F.col("node").alias("p"), F.col("n").alias("np"), "q", "nq")
+    first = cut(_pairs(first.unionByName(close.select(F.col("p.node").alias("p"), F.col("p.n").alias("np"), F.col("q.node").alias("q"), F.col("q.n").alias("nq")))))
+    wanted = cut(shared.select("node", "n", "key").union(close.select("p.*")).union(close.select("q.*")).distinct())
     few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_HASHES
     texts = docs.join(_sent(wanted.select(F.col("key").alias(key_col)).distinct()), key_col, "left_semi")
     sets = cut(map_texts(texts, _set_texts, "node bigint, hashes array<bigint>", key_col, text_col).dropDuplicates(["node"]).drop(key_col))
@@ -136,12 +162,14 @@ def links(base: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> Data
     found = cut(found.union(_alike(second, sets, few)))
     roots = components(found)
     left = cut(_mixed(able.drop("root"), roots))
-    side = lambda t, by, x: t.select(by, *[F.col(c).alias(f"{c}{x}") for c in ("node", "n", "root", "e", "er")])
+    side = lambda t, by, x, own="e": t.select(by, *[F.col(c).alias(f"{c}{x}") for c in ("node", "n", "root", "er", own)])
     common = left.where(LEAST[1] * F.col("er") >= LEAST[0] * F.col("n"))
+    common = cut(common.join(_sent(cut(_counted(sets, lone, common))), "node"))
     tokens = lone.where("c > 1").select("node", "h").join(_sent(cut(left.drop("bucket").distinct())), "node")
-    in_common = side(common, "bucket", "p").join(side(common, "bucket", "q"), "bucket").where("nodep < nodeq and rootp <> rootq").where(_can_be_alike("np", "nq", "erp", "erq"))
+    shares = F.aggregate(F.zip_with("partsp", "partsq", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+    in_common = side(common, "bucket", "p", "parts").join(side(common, "bucket", "q", "parts"), "bucket").where("nodep < nodeq and rootp <> rootq").where(_can_be_alike("np", "nq", "erp", "erq")).where(sum(LEAST) * shares >= LEAST[0] * (F.col("np") + F.col("nq")))
     in_rare = side(tokens, "h", "p").join(side(tokens, "h", "q"), "h").where("nodep < nodeq and rootp <> rootq").where(_can_be_alike("np", "nq", "ep", "eq"))
-    both = in_common.drop("bucket").unionByName(in_rare.drop("h"))
+    both = in_common.select("nodep", "np", "nodeq", "nq").unionByName(in_rare.select("nodep", "np", "nodeq", "nq"))
     rest = _pairs(both.select(F.col("nodep").alias("p"), "np", F.col("nodeq").alias("q"), "nq"))
     more = cut(_alike(cut(rest.join(first.union(second), ["a", "b"], "left_anti")), sets, few))
     return components(found.union(more)) if more.count() else roots
@@ -171,7 +199,7 @@ def near_copies(docs: DataFrame, key_col: str, id_col: str = "doc_id", text_col:
     reachable over links. Null and wordless texts are alike; repeated rows each get a row; an
     empty table gives an empty result; other columns of docs are ignored.
     """
-    base = cut(map_texts(docs, _signed_texts, "node bigint, n int, bands array<bigint>", id_col, text_col, {"key": key_col}))
+    base = cut(map_texts(docs, _signed_texts, "node bigint, n int, bands array<bigint>, fp bigint", id_col, text_col, {"key": key_col}))
     firsts = cut(base.groupBy("node").agg(F.min(id_col).alias("first")))
     roots = links(base, docs, key_col, text_col)
     whole = cut(firsts.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))

@@ -45,6 +45,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         ends = np.cumsum(sizes + 1) - 1
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[i:j], 42) for i, j in zip((ends - sizes)[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return signature(hashes)
+
+
+def signature(hashes: list[int] | np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; there is one at least."""
     ones = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), 65536):
         part = np.array(hashes[k : k + 65536], dtype=np.uint64)

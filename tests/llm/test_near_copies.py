@@ -87,3 +87,22 @@ def test_large_group_of_unlike_copies(spark, monkeypatch):
         assert sorted((r.doc_id, r.component_id) for r in got) == sorted((d[0], c) for d, c in zip(docs, want, strict=True))
         assert 1 < len(set(want)) < n
     assert sum(counted[420]) < 4.5 * sum(counted[140]) and sum(counted[420]) < 420 * 30
+
+
+def test_pairs_of_unlike_members_are_not_made(spark, monkeypatch):
+    """Outsiders with few shingles of their own meet no member of a large group whose missing parts are others."""
+    made, keep = [], near_copies._pairs
+    monkeypatch.setattr(near_copies, "_pairs", lambda found: made.append(found.count()) or keep(found))
+    docs = star(420, 5)
+    near_copies.near_copies(spark.createDataFrame(docs, SCHEMA).withColumn("key", F.xxhash64("doc_id", "text")), "key").collect()
+    assert len(made) == 3 and made[2] < 420
+
+
+def test_fingerprints_find_candidates(spark, monkeypatch):
+    """Copies that share no band are found by their fingerprints, and sets decide: what is linked but not alike stays."""
+    monkeypatch.setattr(near_copies, "bands", lambda found: [])
+    long = long_text(800, 5)
+    docs = [(1, long, "en", "h", 1), (2, edited(long, 1, 3), "en", "h", 1), (3, "a a a a a a a a b", "en", "h", 1), (4, "a a a a a a a a b a a a a a a", "en", "h", 1), (5, None, "en", "h", 1)]
+    monkeypatch.setattr(near_copies, "DISTANCE", 12)
+    got = near_copies.near_copies(spark.createDataFrame(docs, SCHEMA).withColumn("key", F.xxhash64("doc_id", "text")), "key").collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)]
