@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tesserae.functions.lineage import cut
 from tesserae.functions.ordinals import numbered
 from tesserae.functions.orders import hashed, places, shuffle_key
 
 #: Parts of the largest weight in a line of draws; ten thousand million rows of that weight keep sums in 64 bits.
 LINE_PARTS = 1 << 29
+#: Rows of both sides that a task of propagated() sorts.
+TASK_ROWS = 500_000
 
 
 def align(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:
@@ -177,6 +180,24 @@ def support_and_query(df: DataFrame, group: str, order: list[Column], k: int, mo
     return t.withColumn("part", part).drop("__r")
 
 
+def propagated(visits: DataFrame, seen: DataFrame, least: float) -> DataFrame:
+    """(visit, species): what any visit of a plot has above `least`, for the plot's other visits; plots of one visit get none.
+
+    A visit is sure of a species if one of its rows is, so no maximum is taken, and what the visits have already is left out
+    as it stands. The pairs are counted before they are made, and dealt to as many tasks as their number asks for.
+    visits: (visit, plot); seen: (visit, species, p).
+    """
+    many = visits.groupBy("plot").agg(F.count("*").alias("n")).where("n > 1")
+    held = visits.hint("merge")
+    sure = seen.where(F.col("p") > least).select("visit", "species").join(held, "visit").select("plot", "species").distinct()
+    sure = cut(sure.join(many, "plot"))
+    rows = seen.count() + (sure.agg(F.sum("n")).first()[0] or 0)
+    tasks = max(visits.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    # The pairs follow the deal of the other side; dealt by themselves, Spark would deal them once more behind the join.
+    had = seen.select("visit", "species").repartition(tasks, "visit", "species").hint("merge")
+    return held.join(sure.drop("n"), "plot").select("visit", "species").join(had, ["visit", "species"], "left_anti")
+
+
 def class_weights(df: DataFrame, group: str, power: float) -> DataFrame:
     """(group, n, weight): weight n to the power -power."""
     return df.groupBy(group).agg(F.count("*").alias("n")).withColumn("weight", F.pow(F.col("n"), F.lit(-power)))

@@ -421,11 +421,9 @@ def w09(spark, sf):
 @query("w17_propagate", "WITH v AS (SELECT o_orderkey, o_custkey, l_suppkey, max(1 - l_discount) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3), many AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1), hi AS (SELECT DISTINCT o_custkey, l_suppkey FROM v WHERE p > 0.98) SELECT o_orderkey, hi.l_suppkey, round(CAST(0.96 AS DOUBLE), 6) AS p FROM orders JOIN hi USING (o_custkey) JOIN many USING (o_custkey) WHERE (o_orderkey, hi.l_suppkey) NOT IN (SELECT o_orderkey, l_suppkey FROM v)")
 def w17(spark, sf):
     """Species that any visit of a plot is sure of are added to its other visits."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    v = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_custkey", "l_suppkey").agg(F.max(1 - F.col("l_discount")).alias("p"))
-    many = o.groupBy("o_custkey").count().where("count > 1").select("o_custkey")
-    sure = v.where("p > 0.98").select("o_custkey", "l_suppkey").distinct().join(many, "o_custkey", "left_semi")
-    return o.join(sure, "o_custkey").join(v.select("o_orderkey", "l_suppkey"), ["o_orderkey", "l_suppkey"], "left_anti").select("o_orderkey", "l_suppkey", F.lit(0.96).alias("p"))
+    visits = table(spark, sf, "orders").select(F.col("o_orderkey").alias("visit"), F.col("o_custkey").alias("plot"))
+    seen = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("visit"), F.col("l_suppkey").alias("species"), (1 - F.col("l_discount")).alias("p"))
+    return C.propagated(visits, seen, 0.98).select(F.col("visit").alias("o_orderkey"), F.col("species").alias("l_suppkey"), F.lit(0.96).alias("p"))
 
 
 @query("u01_union_align", "SELECT source, kind, count(*) AS n FROM (SELECT l_returnflag AS source, l_linestatus AS kind FROM lineitem UNION ALL SELECT o_orderstatus, NULL FROM orders) GROUP BY 1, 2")

@@ -340,3 +340,15 @@ def test_centred_cells_of_repeated_images(spark):
     im = spark.createDataFrame([(1, 100, 60), (1, 100, 60), (None, 3, 2)], "image_id int, width int, height int")
     got = boxes.centred_grid(im, 0.8, 2)
     assert sorted(((r.image_id, r.tile_id, r.x0, r.y0, r.x1, r.y1) for r in got.collect()), key=str)[::2] == [(1, 0, 10, 6, 50, 30), (1, 1, 50, 6, 90, 30), (1, 2, 10, 30, 50, 54), (1, 3, 50, 30, 90, 54), (None, 0, 0, 0, 1, 1), (None, 2, 0, 1, 1, 2)]
+
+
+def test_added_species_take_no_table_of_maxima(spark, sf, monkeypatch):
+    """What visits have is left out as it stands, by tasks of so many rows; a plot of one visit, an unknown visit and a missing plot add nothing."""
+    plan = RUN["w17_propagate"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "max(" not in plan and "Join LeftAnti" in plan
+    monkeypatch.setattr(curation, "TASK_ROWS", 2)
+    visits = spark.createDataFrame([(1, 7), (2, 7), (3, 7), (4, 8), (5, None), (6, None)], "visit int, plot int")
+    seen = spark.createDataFrame([(1, 10, 0.99), (1, 10, 0.1), (2, 10, None), (2, 11, 1.0), (3, 12, 0.98), (4, 13, 1.0), (5, 14, 1.0), (9, 15, 1.0)], "visit int, species int, p double")
+    got = curation.propagated(visits, seen, 0.98)
+    assert sorted(map(tuple, got.collect())) == [(1, 11), (3, 10), (3, 11)]
+    assert got.rdd.getNumPartitions() == 7  # 6 pairs and 8 rows
