@@ -10,8 +10,10 @@ from pyspark.sql.window import Window
 
 from tesserae.functions.lineage import cut
 
-#: Parts of a range that are counted at a time, values that are put in order at once, and rows of a prefix.
-PARTS, FEW_VALUES, FEW_ROWS = 4096, 100_000, 20_000
+#: Parts of a range that are counted at a time, values that are put in order at once, rows of a prefix, and keys of a list.
+PARTS, FEW_VALUES, FEW_ROWS, LIST_KEYS = 4096, 100_000, 20_000, 1024
+#: Rows that a task puts in order where their number is known.
+TASK_ROWS = 500_000
 
 
 def shuffle_key(key: Column | str, seed: int = 42) -> Column:
@@ -44,6 +46,22 @@ def places(df: DataFrame, groups: list[str], key: str, seed: int = 42, place: st
     return out.select(*df.columns, place, size)
 
 
+def listed(df: DataFrame, group: str, key: str, rows: int, largest: int, seed: int = 42) -> DataFrame:
+    """(group, part, keys): each group's keys in the order of places(), in lists of LIST_KEYS; part 0 has the first.
+
+    The number of rows and the largest group's are known. Groups of FEW_ROWS or fewer are each ordered by one task, others by prefixes.
+    """
+    if largest <= FEW_ROWS:
+        # Hashes are taken behind the exchange, so they are not sent.
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+        t = df.select(group, key).repartition(tasks, group)
+        t = t.withColumn("__at", F.row_number().over(Window.partitionBy(group).orderBy(F.asc_nulls_last(shuffle_key(key, seed)), key)))
+    else:
+        t = places(df.select(group, key), [group], key, seed)
+    t = t.groupBy(group, F.floor((F.col("__at") - 1) / LIST_KEYS).alias("part")).agg(F.sort_array(F.collect_list(F.struct("__at", F.col(key).alias("k")))).alias("l"))
+    return t.select(group, "part", F.col("l.k").alias("keys"))
+
+
 def order_statistic(df: DataFrame, value: str, at: int) -> float | None:
     """The value at a place, from 0, in ascending order; null values are left out; None beyond the end.
 

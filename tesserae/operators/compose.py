@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.groups import solve_groups
 from tesserae.functions.lineage import cut
-from tesserae.functions.orders import hashed, places
+from tesserae.functions.orders import LIST_KEYS, hashed, listed, places
 
 #: Shares of mosaics of 1 to 5 species.
 MOSAIC_SHARES = (0.30, 0.30, 0.20, 0.12, 0.08)
@@ -28,24 +28,34 @@ def mosaic_plan(spark: SparkSession, manifest: DataFrame, n: int, shares: tuple[
     after them the places from its first draw on, so no species comes twice and every set of
     species can be drawn. Each species' images have places too, and one is drawn.
     """
-    classes = cut(places(manifest.select("species_id").distinct(), [], "species_id", seed, "code", "classes").select("species_id", F.col("code") - 1))
-    n_classes = classes.count()
+    per = cut(manifest.groupBy("species_id").agg(F.count("*").alias("n_images")))
+    classes = cut(places(per, [], "species_id", seed, "code", "classes").select("species_id", (F.col("code") - 1).alias("code"), "n_images"))
+    n_classes, rows, largest = classes.agg(F.count("*"), F.sum("n_images"), F.max("n_images")).first()
     kinds = dict(manifest.dtypes)
     if not n_classes:
         return spark.createDataFrame([], f"mosaic bigint, slot int, species_id {kinds['species_id']}, image {kinds['image']}")
-    classes = classes.toDF("species_id", "code")
     of = lambda what, *parts: hashed(F.lit(f"{seed}{what}"), *[p.cast("string") for p in parts])
     most, size = len(shares), F.lit(len(shares))
     for k in reversed(range(most - 1)):
         size = F.when(of("k", F.col("id")) / float(1 << 32) < sum(shares[: k + 1]), k + 1).otherwise(size)
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(2 * most - 1)), lambda j: of("c", F.col("id"), j) % n_classes)
-    rest = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: (F.get("drawn", F.lit(0)) + j) % n_classes)
-    m = spark.range(n).select(F.col("id"), F.least(size, F.lit(n_classes)).alias("size"), drawn.alias("drawn"))
-    m = m.select(F.col("id").alias("mosaic"), F.posexplode(F.slice(F.array_distinct(F.concat("drawn", rest)), F.lit(1), F.col("size"))).alias("slot", "code")).join(classes, "code")
-    images = places(manifest.select("species_id", "image"), ["species_id"], "image", seed, "pos", "of")
-    sizes = manifest.groupBy("species_id").agg(F.count("*").alias("n_images"))
-    m = m.join(sizes, "species_id").withColumn("pos", of("i", F.col("mosaic"), F.col("slot")) % F.col("n_images") + 1)
-    return m.join(images.select("species_id", "pos", "image"), ["species_id", "pos"]).select("mosaic", "slot", "species_id", "image")
+    draw = lambda j: of("c", F.col("id"), j) % n_classes
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(2 * most - 1)), draw)
+    rest = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: (F.get("first", F.lit(0)) + j) % n_classes)
+    # As many draws as the mosaic has species; the others are taken only where these are not all different.
+    first = F.slice(F.array(*[F.when(F.col("size") > j, draw(F.lit(j))) for j in range(most)]), F.lit(1), F.col("size"))
+    m = spark.range(n).select("id", F.least(size, F.lit(n_classes)).cast("int").alias("size")).select("id", "size", first.alias("first"))
+    codes = F.when(F.size(F.array_distinct("first")) == F.col("size"), F.col("first")).otherwise(F.slice(F.array_distinct(F.concat(drawn, rest)), F.lit(1), F.col("size")))
+    m = m.select(F.col("id").alias("mosaic"), F.posexplode(codes).alias("slot", "code"))
+    # A class goes along with its first list of images, so what is drawn meets it once; longer lists are met by those rows that need them.
+    lists = listed(manifest, "species_id", "image", rows, largest, seed)
+    known = classes.join(lists.where("part = 0").drop("part"), "species_id")
+    m = m.join(known, "code").withColumn("at", of("i", F.col("mosaic"), F.col("slot")) % F.col("n_images"))
+    image = lambda: F.get("keys", (F.col("at") % LIST_KEYS).cast("int"))
+    part = F.floor(F.col("at") / LIST_KEYS)
+    m = m.select("mosaic", "slot", "species_id", "at", F.when(part > 0, part).alias("part"), F.when(part == 0, image()).alias("image"))
+    if largest > LIST_KEYS:
+        m = m.join(lists.where("part > 0"), ["species_id", "part"], "left").withColumn("image", F.coalesce("image", image()))
+    return m.select("mosaic", "slot", "species_id", "image")
 
 
 def lazy_greedy(probs: np.ndarray, k: int, least: float) -> tuple[list[tuple[int, float]], int]:

@@ -14,12 +14,10 @@ from pyspark.sql.window import Window
 
 from tesserae.functions.lineage import cut
 from tesserae.functions.ordinals import numbered
-from tesserae.functions.orders import hashed, places, shuffle_key
+from tesserae.functions.orders import TASK_ROWS, hashed, places, shuffle_key
 
 #: Parts of the largest weight in a line of draws; ten thousand million rows of that weight keep sums in 64 bits.
 LINE_PARTS = 1 << 29
-#: Rows of both sides that a task of propagated() sorts.
-TASK_ROWS = 500_000
 
 
 def align(df: DataFrame, columns: list[str], kind: str = "string") -> DataFrame:

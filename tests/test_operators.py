@@ -352,3 +352,25 @@ def test_added_species_take_no_table_of_maxima(spark, sf, monkeypatch):
     got = curation.propagated(visits, seen, 0.98)
     assert sorted(map(tuple, got.collect())) == [(1, 11), (3, 10), (3, 11)]
     assert got.rdd.getNumPartitions() == 7  # 6 pairs and 8 rows
+
+
+@pytest.mark.parametrize("few", [20_000, 2])
+def test_mosaics_meet_lists_of_images(spark, sf, monkeypatch, few):
+    """What is drawn meets its class and images in one join; with short lists, and in groups ordered by prefixes, the same images are drawn."""
+    from tesserae.functions import orders
+
+    assert RUN["w11_collage_plan"](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 2
+    rows = [(s, f"{s}-{i}") for s, n in enumerate((1, 2, 7, 12)) for i in range(n)]
+    m = spark.createDataFrame(rows, "species_id int, image string")
+    shares = (0, 0, 0.5, 0.3, 0.2)
+    want = sorted(map(tuple, compose.mosaic_plan(spark, m, 300, shares).collect()))
+    per = {}
+    for mosaic, _, species, image in want:
+        per.setdefault(mosaic, []).append(species)
+        assert image.startswith(f"{species}-")
+    assert all(len(set(x)) == len(x) for x in per.values()) and {len(x) for x in per.values()} == {3, 4}
+    assert {x[3] for x in want} == {i for _, i in rows}
+    monkeypatch.setattr(orders, "FEW_ROWS", few)
+    for module in (orders, compose):
+        monkeypatch.setattr(module, "LIST_KEYS", 3)
+    assert sorted(map(tuple, compose.mosaic_plan(spark, m, 300, shares).collect())) == want
