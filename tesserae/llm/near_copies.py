@@ -134,18 +134,17 @@ def links(base: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> Data
     """
     nodes = cut(base.groupBy("node").agg(F.first("n").alias("n"), F.min("key").alias("key"), F.first("bands").alias("bands"), F.first("fp").alias("fp")))
     close = _close(nodes)
-    members = cut(nodes.select("node", "n", "key", F.explode("bands").alias("bucket")))
+    members = nodes.select("node", "n", "key", F.explode("bands").alias("bucket"))
     draw = F.xxhash64("bucket", "node")
     drawn = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min_by(F.struct("node", "n"), draw).alias("head")).where("c > 1")
     shared = cut(members.join(drawn.drop("c"), "bucket").select("bucket", "node", "n", "key", F.col("head.node").alias("q"), F.col("head.n").alias("nq")))
     first = shared.select(F.col("node").alias("p"), F.col("n").alias("np"), "q", "nq")
     first = cut(_pairs(first.unionByName(close.select(F.col("p.node").alias("p"), F.col("p.n").alias("np"), F.col("q.node").alias("q"), F.col("q.n").alias("nq")))))
-    wanted = cut(shared.select("node", "n", "key").union(close.select("p.*")).union(close.select("q.*")).distinct())
+    wanted = cut(shared.select("node", "n", "key").union(close.select(F.inline(F.array("p", "q")))).distinct())
     few = (wanted.agg(F.sum("n")).first()[0] or 0) <= BROADCAST_HASHES
     texts = docs.join(_sent(wanted.select(F.col("key").alias(key_col)).distinct()), key_col, "left_semi")
     sets = cut(map_texts(texts, _set_texts, "node bigint, hashes array<bigint>", key_col, text_col).dropDuplicates(["node"]).drop(key_col))
-    found = cut(_alike(first, sets, few))
-    roots = components(found)
+    roots = components(_alike(first, sets, few))
     open_ = cut(_mixed(shared.select("bucket", "node", "n"), roots))
     if not open_.count():
         return roots
@@ -159,8 +158,7 @@ def links(base: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> Data
     heads = able.groupBy("bucket").agg(middle.alias("head")).select("bucket", "head.*")
     second = able.join(heads, "bucket").where("root <> rootq").where(_can_be_alike("n", "nq", "e", "eq")).select(F.col("node").alias("p"), F.col("n").alias("np"), F.col("nodeq").alias("q"), "nq")
     second = cut(_pairs(second).join(first, ["a", "b"], "left_anti"))
-    found = cut(found.union(_alike(second, sets, few)))
-    roots = components(found)
+    roots = _joined(roots, cut(_alike(second, sets, few)))
     left = cut(_mixed(able.drop("root"), roots))
     side = lambda t, by, x, own="e": t.select(by, *[F.col(c).alias(f"{c}{x}") for c in ("node", "n", "root", "er", own)])
     common = left.where(LEAST[1] * F.col("er") >= LEAST[0] * F.col("n"))
@@ -171,8 +169,12 @@ def links(base: DataFrame, docs: DataFrame, key_col: str, text_col: str) -> Data
     in_rare = side(tokens, "h", "p").join(side(tokens, "h", "q"), "h").where("nodep < nodeq and rootp <> rootq").where(_can_be_alike("np", "nq", "ep", "eq"))
     both = in_common.select("nodep", "np", "nodeq", "nq").unionByName(in_rare.select("nodep", "np", "nodeq", "nq"))
     rest = _pairs(both.select(F.col("nodep").alias("p"), "np", F.col("nodeq").alias("q"), "nq"))
-    more = cut(_alike(cut(rest.join(first.union(second), ["a", "b"], "left_anti")), sets, few))
-    return components(found.union(more)) if more.count() else roots
+    return _joined(roots, cut(_alike(cut(rest.join(first.union(second), ["a", "b"], "left_anti")), sets, few)))
+
+
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """roots (node, root) with more links: the links met so far are in the roots already."""
+    return components(roots.union(more)) if more.count() else roots
 
 
 def _mixed(members: DataFrame, roots: DataFrame) -> DataFrame:

@@ -230,17 +230,11 @@ def links(fps: DataFrame, distance: int = 4, bucket_limit: int = BUCKET_LIMIT) -
         return np.concatenate(out)
 
     segments = plan(order, _summed(fps, values, len(blocks) * size), n, distance)
-    probes = []
-    for i, (bits, t) in enumerate(segments):
-        keep = F.col("fp").bitwiseAND(F.lit(_signed(_mask(bits))))
-        flips = [_signed(_mask(c)) for k in range(t + 1) for c in itertools.combinations(bits, k)]
-        if len(flips) == 1:
-            probes.append(fps.select(F.lit(i).alias("seg"), keep.alias("sig"), "fp"))
-        else:
-            probes.append(fps.select(F.lit(i).alias("seg"), keep.alias("sig"), "fp", F.explode(F.lit(flips)).alias("f")).select("seg", F.col("sig").bitwiseXOR(F.col("f")).alias("sig"), "fp"))
-    probed = probes[0]
-    for p in probes[1:]:
-        probed = probed.union(p)
+    probes = [(i, _signed(_mask(bits)), _signed(_mask(c))) for i, (bits, t) in enumerate(segments) for k in range(t + 1) for c in itertools.combinations(bits, k)]
+    # One reading of the fingerprints for all segments.
+    seg, mask, flip = (F.lit(list(x)).cast("array<bigint>") for x in zip(*probes, strict=True))
+    each = fps.select("fp", F.inline(F.arrays_zip(seg, mask, flip)).alias("seg", "mask", "flip"))
+    probed = each.select("seg", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("sig"), "fp")
     # Half the value bits are hashed alike in every segment, so hash both columns.
     sizes = probed.groupBy("seg", "sig").agg(F.count("*").alias("members")).where(F.col("members") > bucket_limit)
     large = cut(sizes.select("seg", "sig"))

@@ -128,3 +128,23 @@ def test_shared_texts_stay_together(spark):
     text = long_text(300, 3)
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit(text).alias("text"))
     assert simhash.near_duplicates(docs).select("component_id").distinct().collect() == [(0,)]
+
+
+def test_settled_edges_take_no_round(spark, monkeypatch):
+    """Stars are seen as such by one count; two stars and an edge between them take rounds of one checkpoint each."""
+    from tesserae.llm import components as module
+
+    made, keep = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: made.append(1) or keep(df))
+    stars = [(1, i) for i in range(2, 40)] + [(50, i) for i in range(51, 90)]
+    assert dict(components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()) == {i: r for r, i in stars}
+    assert len(made) == 1
+    assert set(dict(components(spark.createDataFrame([*stars, (39, 89)], "a bigint, b bigint")).collect()).values()) == {1}
+    assert len(made) <= 4
+
+
+def test_segments_share_one_reading(spark):
+    """Probes of all segments are made in one pass, so tasks do not grow with the segments."""
+    fps = spark.range(300).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(fps)._jdf.queryExecution().toString()
+    assert "Union" not in plan
